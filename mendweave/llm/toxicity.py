@@ -33,7 +33,7 @@ ENTRIES = 5000
 #: Length of beginnings of words, in letters.
 STEMS = (3, 4, 5, 6)
 #: Toxic documents that must hold an entry, in number and as a part of all, and its log odds at least.
-SUPPORT, SHARE, ODDS = 4, 0.015, 2.5
+SUPPORT, SHARE, ODDS = 4, 0.006, 2.5
 #: Phrases in which a word of the lexicon is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof", "sore loser rule", "pond scum")
 
