@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language_mix", "quality", "decontaminate", "toxicity", "simhash", "packing")
+MODULES = ("language_mix", "quality", "line_chunks", "decontaminate", "url_model", "toxicity", "simhash", "packing")
 
 
 def queries() -> dict:
