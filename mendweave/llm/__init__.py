@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("language_mix", "quality", "context_tree", "line_chunks", "decontaminate", "url_model", "toxicity", "simhash", "packing")
+MODULES = ("language_mix", "quality", "context_tree", "line_chunks", "decontaminate", "url_model", "toxicity", "cover_tree", "simhash", "packing")
 
 
 def queries() -> dict:

@@ -27,15 +27,17 @@ def share_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder and read again, so that a lost executor costs no earlier step.
-
-    A folder is set here only if the session names none, as in tests.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. One is set here only if the session names none, as in tests."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mendweave-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again, so that a lost executor costs no earlier step."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
