@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PLANS: tuple[str, ...] = ()
+PLANS: tuple[str, ...] = ("urls",)
 
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
