@@ -22,7 +22,7 @@ from .common import read
 
 WINDOW = 2
 EVERY = 3
-ROUNDS = 6
+ROUNDS = 4
 WORDS = 8
 
 
@@ -48,7 +48,10 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     spans = counted.withColumn("__chunk", _chunks(window, every, rounds))
     key = F.expr(f"transform(filter(__chunk, c -> aggregate(slice(__words, c.start + 1, c.stop - c.start), 0, (s, x) -> s + x) >= {words}), c -> struct(c.start AS start, slice(__hash, c.start + 1, c.stop - c.start) AS key))")
     occurrences = spans.select("__id", "__text_hash", F.explode(key).alias("c")).select("__id", "__text_hash", "c.start", "c.key")
-    occurrences = occurrences.distinct()  # rows with equal id and text count once
+    # most chunks occur once: their places need not meet by their lists, only be counted by a hash of them
+    occurrences = occurrences.withColumn("sum", F.xxhash64("key"))
+    more = occurrences.groupBy("sum").agg(F.count("*").alias("n")).where("n > 1").select("sum")
+    occurrences = occurrences.join(more, "sum", "left_semi").drop("sum")
     place = F.struct("__id", "__text_hash", "start")
     first = occurrences.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     # a hash that stands for two lines
