@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,14 +28,65 @@ from .common import field, pieces, read, saved, share_path, strings
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, in two generations.
+REMEMBERED = 800_000
+#: Bytes of text that are encoded at a time.
+CHUNK = 4 << 20
 #: Pieces of one length that are ranked by one task, about.
 RANKED = 100_000
 #: Rows of the plan that are broadcast at most.
 BROADCAST_ROWS = 200_000
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(97, 123)]] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII letters and the bytes of non-ASCII characters up to U+00FF, of which ``learn`` checks that they make letters.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(97, 123), 0xC3, *range(0x80, 0xC0)]] = True
+_MIX = np.random.default_rng(3).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
+_SIGN = np.zeros(256, bool)
+_SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 texts with A-Z lower-cased and a space between a letter or digit and a sign that follows it; their offsets.
+
+    The tokenizer lower-cases too, its pattern has a border there, and white space is dropped, so the ids stay. Letters
+    are told among ASCII and the Latin letters U+00C0 to U+00FF; elsewhere no space is set.
+    """
+    text = _LOWER[data]
+    if len(text) < 2:
+        return text, offsets
+    letter = _ALNUM[text]
+    letter[1:] |= (text[:-1] == 0xC3) & (text[1:] >= 0x80) & (text[1:] != 0x97) & (text[1:] != 0xB7)
+    at = np.flatnonzero(letter[:-1] & _SIGN[text[1:]]) + 1
+    return np.insert(text, at, 32), offsets + np.searchsorted(at, offsets)
+
+
+def word_spans(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words between ASCII spaces: 64-bit hashes, each text's range among them, starts and stops."""
+    inside = ~_SPACE[text]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = offsets[:-1][offsets[:-1] < len(text)]
+    first[edges] = inside[edges]
+    edges = offsets[1:][offsets[1:] > 0] - 1
+    last[edges] = inside[edges]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), starts, stops
+    place = np.arange(len(text)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(text)]))))
+    place[~inside] = 0
+    powers = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    h = np.add.reduceat(np.where(inside, _MIX[text] * powers[place], np.uint64(0)), starts, dtype=np.uint64)
+    return h ^ (h >> np.uint64(31)), np.searchsorted(starts, offsets), starts, stops
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes, remembered by word.
 
@@ -47,26 +99,74 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for lo in range(0, len(words), 10_000):
-            part = words[lo : lo + 10_000]
-            for w, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [t.split() for t in texts]
-        missing = set().union(*split).difference(self.known)
-        if missing:
-            every = set().union(*split) if len(self.known) + len(missing) > REMEMBERED else missing
-            self.learn(sorted(every))
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+        self.older: dict[bytes, bytes] = {}
+
+    def learn(self, plain: list[bytes], rest: list[bytes]) -> None:
+        """Words are encoded as one text with spaces between.
+
+        The pattern keeps a word of letters whole, and its last token is one that ends words; of other words a token belongs
+        to the word that its place lies in.
+        """
+        for lo in range(0, len(plain), 1000):
+            part = plain[lo : lo + 1000]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):
+                self._place(part)
+            else:
+                self._keep(part, ids, [0, *(4 * stops).tolist()])
+        for lo in range(0, len(rest), 1000):
+            self._place(rest[lo : lo + 1000])
+
+    def _place(self, part: list[bytes]) -> None:
+        texts = [w.decode() for w in part]
+        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+        starts = np.concatenate(([0], np.cumsum([len(w) + 1 for w in texts])))
+        self._keep(part, np.array(found.ids, "<u4"), (4 * np.searchsorted(at, starts)).tolist())
+
+    def _keep(self, part: list[bytes], ids: np.ndarray, cuts: list[int]) -> None:
+        body = ids.tobytes()
+        self.known.update(zip(part, [body[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+
+    def whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and each text's range among them.
+
+        Equal words are found by 64-bit hashes, and each is looked up once.
+        """
+        text, off = parted(data, offsets)
+        hashes, bounds, starts, stops = word_spans(text, off)
+        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        body = text.tobytes()
+        words = [body[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+        if 2 * len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        found = list(map(self.known.get, words))
+        if None in found:
+            odd = np.concatenate(([0], np.cumsum(~_LETTER[text])))
+            plain = (odd[stops] == odd[starts])[first].tolist()
+            new: tuple[list, list] = ([], [])
+            for w, x, p in zip(words, found, plain, strict=True):
+                if x is None:
+                    old = self.older.get(w)
+                    if old is None:
+                        new[not p].append(w)
+                    else:
+                        self.known[w] = old
+            self.learn(*new)
+            found = list(map(self.known.__getitem__, words))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begins = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        own = sizes[back]
+        total = np.concatenate(([0], np.cumsum(own)))
+        return flat[np.repeat(begins[back] - total[:-1], own) + np.arange(total[-1])], total[bounds]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -79,10 +179,14 @@ def _pieces(path: str, columns: list[str], text_col: str, size: int, end: int, k
         for batch in batches:
             data, offsets = strings(batch.column(text_col))
             row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for lo, hi in pieces(offsets):
-                at = offsets[lo : hi + 1].tolist()
-                texts = [data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                for i, ids in enumerate(encoder.encode(texts), lo):
+            for lo, hi in pieces(offsets, CHUNK):
+                own, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                every, bounds = encoder.encode(own, off)
+                special = b"<|" in own.tobytes()
+                for i in range(lo, hi):
+                    ids = every[bounds[i - lo] : bounds[i - lo + 1]].tobytes()
+                    if special and b"<|" in (text := own[off[i - lo] : off[i - lo + 1]].tobytes()):
+                        ids = encoder.whole(text)  # special tokens are told by their case and signs
                     ids += tail
                     for k in range(0, len(ids), step):
                         part = ids[k : k + step]
