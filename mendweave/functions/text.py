@@ -36,9 +36,13 @@ def content_words(text) -> Column:
 
 def shingles(tokens: Column, k: int = 5) -> Column:
     """Distinct k-word shingles; fewer words make one."""
-    n = F.size(tokens)
-    some = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= k, F.array(F.array_join(tokens, " "))).otherwise(F.array_distinct(some))
+
+    def of(t: Column) -> Column:
+        n = F.size(t)
+        some = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(t, i, k), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n <= k, F.array(F.array_join(t, " "))).otherwise(F.array_distinct(some))
+
+    return F.get(F.transform(F.array(tokens), of), 0)  # so that the tokens are found once, not for each shingle
 
 
 def title_parts(title) -> Column:
@@ -188,9 +192,12 @@ def stem(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf("array<string>")
-def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stems of arrays of words; a worker remembers the words of a batch."""
+def _stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         known: dict[str, str] = {}
         yield batch.map(lambda ws, known=known: None if ws is None else [known[w] if w in known else known.setdefault(w, stem(w)) for w in ws])
+
+
+def stems(tokens) -> Column:
+    """Stems of an array of words; a worker remembers the words of a batch."""
+    return F.pandas_udf(_stems, "array<string>")(_c(tokens))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mendweave.catalog import query
+from mendweave.session import share_path
 from mendweave.sources.tables import table
 
 __all__ = ["F", "Window", "DataFrame", "SparkSession", "query", "table", "URLS", "PAIRS", "TITLES", "KEY", "literal", "values_sql"]
@@ -66,4 +67,5 @@ def values_sql(rows: list[tuple], columns: str) -> str:
 
 
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    share_path(spark)
     return spark.createDataFrame(rows, schema)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mendweave.session import share_path
+
 #: What a job file holds: groups of dead URLs.
 JOB = T.StructType([T.StructField("netloc_dir", T.StringType()), T.StructField("urls", T.ArrayType(T.StringType()))])
 #: Rows of a snapshot index.
@@ -13,6 +15,7 @@ CDX = T.StructType([T.StructField(c, T.StringType()) for c in ("url", "ts", "sta
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    share_path(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
