@@ -69,9 +69,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = docs.withColumn("__own", F.xxhash64(text_col))
     joined = marked.join(spans, marked[id_col].eqNullSafe(spans["__id"]) & (marked["__own"] == spans["__text_hash"]), "left")
     gone = F.array_distinct(F.flatten(F.transform("__spans", lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))))
-    lines = _lines(text_col)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    def left(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    cut = F.get(F.transform(F.array(_lines(text_col)), left), 0)  # so that a text is split once, not for each line
     out = joined.withColumn("__gone", gone)
     columns = [F.when(F.col("__gone").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return out.select(*columns, F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint").alias("n_removed"))
