@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mendweave.session import share_path as share_path
+
 #: Bytes of text that a Python worker handles at a time.
 CHUNK = 2 << 20
 
@@ -19,14 +20,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def share_path(spark: SparkSession) -> None:
-    """Let Python workers import this package even if PYTHONPATH lacks it (workers add it to their own path)."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. One is set here only if the session names none, as in tests."""
     sc = spark.sparkContext
@@ -51,6 +44,17 @@ def field(df: DataFrame, col: str) -> str:
     return f"`{col}` {df.schema[col].dataType.simpleString()}"
 
 
+def carried(carry: list[str], *outputs: str) -> list[str]:
+    """Columns to carry along, without those whose names the operator gives to its own."""
+    return [c for c in dict.fromkeys(carry) if c not in outputs]
+
+
+def sheltered(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns but the used ones renamed, so that no operator's names clash; and the way back."""
+    inner = [c if c in used else f"__kept{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*inner), lambda df: df.select(*(F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)))
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column and its n + 1 offsets; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -71,7 +71,7 @@ class Tree:
             k, scale = queue[head]
             head += 1
             _, start, stop, radius, _, _ = nodes[k]
-            if stop - start < 2 or radius <= 0:
+            if stop - start < 2:
                 continue
             scale = min(scale, radius) / 2
             rest, parts = order[start:stop], []

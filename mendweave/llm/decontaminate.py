@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import field, joined, pieces, read, run_sums, share_path, strings
+from .common import carried, field, joined, pieces, read, run_sums, share_path, strings
 
 #: Words of a window.
 WINDOW = 13
@@ -182,7 +182,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = docs.sparkSession
+    spark, carry = docs.sparkSession, carried(carry, "n_words", "hit_start", "hit_end", "items")
     share_path(spark)
     texts = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).distinct()
     total = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0

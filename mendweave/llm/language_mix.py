@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import field, joined, pieces, read, remainder, run_sums, share_path, strings
+from .common import carried, field, joined, pieces, read, remainder, run_sums, share_path, strings
 
 #: Trigrams are hashed to 2**BITS counters for each language: the bound of the model's size.
 BITS = 18
@@ -181,7 +181,7 @@ def _scorer(model, columns: list[str], text_col: str):
 def identify(docs: DataFrame, train: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs``' ``carry`` columns, lang_pred, score (the proportion of lang_pred), languages (the chosen set, largest
     first) and gram_logp (mean log probability of a trigram in its word's best language)."""
-    spark = docs.sparkSession
+    spark, carry = docs.sparkSession, carried(carry, "lang_pred", "score", "languages", "gram_logp")
     model = spark.sparkContext.broadcast(fit(train, text_col, lang_col))  # 4 * languages * 2**BITS bytes
     source = docs.select(*dict.fromkeys([*carry, text_col]), F.col(text_col).rlike(r"\p{L}").alias("__letter"))
     schema = ", ".join([*(field(docs, c) for c in carry), "lang_pred string", "score double", "languages array<string>", "gram_logp double"])

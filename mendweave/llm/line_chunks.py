@@ -10,7 +10,7 @@ equal lines is never removed, so no line is lost from the corpus.
 
 Defined results: a null text stays null and an empty one empty; a text whose lines are all repeated becomes empty.
 Rows with equal id and equal text are one document here: they lose the same lines. A null id comes first. All columns
-are returned, text is changed in place; other columns, whatever their names, pass through.
+are returned, with the text changed in place; other columns pass through, but one named n_removed is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, sheltered
 
 WINDOW = 2
 EVERY = 3
@@ -65,6 +65,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """``docs`` with repeated chunks of lines cut from the text, and n_removed, the number of lines cut."""
+    names = [c for c in docs.columns if c != "n_removed"]
+    docs, _ = sheltered(docs.select(*names), id_col, text_col)
     spans = repeated(docs, id_col, text_col, **options)
     marked = docs.withColumn("__own", F.xxhash64(text_col))
     joined = marked.join(spans, marked[id_col].eqNullSafe(spans["__id"]) & (marked["__own"] == spans["__text_hash"]), "left")
@@ -77,7 +79,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cut = F.get(F.transform(F.array(_lines(text_col)), left), 0)  # so that a text is split once, not for each line
     out = joined.withColumn("__gone", gone)
     columns = [F.when(F.col("__gone").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*columns, F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint").alias("n_removed"))
+    out = out.select(*columns, F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("bigint").alias("n_removed"))
+    return out.select(*(F.col(i).alias(c) for i, c in zip(docs.columns, names, strict=True)), "n_removed")
 
 
 def op4_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

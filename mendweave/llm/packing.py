@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import field, pieces, read, saved, share_path, strings
+from .common import carried, field, pieces, read, saved, share_path, strings
 
 CAPACITY = 4096
 END = 1
@@ -211,6 +211,7 @@ def _pieces(path: str, columns: list[str], text_col: str, size: int, end: int, k
 def cut(docs: DataFrame, path: str, carry: list[str], text_col: str = "text", size: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
     """A row for each piece: ``carry``, piece, start, length, ids_crc32 and, if asked for, ids."""
     share_path(docs.sparkSession)
+    carry = carried(carry, "piece", "start", "length", "ids_crc32", "ids")
     schema = ", ".join([*(field(docs, c) for c in carry), "piece int, start bigint, length bigint, ids_crc32 bigint", *(["ids array<int>"] if keep_ids else [])])
     return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(_pieces(path, carry, text_col, size, end, keep_ids), schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import field, joined, labelled_sample, pieces, read, remainder, run_sums, share_path, strings
+from .common import carried, field, joined, labelled_sample, pieces, read, remainder, run_sums, share_path, strings
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 3000
@@ -146,6 +146,7 @@ def _scorer(model, columns: list[str], text_col: str):
 
 def classify(docs: DataFrame, labels: DataFrame, carry: list[str], label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
     """``docs``' ``carry`` columns and score: the probability of label 1, learned from ``labels`` (id, label)."""
+    carry = carried(carry, "score")
     chosen = labelled_sample(docs, labels, label_col, sample, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(chosen))  # 8 * 2**BITS bytes
     schema = ", ".join([*(field(docs, c) for c in carry), "score double"])

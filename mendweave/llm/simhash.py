@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import field, read, saved, share_path, strings
+from .common import carried, field, read, saved, share_path, strings
 from .components import components
 
 SHINGLE = 3
@@ -154,7 +154,7 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 def group(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``docs``' id and ``carry`` columns, fp, and component_id: the smallest id reachable by links."""
-    carry = list(dict.fromkeys([id_col, *(carry or [])]))
+    carry = carried([id_col, *(carry or [])], "fp", "component_id")
     prints = saved(fingerprints(docs, carry, text_col, shingle))
     own = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
     roots = components(links(own.select("fp")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import field, labelled_sample, read, remainder, share_path
+from .common import carried, field, labelled_sample, read, remainder, share_path
 
 #: Labelled documents that the lexicon and the curve are fitted on, at most.
 SAMPLE = 12000
@@ -202,6 +202,7 @@ def _scorer(model, exceptions: tuple[str, ...], columns: list[str], text_col: st
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, carry: list[str], label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", exceptions: tuple[str, ...] = EXCEPTIONS, sample: int = SAMPLE) -> DataFrame:
     """``docs``' ``carry`` columns, score (probability that the label is 1), n_matches and matched (the entries found)."""
+    carry = carried(carry, "score", "n_matches", "matched")
     chosen = labelled_sample(docs, labels, label_col, sample, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(chosen, exceptions))  # ENTRIES entries at most
     schema = ", ".join([*(field(docs, c) for c in carry), "score double, n_matches bigint, matched array<string>"])
