@@ -1,6 +1,6 @@
 """Quality classification by supervised subword embeddings.
 
-Words and character n-grams are hashed to rows of an embedding table; a document is the mean of its rows, a linear
+Words, pairs of words and character n-grams are hashed to rows of an embedding table; a document is the mean of its rows, a linear
 layer and a softmax give the classes' probabilities, and all of it is trained by stochastic gradient descent in numpy,
 a document at a time.
 
@@ -33,6 +33,9 @@ RATE = 0.5
 #: Lengths of character n-grams, in bytes of words with their edges.
 GRAMS = (3, 5)
 
+#: Stands for a word that is the one before it.
+AGAIN = 0x5BD1E995
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[9, 10, 11, 12, 13]] = 32
 _MIX = np.random.default_rng(7).integers(1, 2**32, 256, dtype=np.uint32) | np.uint32(1)
@@ -57,8 +60,15 @@ def features(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[n
         power = np.uint32(0x01000193) ** np.arange(64, dtype=np.uint32)
         value = np.where(text == 32, np.uint32(0), mixed * power[place & 63])
         words = np.add.reduceat(value, starts, dtype=np.uint32) * np.uint32(0x85EBCA6B)
-        slots.append((words ^ (words >> np.uint32(13))) * np.uint32(0xC2B2AE35) >> shift)
+        words = (words ^ (words >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        slots.append(words >> shift)
         owner_bounds.append((np.searchsorted(starts, at, side="right"), starts))
+        # two words in a row; of one that comes again at once, whichever it is, only that counts
+        of = np.searchsorted(at, starts)
+        both = np.flatnonzero(of[1:] == of[:-1])
+        pair = np.where(words[both] == words[both + 1], np.uint32(AGAIN), words[both] * np.uint32(0x9E3779B1) + words[both + 1])
+        slots.append(pair * np.uint32(0x85EBCA6B) >> shift)
+        owner_bounds.append((np.searchsorted(starts[both + 1], at, side="right"), starts[both + 1]))
     for n in GRAMS:
         if len(text) < n:
             continue
