@@ -123,7 +123,7 @@ def apply(program: list[tuple[str, str, Program]], url: str, title: str | None,
 
 
 def _cluster(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["url", "alias"], na_position="last")
+    rows = rows.astype(object).sort_values(["url", "alias"], na_position="last")
     known = rows[rows["alias"].notna()]
     examples = [(r.url, r.title if isinstance(r.title, str) else None, r.alias) for r in known.itertuples()]
     program = learn(examples)
@@ -132,7 +132,7 @@ def _cluster(rows: pd.DataFrame) -> pd.DataFrame:
     scheme = Counter(urlsplit(a).scheme for _, _, a in examples).most_common(1)[0][0] if examples else "http"
     out["inferred"] = [apply(program, r.url, r.title if isinstance(r.title, str) else None, scheme) if program else None for r in targets.itertuples()]
     out["program"] = " / ".join(n for _, n, _ in program) if program else None
-    return out
+    return out.astype(object)
 
 
 def fair_examples(examples: DataFrame, most: int = 1) -> DataFrame:

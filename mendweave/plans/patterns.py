@@ -87,7 +87,7 @@ def verify_multicast(spark, d):
 
 
 def ruled(spark, d):
-    return V.rules(V.drop_multicast(ingested(spark, d)))
+    return V.rules(V.drop_multicast(ingested(spark, d).persist())).persist()  # clusters read it several times
 
 
 @query("verify_rules")
