@@ -1,7 +1,8 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-A rolling hash over the hashes of WINDOW lines ends a chunk where it falls on one of EVERY values, so boundaries move
-with the text. That is done for ROUNDS seeds, as a passage's edges seldom fall on the boundaries of one. Chunks
+A rolling hash over the hashes of the last lines ends a chunk where it falls on one of EVERY values, so boundaries move
+with the text. That is done once for each of WINDOWS, a number of lines, with a seed of its own, as a passage's edges seldom
+fall on the boundaries of one. Chunks
 of two lines or more with WORDS words at least that occur again anywhere lose all occurrences but the first, by id and place.
 
 Chunks are equal if their lists of line hashes are, and each line hash is checked against the bytes: a hash that two
@@ -20,9 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import read, sheltered
 
-WINDOW = 2
-EVERY = 3
-ROUNDS = 4
+WINDOWS = (2, 1, 1)
+EVERY = 2
 WORDS = 8
 
 
@@ -30,22 +30,22 @@ def _lines(text: str) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
-def _chunks(window: int, every: int, rounds: int) -> Column:
+def _chunks(windows: tuple[int, ...], every: int) -> Column:
     """Distinct chunks of ``__hash`` (hashes of the lines) as structs of start and the hashes."""
-    at = ", ".join(f"__hash[i - {k}]" for k in range(window, 0, -1))
     each = []
-    for seed in range(rounds):
+    for seed, window in enumerate(windows):
+        at = ", ".join(f"__hash[i - {k}]" for k in range(window, 0, -1))
         cuts = f"filter(sequence(1, size(__hash)), i -> i = size(__hash) OR (i >= {window} AND pmod(xxhash64({at}, {seed}), {every}) = 0))"
         each.append(f"zip_with({cuts}, concat(array(0), slice({cuts}, 1, greatest(size({cuts}) - 1, 0))), (stop, start) -> struct(start, stop))")
     return F.expr(f"filter(array_distinct(concat({', '.join(each)})), c -> c.stop - c.start >= 2)")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, every: int = EVERY, rounds: int = ROUNDS, words: int = WORDS) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: tuple[int, ...] = WINDOWS, every: int = EVERY, words: int = WORDS) -> DataFrame:
     """(__id, __text_hash, __spans): for each document that has any, the chunks (start, lines) to be removed."""
     base = docs.where(F.col(text_col).contains("\n")).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text_hash"), _lines(text_col).alias("__lines"))
     base = base.withColumn("__hash", F.transform("__lines", lambda x: F.xxhash64(x)))
     counted = base.withColumn("__words", F.transform("__lines", lambda x: F.size(F.filter(F.split(x, " "), lambda w: w != ""))))
-    spans = counted.withColumn("__chunk", _chunks(window, every, rounds))
+    spans = counted.withColumn("__chunk", _chunks(windows, every))
     key = F.expr(f"transform(filter(__chunk, c -> aggregate(slice(__words, c.start + 1, c.stop - c.start), 0, (s, x) -> s + x) >= {words}), c -> struct(c.start AS start, slice(__hash, c.start + 1, c.stop - c.start) AS key))")
     occurrences = spans.select("__id", "__text_hash", F.explode(key).alias("c")).select("__id", "__text_hash", "c.start", "c.key")
     # most chunks occur once: their places need not meet by their lists, only be counted by a hash of them
@@ -63,7 +63,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return again.groupBy("__id", "__text_hash").agg(F.collect_list(F.struct("start", F.size("key").alias("n"))).alias("__spans"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with repeated chunks of lines cut from the text, and n_removed, the number of lines cut."""
     names = [c for c in docs.columns if c != "n_removed"]
     docs, _ = sheltered(docs.select(*names), id_col, text_col)
