@@ -2,8 +2,8 @@
 
 A rolling hash over the hashes of the last lines ends a chunk where it falls on one of EVERY values, so boundaries move
 with the text. That is done once for each of WINDOWS, a number of lines, with a seed of its own, as a passage's edges seldom
-fall on the boundaries of one. Chunks
-of two lines or more with WORDS words at least that occur again anywhere lose all occurrences but the first, by id and place.
+fall on the boundaries of one. Chunks of two lines or more with at least WORDS words that occur again anywhere lose all
+occurrences but the first, by id and place.
 
 Chunks are equal if their lists of line hashes are, and each line hash is checked against the bytes: a hash that two
 different lines share makes its chunks stay. What is removed has an equal line in an earlier place, and the first of
