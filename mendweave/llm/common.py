@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -24,7 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. One is set here only if the session names none, as in tests."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mendweave-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            named = tempfile.mkdtemp(prefix="mendweave-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

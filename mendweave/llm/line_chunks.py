@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, sheltered
+from .common import read, saved, sheltered
 
 WINDOWS = (2, 1, 1)
 EVERY = 2
@@ -36,7 +36,8 @@ def _chunks(windows: tuple[int, ...], every: int) -> Column:
     for seed, window in enumerate(windows):
         at = ", ".join(f"__hash[i - {k}]" for k in range(window, 0, -1))
         cuts = f"filter(sequence(1, size(__hash)), i -> i = size(__hash) OR (i >= {window} AND pmod(xxhash64({at}, {seed}), {every}) = 0))"
-        each.append(f"zip_with({cuts}, concat(array(0), slice({cuts}, 1, greatest(size({cuts}) - 1, 0))), (stop, start) -> struct(start, stop))")
+        spans = "zip_with(c, concat(array(0), slice(c, 1, greatest(size(c) - 1, 0))), (stop, start) -> struct(start, stop))"
+        each.append(f"transform(array({cuts}), c -> {spans})[0]")  # so that the cuts are found once
     return F.expr(f"filter(array_distinct(concat({', '.join(each)})), c -> c.stop - c.start >= 2)")
 
 
@@ -50,7 +51,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     occurrences = spans.select("__id", "__text_hash", F.explode(key).alias("c")).select("__id", "__text_hash", "c.start", "c.key")
     # most chunks occur once: their places need not meet by their lists, only be counted by a hash of them
     occurrences = occurrences.withColumn("sum", F.xxhash64("key"))
-    more = occurrences.groupBy("sum").agg(F.count("*").alias("n")).where("n > 1").select("sum")
+    # the small sides are written down, so that either join has two plain shuffles and Spark can split a hot key's rows
+    more = saved(occurrences.groupBy("sum").agg(F.count("*").alias("n")).where("n > 1").select("sum"))
     occurrences = occurrences.join(more, "sum", "left_semi").drop("sum")
     place = F.struct("__id", "__text_hash", "start")
     first = occurrences.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
@@ -58,7 +60,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     lines = base.select(F.explode(F.arrays_zip(F.col("__hash").alias("h"), F.col("__lines").alias("l"))).alias("x")).select(F.col("x.h").alias("h"), F.col("x.l").alias("l"))
     unsure = lines.distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     wrong = first.select("key", F.explode("key").alias("h")).join(unsure, "h", "left_semi").select("key").distinct()
-    sure = first.join(wrong, "key", "left_anti")
+    sure = saved(first.join(wrong, "key", "left_anti"))
     again = occurrences.join(sure, "key").where(~place.eqNullSafe(F.col("first")))
     return again.groupBy("__id", "__text_hash").agg(F.collect_list(F.struct("start", F.size("key").alias("n"))).alias("__spans"))
 
