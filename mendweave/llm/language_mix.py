@@ -26,6 +26,8 @@ BITS = 18
 SMOOTH = 0.02
 #: Steps of expectation-maximisation at most.
 STEPS = 25
+#: Bytes of text that are judged at a time.
+CHUNK = 1 << 20
 #: Part of a word's probability that any language leaves to unknown words.
 FLOOR = 1e-4
 
@@ -68,7 +70,7 @@ def _counter(langs: list[str]):
         for batch in batches:
             data, offsets = strings(batch.column(0))
             own = np.array([index.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
-            for lo, hi in pieces(offsets):
+            for lo, hi in pieces(offsets, CHUNK):
                 slots, bounds, docs = _words(data, offsets, lo, hi)
                 each = np.repeat(own[lo:hi], np.diff(bounds[docs]))
                 known = each >= 0
@@ -157,7 +159,7 @@ def _scorer(model, columns: list[str], text_col: str):
             data, offsets = strings(batch.column(text_col))
             mixes = np.zeros((batch.num_rows, max(1, len(langs))))
             evidence = np.zeros(batch.num_rows)
-            for lo, hi in pieces(offsets):
+            for lo, hi in pieces(offsets, CHUNK):
                 slots, bounds, docs = _words(data, offsets, lo, hi)
                 if len(bounds) < 2 or not langs:
                     continue

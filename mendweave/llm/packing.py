@@ -80,10 +80,15 @@ def word_spans(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), starts, stops
-    place = np.arange(len(text)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(text)]))))
+    place = np.arange(len(text), dtype=np.int32 if len(text) < 1 << 31 else np.int64)
+    place -= np.repeat(np.concatenate(([0], starts)).astype(place.dtype), np.diff(np.concatenate(([0], starts, [len(text)]))))
     place[~inside] = 0
     powers = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-    h = np.add.reduceat(np.where(inside, _MIX[text] * powers[place], np.uint64(0)), starts, dtype=np.uint64)
+    each = powers[place]
+    del place
+    each *= _MIX[text]
+    each[~inside] = 0
+    h = np.add.reduceat(each, starts, dtype=np.uint64)
     return h ^ (h >> np.uint64(31)), np.searchsorted(starts, offsets), starts, stops
 
 
