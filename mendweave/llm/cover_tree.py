@@ -261,7 +261,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = order[tree.order]
             out["ids"].append(np.asarray(rows.field("rep"))[place])
             out["ns"].append(np.asarray(rows.field("n"))[place])
-            out["points"].append(x[tree.order].astype(np.float32).tobytes())
+            out["points"].append(x[tree.order].tobytes())
             out["nodes"].append(tree.table().tobytes())
             mean = u.mean(0)
             out["centre"].append(mean)
@@ -273,10 +273,10 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: type):
     def side(batch: pa.RecordBatch, k: int, s: str):
         ids, ns = (np.asarray(batch.column(f"{s}{c}")[k].values) for c in ("ids", "ns"))
-        x = unit(np.frombuffer(batch.column(f"{s}points")[k].as_py(), np.float32).reshape(len(ids), -1))
+        x = unit(np.frombuffer(batch.column(f"{s}points")[k].as_py(), kind).reshape(len(ids), -1))
         return ids, ns, x, Tree.load(np.frombuffer(batch.column(f"{s}nodes")[k].as_py(), np.float64).reshape(-1, 6))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +297,9 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     """id, n_links and component_id of each row of ``vectors``."""
     spark = vectors.sparkSession
     share_path(spark)
-    rows = vectors.select(F.col(id_col), F.col(vector_col).alias("__v"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col), F.col(vector_col).cast(kind).alias("__v"))
     sound = F.col(id_col).isNotNull() & F.forall("__v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("__v", lambda x: x != 0)
     rows = rows.withColumn("__v", F.when(sound, F.col("__v")))
     classes = saved(rows.where("__v IS NOT NULL").groupBy("__v").agg(F.min(id_col).alias("rep"), F.count("*").alias("n")).select("rep", "n", F.col("__v").alias("v")))
@@ -313,7 +315,6 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         centres[dim] = (first, points)
         first += len(points)
     pivots = spark.sparkContext.broadcast(centres)
-    kind = vectors.schema[vector_col].dataType.simpleString()
     placed = saved(classes.mapInArrow(_assign(pivots), f"rep bigint, n bigint, v {kind}, cell bigint, far double"))
     cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # a row a pivot
     parts = spark.createDataFrame([(c, -(-r["n"] // block)) for c, r in cells.items()], "cell bigint, parts bigint")
@@ -341,7 +342,7 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
         payload = ("ids", "ns", "points", "nodes")
         full = met.join(blocks.select(F.col("block").alias("a"), *(F.col(c).alias(f"a_{c}") for c in payload)), "a")
         full = full.join(blocks.select(F.col("block").alias("b"), *(F.col(c).alias(f"b_{c}") for c in payload)), "b")
-        found = saved(full.repartition(F.xxhash64("a", "b")).mapInArrow(_compare(cosine), "rep bigint, links bigint, with bigint"))
+        found = saved(full.repartition(F.xxhash64("a", "b")).mapInArrow(_compare(cosine, np.float32 if kind == "array<float>" else np.float64), "rep bigint, links bigint, with bigint"))
     finally:
         spark.conf.set(size, before)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))

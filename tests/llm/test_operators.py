@@ -270,6 +270,8 @@ def test_cover_tree_blocks(spark):
     rows = np.concatenate([base, base[:10] * 2, base[3:4] + 0.05 * rng.normal(size=(60, 8)), base[:5]]).astype(np.float32)
     frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "vec_id bigint, embedding array<float>")
     got = cover_tree.link(frame, block=16).toPandas().set_index("vec_id").sort_index()
+    double = cover_tree.link(frame.selectExpr("vec_id", "cast(embedding AS array<double>) AS embedding"), block=16).toPandas().set_index("vec_id").sort_index()
+    assert (got.n_links == double.n_links).all()
     u = cover_tree.unit(rows)
     near = u @ u.T >= 0.9
     assert (got.n_links == near.sum(1) - 1).all()
