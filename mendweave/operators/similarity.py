@@ -12,9 +12,11 @@ from mendweave.functions import text as X
 THRESHOLD = 0.8
 
 
-def term_counts(docs: DataFrame, id_col: str, tokens: Column) -> DataFrame:
-    """(id, term, tf)."""
-    return docs.select(id_col, F.explode(tokens).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+def term_counts(docs: DataFrame, id_col: str, tokens: Column, stop: tuple[str, ...] = ()) -> DataFrame:
+    """(id, term, tf). Stop words go once the tokens are rows, where a set test in generated code does it."""
+    terms = docs.select(id_col, F.explode(tokens).alias("term"))
+    terms = terms.where(~F.col("term").isin(*stop)) if stop else terms
+    return terms.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def idf(terms: DataFrame, n_docs: int) -> DataFrame:

@@ -23,19 +23,19 @@ def documents(spark, d):
 
 def weighted(spark, d):
     docs = documents(spark, d)
-    terms = S.term_counts(docs, "doc_id", X.content_words("text"))
+    terms = S.term_counts(docs, "doc_id", X.words("text"), X.STOP_WORDS)
     return S.weights(terms, S.idf(terms, docs.count()), "doc_id")
 
 
 @query("text_tokens", f"WITH {TERMS} SELECT doc_id, sum(tf)::BIGINT AS n, count(*) AS n_distinct FROM tf GROUP BY 1")
 def text_tokens(spark, d):
-    return S.term_counts(documents(spark, d), "doc_id", X.content_words("text")).groupBy("doc_id").agg(F.sum("tf").alias("n"), F.count("*").alias("n_distinct"))
+    return S.term_counts(documents(spark, d), "doc_id", X.words("text"), X.STOP_WORDS).groupBy("doc_id").agg(F.sum("tf").alias("n"), F.count("*").alias("n_distinct"))
 
 
 @query("text_df", f"WITH {TERMS} SELECT term, df, round(idf, 6) AS idf FROM df")
 def text_df(spark, d):
     docs = documents(spark, d)
-    return S.idf(S.term_counts(docs, "doc_id", X.content_words("text")), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return S.idf(S.term_counts(docs, "doc_id", X.words("text"), X.STOP_WORDS), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("text_tfidf_topn", f"WITH {TERMS}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 9) DESC, term) AS k FROM w) SELECT doc_id, string_agg(term, ' ' ORDER BY k) AS terms FROM r WHERE k <= 7 GROUP BY 1")
@@ -70,8 +70,8 @@ def text_workingset_cosine(spark, d):
     """Weights of benchmark texts with the documents' idf; unknown words get theirs from the working set."""
     docs, items = documents(spark, d), table(spark, d, "benchmark")
     n = docs.count()
-    corpus = S.idf(S.term_counts(docs, "doc_id", X.content_words("text")), n)
-    own = S.term_counts(items, "item_id", X.content_words("text"))
+    corpus = S.idf(S.term_counts(docs, "doc_id", X.words("text"), X.STOP_WORDS), n)
+    own = S.term_counts(items, "item_id", X.words("text"), X.STOP_WORDS)
     w = S.weights(own, S.working_idf(own, corpus, n), "item_id")
     return w.groupBy("item_id").agg(F.count("*").alias("n"), F.round(F.max("w"), 6).alias("heaviest"), F.round(F.sum("w"), 6).alias("total"))
 
