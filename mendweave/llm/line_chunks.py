@@ -1,10 +1,14 @@
-"""Line dedup by content-defined chunks of lines, in DataFrame functions only.
+"""Line dedup by content-defined chunks of lines, in DataFrame functions only (but for ``passage``).
 
 A rolling hash over the hashes of the last lines ends a chunk where it falls on one of EVERY values, so boundaries move
 with the text. That is done once for each of WINDOWS, a number of lines, with a seed of its own, as a passage's edges seldom
 fall on the boundaries of one. Chunks of two lines or more with at least WORDS words that occur again anywhere lose all
 occurrences but the first, by id and place.
 
+With ``passage``, a number of words, every repeated run of lines with more words than that goes whole: for each line, the
+shortest runs of more words that begin and that end with it are chunks too. They depend on nothing but their own lines, and
+those within a run cover it to both its ends. One long line is such a run, also in a text without a newline.
+
 Chunks are equal if their lists of line hashes are, and each line hash is checked against the bytes: a hash that two
 different lines share makes its chunks stay. What is removed has an equal line in an earlier place, and the first of
 equal lines is never removed, so no line is lost from the corpus.
@@ -16,10 +20,12 @@ are returned, with the text changed in place; other columns pass through, but on
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, saved, sheltered
+from .common import read, saved, share_path, sheltered
 
 WINDOWS = (2, 1, 1)
 EVERY = 2
@@ -41,12 +47,36 @@ def _chunks(windows: tuple[int, ...], every: int) -> Column:
     return F.expr(f"filter(array_distinct(concat({', '.join(each)})), c -> c.stop - c.start >= 2)")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: tuple[int, ...] = WINDOWS, every: int = EVERY, words: int = WORDS) -> DataFrame:
+def _runs(passage: int):
+    """Of the lines' numbers of words: the shortest runs of more than ``passage`` words from each line on, and up to each."""
+
+    def run(counts: pa.Array) -> pa.Array:
+        values, bounds = np.asarray(counts.flatten(), np.int64), np.concatenate(([0], np.cumsum(np.asarray(counts.value_lengths()))))
+        starts, stops, at = [], [], [0]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            total = np.concatenate(([0], np.cumsum(values[a:b])))
+            on = np.searchsorted(total, total[:-1] + passage, side="right")
+            upto = np.searchsorted(total, total[1:] - passage, side="left") - 1
+            i, j = np.arange(b - a), np.arange(1, b - a + 1)
+            both = np.unique(np.concatenate([np.stack([i, on], 1)[on <= b - a], np.stack([upto, j], 1)[upto >= 0]]), axis=0)
+            starts.append(both[:, 0])
+            stops.append(both[:, 1])
+            at.append(at[-1] + len(both))
+        flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int32)) for x in (starts, stops)]
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays(flat, ["start", "stop"]))
+
+    return F.arrow_udf(run, "array<struct<start:int,stop:int>>")
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windows: tuple[int, ...] = WINDOWS, every: int = EVERY, words: int = WORDS, passage: int | None = None) -> DataFrame:
     """(__id, __text_hash, __spans): for each document that has any, the chunks (start, lines) to be removed."""
-    base = docs.where(F.col(text_col).contains("\n")).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text_hash"), _lines(text_col).alias("__lines"))
+    base = docs.where(F.col(text_col).isNotNull() if passage is not None else F.col(text_col).contains("\n")).select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text_hash"), _lines(text_col).alias("__lines"))
     base = base.withColumn("__hash", F.transform("__lines", lambda x: F.xxhash64(x)))
     counted = base.withColumn("__words", F.transform("__lines", lambda x: F.size(F.filter(F.split(x, " "), lambda w: w != ""))))
     spans = counted.withColumn("__chunk", _chunks(windows, every))
+    if passage is not None:
+        share_path(docs.sparkSession)
+        spans = spans.withColumn("__long", _runs(passage)("__words")).withColumn("__chunk", F.array_distinct(F.concat("__chunk", "__long")))
     key = F.expr(f"transform(filter(__chunk, c -> aggregate(slice(__words, c.start + 1, c.stop - c.start), 0, (s, x) -> s + x) >= {words}), c -> struct(c.start AS start, slice(__hash, c.start + 1, c.stop - c.start) AS key))")
     occurrences = spans.select("__id", "__text_hash", F.explode(key).alias("c")).select("__id", "__text_hash", "c.start", "c.key")
     # most chunks occur once: their places need not meet by their lists, only be counted by a hash of them

@@ -50,3 +50,28 @@ def test_pipeline_drops_near_copies(spark):
     a, b = (simhash.fingerprint(" ".join(x).encode()) for x in (words, other))
     assert (a ^ b).bit_count() > 2
     assert sorted(r["doc_id"] for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_long_passages_all_go(spark):
+    """No run of whole lines with more than 50 words that stands in an earlier text stays, of one line or of many."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    shapes = [[60], [51], [30, 30], [5, 51], [20, 20, 20], [13] * 4, [9] * 9, [50, 1], [50], [10, 10]]
+    passages = [[line(n) for n in shape] for shape in shapes]
+    rows = [(k, "\n".join(p)) for k, p in enumerate(passages)]
+    rows += [(100 * c + k, "\n".join([line(7) for _ in range(c)] + p + [line(8) for _ in range(c % 3)])) for c in range(1, 6) for k, p in enumerate(passages)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"].split("\n") for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    texts = dict(rows)
+    for k, (shape, passage) in enumerate(zip(shapes, passages, strict=True)):
+        assert got[k] == passage
+        for c in range(1, 6):
+            left = got[100 * c + k]
+            own = [x for x in texts[100 * c + k].split("\n") if x not in passage]
+            assert [x for x in left if x not in passage] == own
+            if sum(shape) > 50:
+                assert left == (own or [""]), (shape, c)
+            if len(shape) == 1 and shape[0] <= 50:
+                assert passage[0] in left
