@@ -6,8 +6,8 @@ context counts in which the character was seen; the log ratio of the models ther
 further character of context adds, so that a URL's score is a plain sum over its substrings that the table holds. The score
 is divided by the URL's length, and the limit between allow and block is calibrated on labelled URLs kept from the training.
 
-The table holds substrings with at least a share of 2**-SHARE of all substrings of their length: ORDER + 1 times 2**SHARE
-rows at most, whatever the corpus, which bounds what is broadcast.
+The table holds all substrings counted. Those with at least a share of 2**-SHARE of all substrings of their length, ORDER + 1
+times 2**SHARE rows at most whatever the corpus, are broadcast; the others are met by a shuffled join.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule fits it, and its score is 0.
 A URL that no rule fits is allowed if its score reaches the limit; without URLs of both kinds all others are allowed.
@@ -67,16 +67,16 @@ def _grams(texts: DataFrame, order: int) -> DataFrame:
 
 
 def fit(labelled: DataFrame, order: int = ORDER, share: int = SHARE, weight: float = WEIGHT) -> DataFrame:
-    """From (text, good) the table (gram, delta)."""
+    """From (text, good) the table (gram, delta, often) of all substrings; often are those that may be broadcast."""
     counts = _grams(labelled, order).groupBy("k", "gram").agg(F.count_if("good").alias("a"), F.count_if(~F.col("good")).alias("b"))
     counts = saved(counts)
     total = counts.where("k = 0").agg(F.sum(F.col("a") + F.col("b"))).first()[0] or 0
-    kept = counts.where(F.col("a") + F.col("b") >= total / 2.0**share)
+    counts = counts.withColumn("often", F.col("a") + F.col("b") >= total / 2.0**share)
     # the times that a context came before any character
     seen = counts.withColumn("context", F.expr("substring(gram, 1, k)")).groupBy("k", "context").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     tables, below = [], None
     for k in range(order + 1):
-        own = kept.where(F.col("k") == k).withColumn("context", F.expr("substring(gram, 1, k)")).withColumn("rest", F.expr("substring(gram, 2)"))
+        own = counts.where(F.col("k") == k).withColumn("context", F.expr("substring(gram, 1, k)")).withColumn("rest", F.expr("substring(gram, 2)"))
         own = own.join(seen.where(F.col("k") == k).drop("k"), "context")
         if below is None:
             own = own.withColumn("la", F.lit(1 / ALPHABET)).withColumn("lb", F.lit(1 / ALPHABET))
@@ -84,15 +84,19 @@ def fit(labelled: DataFrame, order: int = ORDER, share: int = SHARE, weight: flo
             own = own.join(below.select(F.col("gram").alias("rest"), F.col("pa").alias("la"), F.col("pb").alias("lb")), "rest")
         for x in "ab":
             own = own.withColumn(f"p{x}", (F.col(x) + weight * F.col(f"l{x}")) / (F.col(f"t{x}") + weight))
-        below = saved(own.select("gram", "pa", "pb", (F.log("pa") - F.log("pb") - F.log("la") + F.log("lb")).alias("delta")))
-        tables.append(below.select("gram", "delta"))
+        below = saved(own.select("gram", "often", "pa", "pb", (F.log("pa") - F.log("pb") - F.log("la") + F.log("lb")).alias("delta")))
+        tables.append(below.select("gram", "delta", "often"))
     return reduce(DataFrame.union, tables)
 
 
 def score(texts: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
     """Of distinct (text), the score: the mean log ratio of the models over its characters."""
-    parts = _grams(texts, order).join(F.broadcast(table), "gram")  # a proven bound: see the module's head
-    sums = parts.groupBy("text").agg(F.sum("delta").alias("s"))
+    often, seldom = table.where("often").select("gram", F.col("delta").alias("known")), table.where("NOT often").select("gram", "delta")
+    parts = _grams(texts, order).join(F.broadcast(often), "gram", "left")  # a proven bound: see the module's head
+    # the others meet once for each text; a substring that is often has no row among them
+    rest = parts.where("known IS NULL").groupBy("text", "gram").agg(F.count("*").alias("times")).join(seldom.hint("shuffle_merge"), "gram")
+    each = parts.where("known IS NOT NULL").select("text", F.col("known").alias("d")).union(rest.select("text", F.col("delta") * F.col("times")))
+    sums = each.groupBy("text").agg(F.sum("d").alias("s"))
     return sums.select("text", F.round(F.col("s") / (F.length("text") + 1), 9).alias("score"))
 
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from mendweave.llm import near_copies
+from mendweave.llm import near_copies, url_model
 
 
 def brute_groups(ids, sets, least):
@@ -75,3 +75,13 @@ def test_long_passages_all_go(spark):
                 assert left == (own or [""]), (shape, c)
             if len(shape) == 1 and shape[0] <= 50:
                 assert passage[0] in left
+
+
+def test_url_scores_at_every_share(spark):
+    """Rare substrings enter the scores too, however few may be broadcast."""
+    rng = random.Random(4)
+    urls = [("".join(rng.choice("abcdef/12.") for _ in range(rng.randrange(5, 25))), k % 2 == 0) for k in range(60)]
+    labelled = spark.createDataFrame(urls, "text string, good boolean").dropDuplicates(["text"])
+    texts = spark.createDataFrame([(t,) for t, _ in urls[:30]] + [("xyz/none",)], "text string").distinct()
+    whole, part = ({r["text"]: r["score"] for r in url_model.score(texts, url_model.fit(labelled, share=share)).collect()} for share in (17, 3))
+    assert whole.keys() == part.keys() and all(abs(whole[t] - part[t]) < 1e-8 for t in whole)
