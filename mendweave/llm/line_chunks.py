@@ -74,9 +74,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     base = base.withColumn("__hash", F.transform("__lines", lambda x: F.xxhash64(x)))
     counted = base.withColumn("__words", F.transform("__lines", lambda x: F.size(F.filter(F.split(x, " "), lambda w: w != ""))))
     spans = counted.withColumn("__chunk", _chunks(windows, every))
-    if passage is not None:
+    if passage is not None:  # a chunk named twice is one place and changes nothing; array_distinct would compare all structs
         share_path(docs.sparkSession)
-        spans = spans.withColumn("__long", _runs(passage)("__words")).withColumn("__chunk", F.array_distinct(F.concat("__chunk", "__long")))
+        spans = spans.withColumn("__long", _runs(passage)("__words")).withColumn("__chunk", F.concat("__chunk", "__long"))
     key = F.expr(f"transform(filter(__chunk, c -> aggregate(slice(__words, c.start + 1, c.stop - c.start), 0, (s, x) -> s + x) >= {words}), c -> struct(c.start AS start, slice(__hash, c.start + 1, c.stop - c.start) AS key))")
     occurrences = spans.select("__id", "__text_hash", F.explode(key).alias("c")).select("__id", "__text_hash", "c.start", "c.key")
     # most chunks occur once: their places need not meet by their lists, only be counted by a hash of them
