@@ -1,24 +1,25 @@
 """Operators for training-data pipelines; nothing else in the package imports this folder.
 
-``queries()`` and ``oracle_sql()`` collect what the ten operator modules register.
+``queries()`` and ``oracle_sql()`` collect what the ten operator modules register. All are imported with the package, so that
+a library that one of them lacks shows at once, where the entry module leaves the whole folder out.
 """
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import context_tree, cover_tree, decontaminate, language_mix, line_chunks, packing, quality, simhash, toxicity, url_model
 
-MODULES = ("language_mix", "quality", "context_tree", "line_chunks", "decontaminate", "url_model", "toxicity", "cover_tree", "simhash", "packing")
+MODULES = (language_mix, quality, context_tree, line_chunks, decontaminate, url_model, toxicity, cover_tree, simhash, packing)
 
 
 def queries() -> dict:
     out: dict = {}
-    for name in MODULES:
-        out |= import_module(f"{__name__}.{name}").QUERIES
+    for module in MODULES:
+        out |= module.QUERIES
     return out
 
 
 def oracle_sql() -> dict:
     out: dict = {}
-    for name in MODULES:
-        out |= getattr(import_module(f"{__name__}.{name}"), "ORACLE", {})
+    for module in MODULES:
+        out |= getattr(module, "ORACLE", {})
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator
@@ -23,11 +24,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is set here only if the session names none, as in tests."""
+    """The folder that driver and executors share. One is set here only if the session names none and all its tasks run in
+    this process, as in tests; on a cluster a folder of this machine would be lost on the others, so that is an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="mendweave-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
