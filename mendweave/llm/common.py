@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -65,6 +66,27 @@ def sheltered(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFra
     return docs.toDF(*inner), lambda df: df.select(*(F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)))
 
 
+def tidy() -> None:
+    """Give memory that a task no longer uses back to the system: workers are used again, and keep what they ever had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which tidies up after each batch that it gives."""
+
+    def tidied_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield batch
+            del batch
+            tidy()
+        tidy()
+
+    return tidied_run
+
+
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column and its n + 1 offsets; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -3,7 +3,8 @@
 Texts are tokenized and cut into pieces of a sequence's size at most. Best-fit decreasing runs on the driver over the
 numbers of pieces of each length, which are as many as a sequence has tokens whatever the corpus holds. It gives planned
 slots: so many pieces of a length, from a rank on, go to consecutive sequences at an offset. Pieces take their slots by a
-join on length and rank. Ranks are counted within parts of a length, so a length that many pieces share is no hot spot.
+join on length and rank. Each task ranks the pieces that it cuts, length by length, and the ranks of the tasks before are
+added, so neither a length that many pieces share nor an id, null or repeated, gathers rows in one task.
 
 Defined results: null and empty texts are one piece that holds the end token alone. Repeated rows are packed as often as
 they occur; rows with a null id too. Texts of any length are cut, none is left out. Other columns are ignored.
@@ -13,29 +14,31 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import carried, field, pieces, read, saved, share_path, strings
+from .common import carried, field, pieces, read, saved, share_path, strings, tidied
 
 CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers, in two generations.
-REMEMBERED = 800_000
+#: Bytes of words, their ids and the entries themselves that a worker remembers, in two generations.
+REMEMBERED = 48 << 20
+#: Bytes that an entry takes besides the word and its ids.
+ENTRY = 200
 #: Bytes of text that are encoded at a time.
-CHUNK = 4 << 20
-#: Pieces of one length that are ranked by one task, about.
-RANKED = 100_000
-#: Rows of the plan that are broadcast at most.
+CHUNK = 1 << 20
+#: Rows of the plan that are broadcast at most; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: The task that cut a piece, and the piece's rank among those of its length there.
+TASK, RANK = "__task", "__rank"
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -47,7 +50,6 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: ASCII letters and the bytes of non-ASCII characters up to U+00FF, of which ``learn`` checks that they make letters.
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), 0xC3, *range(0x80, 0xC0)]] = True
-_MIX = np.random.default_rng(3).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _SIGN = np.zeros(256, bool)
 _SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -67,8 +69,8 @@ def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(text, at, 32), offsets + np.searchsorted(at, offsets)
 
 
-def word_spans(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words between ASCII spaces: 64-bit hashes, each text's range among them, starts and stops."""
+def word_spans(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words between ASCII spaces: starts, stops, and each text's range among them."""
     inside = ~_SPACE[text]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -78,18 +80,43 @@ def word_spans(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     edges = offsets[1:][offsets[1:] > 0] - 1
     last[edges] = inside[edges]
     starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), starts, stops
-    place = np.arange(len(text), dtype=np.int32 if len(text) < 1 << 31 else np.int64)
-    place -= np.repeat(np.concatenate(([0], starts)).astype(place.dtype), np.diff(np.concatenate(([0], starts, [len(text)]))))
-    place[~inside] = 0
-    powers = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-    each = powers[place]
-    del place
-    each *= _MIX[text]
-    each[~inside] = 0
-    h = np.add.reduceat(each, starts, dtype=np.uint64)
-    return h ^ (h >> np.uint64(31)), np.searchsorted(starts, offsets), starts, stops
+    return starts, stops, np.searchsorted(starts, offsets)
+
+
+def equal_words(text: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one word of each kind, the kind of each word), by the words' bytes and not by a hash of them.
+
+    Words of up to 7 bytes are told by these and their length in one number, those of up to 15 by two, longer ones as they are.
+    """
+    size = stops - starts
+    padded = np.concatenate((text, np.zeros(16, np.uint8)))
+    eight = np.ndarray((len(text) + 8,), "<u8", padded, strides=(1,))
+    masks = np.array([(1 << (8 * k)) - 1 for k in range(8)], np.uint64)
+    firsts, back, n = [], np.zeros(len(starts), np.int64), 0
+
+    def tail(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return eight[at] & masks[left] | (left.astype(np.uint64) << np.uint64(56))
+
+    def keep(rows: np.ndarray, keys: np.ndarray) -> None:
+        nonlocal n
+        _, first, own = np.unique(keys, return_index=True, return_inverse=True)
+        firsts.append(rows[first])
+        back[rows] = own + n
+        n += len(first)
+
+    short = np.flatnonzero(size < 8)
+    keep(short, tail(starts[short], size[short]))
+    middle = np.flatnonzero((size >= 8) & (size < 16))
+    halves = [np.unique(x, return_inverse=True)[1].astype(np.int64) for x in (eight[starts[middle]], tail(starts[middle] + 8, size[middle] - 8))]
+    keep(middle, (halves[0] << 32) | halves[1])
+    kinds: dict[bytes, int] = {}
+    for i in np.flatnonzero(size >= 16).tolist():
+        word = text[starts[i] : stops[i]].tobytes()
+        if word not in kinds:
+            kinds[word] = n + len(kinds)
+            firsts.append(np.array([i]))
+        back[i] = kinds[word]
+    return np.concatenate(firsts), back
 
 
 class Encoder:
@@ -109,6 +136,7 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of ``known``
 
     def learn(self, plain: list[bytes], rest: list[bytes]) -> None:
         """Words are encoded as one text with spaces between.
@@ -137,25 +165,25 @@ class Encoder:
     def _keep(self, part: list[bytes], ids: np.ndarray, cuts: list[int]) -> None:
         body = ids.tobytes()
         self.known.update(zip(part, [body[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        self.held += len(body) + sum(map(len, part)) + ENTRY * len(part)
 
     def whole(self, text: bytes) -> bytes:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after the other, and each text's range among them.
-
-        Equal words are found by 64-bit hashes, and each is looked up once.
-        """
+        """The ids of all texts, one after the other, and each text's range among them. Each word is looked up once."""
         text, off = parted(data, offsets)
-        hashes, bounds, starts, stops = word_spans(text, off)
-        _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        starts, stops, bounds = word_spans(text, off)
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        first, back = equal_words(text, starts, stops)
         body = text.tobytes()
         words = [body[a:b] for a, b in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
-        if 2 * len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if 2 * self.held > REMEMBERED:
+            self.known, self.older, self.held = {}, self.known, 0
         found = list(map(self.known.get, words))
         if None in found:
-            odd = np.concatenate(([0], np.cumsum(~_LETTER[text])))
+            odd = np.concatenate(([0], np.cumsum(~_LETTER[text], dtype=np.int32)))
             plain = (odd[stops] == odd[starts])[first].tolist()
             new: tuple[list, list] = ([], [])
             for w, x, p in zip(words, found, plain, strict=True):
@@ -165,6 +193,7 @@ class Encoder:
                         new[not p].append(w)
                     else:
                         self.known[w] = old
+                        self.held += ENTRY + len(w) + len(old)
             self.learn(*new)
             found = list(map(self.known.__getitem__, words))
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
@@ -181,10 +210,11 @@ def _pieces(path: str, columns: list[str], text_col: str, size: int, end: int, k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
         tail, step = np.array([end], "<u4").tobytes(), 4 * size
+        task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             data, offsets = strings(batch.column(text_col))
-            row, piece, start, length, crc, kept = [], [], [], [], [], []
             for lo, hi in pieces(offsets, CHUNK):
+                row, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
                 own, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 every, bounds = encoder.encode(own, off)
                 special = b"<|" in own.tobytes()
@@ -195,30 +225,34 @@ def _pieces(path: str, columns: list[str], text_col: str, size: int, end: int, k
                     ids += tail
                     for k in range(0, len(ids), step):
                         part = ids[k : k + step]
+                        n = len(part) // 4
                         row.append(i)
                         piece.append(k // step)
                         start.append(k // 4)
-                        length.append(len(part) // 4)
+                        length.append(n)
                         crc.append(zlib.crc32(part))
+                        rank.append(int(seen[n]))
+                        seen[n] += 1
                         if keep_ids:
                             kept.append(np.frombuffer(part, "<u4").astype(np.int32))
-            taken = batch.take(pa.array(row, pa.int64()))
-            out = [*(taken.column(c) for c in columns), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
-            names = [*columns, "piece", "start", "length", "ids_crc32"]
-            if keep_ids:
-                out.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(out, names)
+                taken = [batch.column(c).take(pa.array(row, pa.int64())) for c in columns]
+                out = [*taken, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(np.full(len(row), task, np.int32)), pa.array(rank, pa.int64())]
+                names = [*columns, "piece", "start", "length", "ids_crc32", TASK, RANK]
+                if keep_ids:
+                    out.append(pa.array(kept, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
 
 def cut(docs: DataFrame, path: str, carry: list[str], text_col: str = "text", size: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
-    """A row for each piece: ``carry``, piece, start, length, ids_crc32 and, if asked for, ids."""
+    """A row for each piece: ``carry``, piece, start, length, ids_crc32, the task that cut it and its rank among those of its
+    length there and, if asked for, ids."""
     share_path(docs.sparkSession)
-    carry = carried(carry, "piece", "start", "length", "ids_crc32", "ids")
-    schema = ", ".join([*(field(docs, c) for c in carry), "piece int, start bigint, length bigint, ids_crc32 bigint", *(["ids array<int>"] if keep_ids else [])])
-    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(_pieces(path, carry, text_col, size, end, keep_ids), schema)
+    carry = carried(carry, "piece", "start", "length", "ids_crc32", "ids", TASK, RANK)
+    schema = ", ".join([*(field(docs, c) for c in carry), f"piece int, start bigint, length bigint, ids_crc32 bigint, {TASK} int, {RANK} bigint", *(["ids array<int>"] if keep_ids else [])])
+    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(tidied(_pieces(path, carry, text_col, size, end, keep_ids)), schema)
 
 
 def plan(counts: dict[int, int], size: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -263,30 +297,26 @@ def plan(counts: dict[int, int], size: int = CAPACITY) -> list[tuple[int, int, i
     return out
 
 
-def pack(cut_pieces: DataFrame, id_col: str = "doc_id", size: int = CAPACITY) -> DataFrame:
-    """The pieces (of ``cut``, written down before) with sequence_id and offset."""
+def pack(cut_pieces: DataFrame, size: int = CAPACITY) -> DataFrame:
+    """The pieces (of ``cut``, written down before, as tasks and ranks must not change) with sequence_id and offset."""
     spark = cut_pieces.sparkSession
-    counts = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``size`` rows at most
+    sizes = cut_pieces.groupBy("length", TASK).agg(F.count("*").alias("n"))
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # ``size`` rows at most
     rows = plan(counts, size)
     slots = spark.createDataFrame(rows or [(0, 0, 0, 0, 0)], "length bigint, first bigint, n bigint, sequence bigint, offset bigint")
     if len(rows) <= BROADCAST_ROWS:
         slots = F.broadcast(slots)
-    parts = max(64, sum(counts.values()) // RANKED)
-    key = F.pmod(F.xxhash64(id_col, "piece"), F.lit(parts)).alias("part")
-    split = cut_pieces.select("*", key)
-    sizes = split.groupBy("length", "part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    base = sizes.select("length", "part", F.coalesce(before, F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("length", "part").orderBy(id_col, "piece", "ids_crc32"))
-    ranked = split.withColumn("own", own).join(base, ["length", "part"]).withColumn("rank", F.col("base") + F.col("own") - 1)
+    before = F.sum("n").over(Window.partitionBy("length").orderBy(TASK).rowsBetween(Window.unboundedPreceding, -1))  # a row a task
+    base = sizes.select("length", TASK, F.coalesce(before, F.lit(0)).alias("base"))
+    ranked = cut_pieces.join(base, ["length", TASK]).withColumn("rank", F.col("base") + F.col(RANK))
     ranked, slots = ranked.alias("p"), slots.alias("s")
     on = (F.col("p.length") == F.col("s.length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
     placed = ranked.join(slots, on)
-    return placed.select(*(F.col(f"p.{c}") for c in cut_pieces.columns), (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("s.offset").alias("offset"))
+    return placed.select(*(F.col(f"p.{c}") for c in cut_pieces.columns if c not in (TASK, RANK)), (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("s.offset").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = CAPACITY, end: int = END) -> DataFrame:
-    return pack(saved(cut(docs, path, [id_col], text_col, size, end)), id_col, size)
+    return pack(saved(cut(docs, path, [id_col], text_col, size, end)), size)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:

@@ -372,3 +372,28 @@ def test_packing(spark, documents):
     assert all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in got.itertuples())
     assert got.length.sum() == sum(map(len, ids.values()))
     assert got.sequence_id.nunique() <= 1.01 * math.ceil(got.length.sum() / 4096) + 1
+
+
+def thue_morse(n):
+    """Two words of n letters that wrapping polynomial hashes of 64 bits cannot tell apart from 1,024 letters on."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 15, 16, 1024, 2048])
+def test_tokens_of_words_that_hashes_confuse(n):
+    encoder = packing.Encoder(packing.tokenizer_path())
+    texts = [x for w in thue_morse(n) for x in (w, f"{w} {w}", w[:-1] + "\0", w + "\0")]
+    data = [t.encode() for t in texts]
+    ids, bounds = encoder.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in data]))))
+    for k, e in enumerate(encoder.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == e.ids, texts[k][:40]
+
+
+def test_packing_of_null_ids_and_repeated_rows(spark):
+    frame = spark.createDataFrame([(None, "same words here")] * 300 + [(4, "same words here")] * 300 + [(k, "x " * k) for k in range(50)], "doc_id bigint, text string").repartition(7)
+    got = packing.pack_documents(frame, packing.tokenizer_path(), size=16).toPandas()
+    assert len(got[got.doc_id.isna()]) == 300
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own.offset.tolist() == [0, *own.length.cumsum()[:-1]] and own.length.sum() <= 16
