@@ -156,6 +156,16 @@ def chunks(lines, window, every, seed):
     return out
 
 
+def runs(counts, most):
+    """The shortest runs of more than ``most`` words that begin and that end with each line that has words."""
+    out = set()
+    for i in (k for k, n in enumerate(counts) if n):
+        stop = next((j for j in range(i + 1, len(counts) + 1) if sum(counts[i:j]) > most), None)
+        start = next((j for j in range(i, -1, -1) if sum(counts[j : i + 1]) > most), None)
+        out |= ({(i, stop)} if stop else set()) | ({(start, i + 1)} if start is not None else set())
+    return out
+
+
 def test_line_chunks(spark, documents):
     got = line_chunks.op4_line_chunks(spark, DATA).toPandas().set_index("doc_id")
     places = collections.defaultdict(list)
@@ -164,8 +174,9 @@ def test_line_chunks(spark, documents):
         found = set()
         for seed, window in enumerate(line_chunks.WINDOWS):
             found.update(chunks(own, window, line_chunks.EVERY, seed))
-        for a, b in found:
-            if b - a >= 2 and sum(len([w for w in x.split(" ") if w]) for x in own[a:b]) >= line_chunks.WORDS:
+        counts = [len([w for w in x.split(" ") if w]) for x in own]
+        for a, b in {(a, b) for a, b in found if b - a >= 2} | runs(counts, line_chunks.PASSAGE):
+            if sum(counts[a:b]) >= line_chunks.WORDS:
                 places[tuple(own[a:b])].append((i, a))
     gone = collections.defaultdict(set)
     for key, where in places.items():
