@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, field, joined, pieces, read, remainder, run_sums, share_path, strings
+from .common import carried, field, joined, pieces, read, remainder, run_sums, share_path, strings, tidied
 
 #: Trigrams are hashed to 2**BITS counters for each language: the bound of the model's size.
 BITS = 18
@@ -88,7 +88,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dic
     langs = sorted(r["l"] for r in known.select("l").distinct().collect())  # one row a language
     table = np.full((1 << BITS, max(1, len(langs))), SMOOTH)
     if langs:
-        counts = known.mapInArrow(_counter(langs), "lang int, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most languages * 2**BITS rows
+        counts = known.mapInArrow(tidied(_counter(langs)), "lang int, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most languages * 2**BITS rows
         np.add.at(table, (np.asarray(counts["slot"]), np.asarray(counts["lang"])), np.asarray(counts["n"]))
     return {"langs": langs, "logp": np.log(table / table.sum(0)).astype(np.float32)}
 
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, train: DataFrame, carry: list[str], text_col: str
     model = spark.sparkContext.broadcast(fit(train, text_col, lang_col))  # 4 * languages * 2**BITS bytes
     source = docs.select(*dict.fromkeys([*carry, text_col]), F.col(text_col).rlike(r"\p{L}").alias("__letter"))
     schema = ", ".join([*(field(docs, c) for c in carry), "lang_pred string", "score double", "languages array<string>", "gram_logp double"])
-    return source.mapInArrow(_scorer(model, carry, text_col), schema)
+    return source.mapInArrow(tidied(_scorer(model, carry, text_col)), schema)
 
 
 def op1_language_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

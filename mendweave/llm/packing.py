@@ -30,7 +30,7 @@ CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of words, their ids and the entries themselves that a worker remembers, in two generations.
-REMEMBERED = 48 << 20
+REMEMBERED = 32 << 20
 #: Bytes that an entry takes besides the word and its ids.
 ENTRY = 200
 #: Bytes of text that are encoded at a time.
@@ -203,12 +203,17 @@ class Encoder:
         return flat[np.repeat(begins[back] - total[:-1], own) + np.arange(total[-1])], total[bounds]
 
 
+#: The encoders of this worker, which tasks share.
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder_of(path: str) -> Encoder:
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+
+
 def _pieces(path: str, columns: list[str], text_col: str, size: int, end: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+        encoder = encoder_of(path)
         tail, step = np.array([end], "<u4").tobytes(), 4 * size
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:

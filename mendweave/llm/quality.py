@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, field, joined, labelled_sample, pieces, read, remainder, run_sums, share_path, strings
+from .common import carried, field, joined, labelled_sample, pieces, read, remainder, run_sums, share_path, strings, tidied
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 3000
@@ -108,7 +108,7 @@ def fit(sample: DataFrame, classes: int = 2, seed: int = 11) -> np.ndarray:
     The sample has a bounded number of rows; the driver gets their feature counts.
     """
     share_path(sample.sparkSession)
-    table = sample.mapInArrow(_sparse, "sample_id string, label int, slots array<int>, counts array<float>").toArrow()
+    table = sample.mapInArrow(tidied(_sparse), "sample_id string, label int, slots array<int>, counts array<float>").toArrow()
     rows = sorted(zip(table["sample_id"].to_pylist(), table["label"].to_pylist(), range(table.num_rows), strict=True), key=lambda r: (r[0], r[1]))
     slots, counts = (table[c].combine_chunks() for c in ("slots", "counts"))
     own = []
@@ -160,7 +160,7 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str], label_col: st
     chosen = labelled_sample(docs, labels, label_col, sample, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(chosen))  # 8 * 2**BITS bytes
     schema = ", ".join([*(field(docs, c) for c in carry), "score double"])
-    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(_scorer(model, carry, text_col), schema)
+    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(tidied(_scorer(model, carry, text_col)), schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

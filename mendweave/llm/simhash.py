@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, field, read, saved, share_path, strings
+from .common import carried, field, read, saved, share_path, strings, tidied
 from .components import components
 
 SHINGLE = 3
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, carry: list[str], text_col: str = "text", shin
     """``docs``' ``carry`` columns and fp, the fingerprint as a signed bigint."""
     share_path(docs.sparkSession)
     schema = ", ".join([*(field(docs, c) for c in carry), "fp bigint"])
-    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(_fingerprints(carry, text_col, shingle), schema)
+    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(tidied(_fingerprints(carry, text_col, shingle)), schema)
 
 
 class Golay:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, field, labelled_sample, read, remainder, share_path
+from .common import carried, field, labelled_sample, read, remainder, share_path, tidied
 
 #: Labelled documents that the lexicon and the curve are fitted on, at most.
 SAMPLE = 12000
@@ -206,7 +206,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, carry: list[str], label_c
     chosen = labelled_sample(docs, labels, label_col, sample, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(chosen, exceptions))  # ENTRIES entries at most
     schema = ", ".join([*(field(docs, c) for c in carry), "score double, n_matches bigint, matched array<string>"])
-    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(_scorer(model, exceptions, carry, text_col), schema)
+    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(tidied(_scorer(model, exceptions, carry, text_col)), schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,44 @@ def test_url_scores_at_every_share(spark):
     texts = spark.createDataFrame([(t,) for t, _ in urls[:30]] + [("xyz/none",)], "text string").distinct()
     whole, part = ({r["text"]: r["score"] for r in url_model.score(texts, url_model.fit(labelled, share=share)).collect()} for share in (17, 3))
     assert whole.keys() == part.keys() and all(abs(whole[t] - part[t]) < 1e-8 for t in whole)
+
+
+def test_decontamination_tables_stay_small():
+    """Memory of the tables of a block as large as one may be, against its text."""
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    code = """
+import random
+from mendweave.llm import decontaminate as d
+rng = random.Random(1)
+words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(20000)]
+items = [(i, " ".join(rng.choices(words, k=100))) for i in range(d.PASS_BYTES // 650)]
+size = sum(len(t) for _, t in items) / 2**20
+def rss():
+    return int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1]) / 1024
+before = rss()
+tables = d._tables(type("B", (), {"value": items}), "x", 13)
+from mendweave.llm.common import tidy
+tidy()
+assert rss() - before < 20 * size + 20, (rss() - before, size)
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=300)
+
+
+def test_decontamination_of_a_large_benchmark(spark):
+    """A benchmark of many blocks: every planted window is found, and the items that share one are all named."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 9))) for _ in range(5000)]
+    items = [(i, " ".join(rng.choices(words, k=60))) for i in range(3000)]
+    items += [(10_000 + i, items[i][1]) for i in range(5)]
+    docs = [(i, " ".join(rng.choices(words, k=30) + items[i][1].split()[7 : 7 + 13] + rng.choices(words, k=30))) for i in range(0, 3000, 37)] + [(-1, " ".join(rng.choices(words, k=900)))]
+    from mendweave.llm import decontaminate
+
+    frames = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontaminate.find_items(*frames, ["doc_id"], pass_bytes=200_000).collect()}
+    assert got.keys() == {i for i, _ in docs} and got[-1]["items"] == []
+    for i, _ in docs[:-1]:
+        assert set(got[i]["items"]) == {i} | ({10_000 + i} if i < 5 else set()) and (got[i]["hit_start"], got[i]["hit_end"]) == ([30], [43])
