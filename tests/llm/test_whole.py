@@ -16,7 +16,7 @@ def brute_groups(ids, sets, least):
     return label
 
 
-@pytest.mark.parametrize("late", [0, 1 << 16])
+@pytest.mark.parametrize("late", [0, 1 << 18])
 def test_near_copies(spark, monkeypatch, late):
     """Near copies at all similarities about 0.8, a passage that many texts share, and short, empty and null texts."""
     monkeypatch.setattr(near_copies, "SAMPLE", 1)
