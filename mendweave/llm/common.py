@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 
 from mendweave.session import share_path as share_path
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
 #: Bytes of text that a Python worker handles at a time.
 CHUNK = 2 << 20
+#: Bytes of labelled texts that a classifier is fitted on, at most.
+SAMPLE_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -123,6 +128,56 @@ def joined(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int, mark: int) -
     return out, marks
 
 
+def word_spans(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words between ASCII spaces: starts, stops, and each text's range among them."""
+    inside = ~_SPACE[text]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = offsets[:-1][offsets[:-1] < len(text)]
+    first[edges] = inside[edges]
+    edges = offsets[1:][offsets[1:] > 0] - 1
+    last[edges] = inside[edges]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, stops, np.searchsorted(starts, offsets)
+
+
+def equal_words(text: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one word of each kind, the kind of each word), by the words' bytes and not by a hash of them.
+
+    Words of up to 7 bytes are told by these and their length in one number, those of up to 15 by two, longer ones as they are.
+    """
+    size = stops - starts
+    padded = np.concatenate((text, np.zeros(16, np.uint8)))
+    eight = np.ndarray((len(text) + 8,), "<u8", padded, strides=(1,))
+    masks = np.array([(1 << (8 * k)) - 1 for k in range(8)], np.uint64)
+    firsts, back, n = [], np.zeros(len(starts), np.int64), 0
+
+    def tail(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return eight[at] & masks[left] | (left.astype(np.uint64) << np.uint64(56))
+
+    def keep(rows: np.ndarray, keys: np.ndarray) -> None:
+        nonlocal n
+        _, first, own = np.unique(keys, return_index=True, return_inverse=True)
+        firsts.append(rows[first])
+        back[rows] = own + n
+        n += len(first)
+
+    short = np.flatnonzero(size < 8)
+    keep(short, tail(starts[short], size[short]))
+    middle = np.flatnonzero((size >= 8) & (size < 16))
+    halves = [np.unique(x, return_inverse=True)[1].astype(np.int64) for x in (eight[starts[middle]], tail(starts[middle] + 8, size[middle] - 8))]
+    keep(middle, (halves[0] << 32) | halves[1])
+    kinds: dict[bytes, int] = {}
+    for i in np.flatnonzero(size >= 16).tolist():
+        word = text[starts[i] : stops[i]].tobytes()
+        if word not in kinds:
+            kinds[word] = n + len(kinds)
+            firsts.append(np.array([i]))
+        back[i] = kinds[word]
+    return np.concatenate(firsts), back
+
+
 def run_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[i]:bounds[i+1]], 0 for an empty range (which reduceat would not give)."""
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64 if values.dtype.kind == "f" else np.int64)
@@ -130,11 +185,12 @@ def run_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """At most ``limit`` labelled documents, chosen by a hash of the id: (id, label, text).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: int, id_col: str = "doc_id", text_col: str = "text", most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``limit`` labelled documents with ``most_bytes`` of text together, or one document, chosen by a hash of the id:
+    (sample_id, label, text), a row an id.
 
-    Of an id with several labels the largest counts. The ids are cut before the join with the texts, so the
-    side that is broadcast has ``limit`` rows at most.
+    Of an id with several labels the largest counts, of one with several texts that with the smallest hash. The ids are cut
+    before the join with the texts, so the side that is broadcast has ``limit`` rows at most.
     """
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -144,4 +200,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, limit: i
         .limit(limit)
     )
     texts = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "sample_id")
+    found = texts.join(F.broadcast(chosen), "sample_id").groupBy("sample_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    found = saved(found.select("sample_id", "label", "x.text"))
+    sizes = found.select("sample_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("sample_id"), "sample_id").collect()  # ``limit`` rows
+    total = np.cumsum([r["n"] or 0 for r in sizes])
+    if len(sizes) < 2 or total[-1] <= most_bytes:
+        return found
+    kept = sizes[: max(1, int(np.searchsorted(total, most_bytes, side="right")))]
+    ids = docs.sparkSession.createDataFrame([(r["sample_id"],) for r in kept], f"sample_id {docs.schema[id_col].dataType.simpleString()}")
+    return found.join(F.broadcast(ids), "sample_id", "left_semi")

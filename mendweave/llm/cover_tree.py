@@ -34,8 +34,9 @@ COSINE = 0.9
 BLOCK = 4096
 #: Pivots at most, and vectors that they are chosen from.
 PIVOTS, SAMPLE = 256, 4096
-#: Allowance for rounding in bounds; links themselves are decided by the product in double precision.
-SLACK = 1e-9
+#: Allowance for rounding in bounds: a distance found as the root of 2 - 2 * product is off by up to 3e-8 for near-equal points.
+#: Links themselves, and all that lies within the allowance, are decided by the product in double precision.
+SLACK = 1e-6
 #: Rows of a matrix product at a time.
 TILE = 1024
 

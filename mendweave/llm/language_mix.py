@@ -22,6 +22,8 @@ from .common import carried, field, joined, pieces, read, remainder, run_sums, s
 
 #: Trigrams are hashed to 2**BITS counters for each language: the bound of the model's size.
 BITS = 18
+#: Languages that are learned at most, those with most texts: a column of many values would else make a model without bound.
+LANGUAGES = 128
 #: Added to each counter.
 SMOOTH = 0.02
 #: Steps of expectation-maximisation at most.
@@ -63,9 +65,17 @@ def _words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.
     return slots[inner], bounds, np.searchsorted(first, at)
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of keys, added up over (keys, counts)."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
 def _counter(langs: list[str]):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), 1 << BITS), np.int64)
+        parts, held = [], 0
         index = {x: i for i, x in enumerate(langs)}
         for batch in batches:
             data, offsets = strings(batch.column(0))
@@ -74,9 +84,12 @@ def _counter(langs: list[str]):
                 slots, bounds, docs = _words(data, offsets, lo, hi)
                 each = np.repeat(own[lo:hi], np.diff(bounds[docs]))
                 known = each >= 0
-                total += np.bincount(each[known] * (1 << BITS) + slots[known], minlength=total.size).reshape(total.shape)
-        at, slot = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(total[at, slot])], ["lang", "slot", "n"])
+                parts.append(np.unique(each[known] * (1 << BITS) + slots[known], return_counts=True))
+                held += len(parts[-1][0])
+                if held > 4 << BITS:
+                    parts, held = [_added(parts)], 0
+        keys, n = _added(parts)
+        yield pa.RecordBatch.from_arrays([pa.array((keys >> BITS).astype(np.int32)), pa.array((keys & ((1 << BITS) - 1)).astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "slot", "n"])
 
     return count
 
@@ -85,7 +98,8 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dic
     """The languages, sorted, and an array [2**BITS, languages] of log probabilities of trigrams."""
     share_path(train.sparkSession)
     known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    langs = sorted(r["l"] for r in known.select("l").distinct().collect())  # one row a language
+    often = known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
+    langs = sorted(r["l"] for r in often.collect())
     table = np.full((1 << BITS, max(1, len(langs))), SMOOTH)
     if langs:
         counts = known.mapInArrow(tidied(_counter(langs)), "lang int, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most languages * 2**BITS rows

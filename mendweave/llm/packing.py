@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import carried, field, pieces, read, saved, share_path, strings, tidied
+from .common import carried, equal_words, field, pieces, read, saved, share_path, strings, tidied, word_spans
 
 CAPACITY = 4096
 END = 1
@@ -45,8 +45,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(97, 123)]] = True
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: ASCII letters and the bytes of non-ASCII characters up to U+00FF, of which ``learn`` checks that they make letters.
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(97, 123), 0xC3, *range(0x80, 0xC0)]] = True
@@ -69,56 +67,6 @@ def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.insert(text, at, 32), offsets + np.searchsorted(at, offsets)
 
 
-def word_spans(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words between ASCII spaces: starts, stops, and each text's range among them."""
-    inside = ~_SPACE[text]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    edges = offsets[:-1][offsets[:-1] < len(text)]
-    first[edges] = inside[edges]
-    edges = offsets[1:][offsets[1:] > 0] - 1
-    last[edges] = inside[edges]
-    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return starts, stops, np.searchsorted(starts, offsets)
-
-
-def equal_words(text: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one word of each kind, the kind of each word), by the words' bytes and not by a hash of them.
-
-    Words of up to 7 bytes are told by these and their length in one number, those of up to 15 by two, longer ones as they are.
-    """
-    size = stops - starts
-    padded = np.concatenate((text, np.zeros(16, np.uint8)))
-    eight = np.ndarray((len(text) + 8,), "<u8", padded, strides=(1,))
-    masks = np.array([(1 << (8 * k)) - 1 for k in range(8)], np.uint64)
-    firsts, back, n = [], np.zeros(len(starts), np.int64), 0
-
-    def tail(at: np.ndarray, left: np.ndarray) -> np.ndarray:
-        return eight[at] & masks[left] | (left.astype(np.uint64) << np.uint64(56))
-
-    def keep(rows: np.ndarray, keys: np.ndarray) -> None:
-        nonlocal n
-        _, first, own = np.unique(keys, return_index=True, return_inverse=True)
-        firsts.append(rows[first])
-        back[rows] = own + n
-        n += len(first)
-
-    short = np.flatnonzero(size < 8)
-    keep(short, tail(starts[short], size[short]))
-    middle = np.flatnonzero((size >= 8) & (size < 16))
-    halves = [np.unique(x, return_inverse=True)[1].astype(np.int64) for x in (eight[starts[middle]], tail(starts[middle] + 8, size[middle] - 8))]
-    keep(middle, (halves[0] << 32) | halves[1])
-    kinds: dict[bytes, int] = {}
-    for i in np.flatnonzero(size >= 16).tolist():
-        word = text[starts[i] : stops[i]].tobytes()
-        if word not in kinds:
-            kinds[word] = n + len(kinds)
-            firsts.append(np.array([i]))
-        back[i] = kinds[word]
-    return np.concatenate(firsts), back
-
-
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes, remembered by word.
 

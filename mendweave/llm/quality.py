@@ -7,8 +7,8 @@ a document at a time.
 The output is linear in the mean of the rows, so a fitted model is folded to one number for each hashed feature and
 class: scoring takes one look-up a feature, over the whole text.
 
-Defined results: null and empty texts get the score of the bias alone. Labels come from at most SAMPLE rows, chosen by
-a hash of the id; of an id with several labels the largest counts. Without labels every score is 0.5. Repeated rows get
+Defined results: null and empty texts get the score of the bias alone. Labels come from at most SAMPLE ids with SAMPLE_BYTES of
+text, chosen by a hash of the id; of an id with several labels the largest counts, and one of its texts. Without labels every score is 0.5. Repeated rows get
 the same score, other columns are ignored.
 """
 
@@ -105,7 +105,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(sample: DataFrame, classes: int = 2, seed: int = 11) -> np.ndarray:
     """From (sample_id, label, text) the folded model [2**BITS + 1, classes] of which the last row is the bias.
 
-    The sample has a bounded number of rows; the driver gets their feature counts.
+    The sample has a bounded number of rows and bytes; the driver gets their feature counts.
     """
     share_path(sample.sparkSession)
     table = sample.mapInArrow(tidied(_sparse), "sample_id string, label int, slots array<int>, counts array<float>").toArrow()

@@ -2,7 +2,8 @@
 
 Texts are folded first: lower case, accents and homoglyphs to Latin letters, digits and symbols inside words to the
 letters they stand for, all else to single spaces. The lexicon holds whole words and beginnings of words; an entry's
-weight is its log odds between toxic and other labelled documents. A match inside an exception phrase does not count.
+weight is its log odds between toxic and other labelled documents. A match inside an exception phrase does not count: these are
+learned, as phrases of two words that only other documents hold, and more can be given.
 The sum of the matched weights, divided by a power of the number of words, goes through a fitted logistic curve.
 
 Defined results: null, empty and letterless texts match nothing and get the score of a text without matches. Of an id
@@ -28,14 +29,12 @@ from .common import carried, field, labelled_sample, read, remainder, share_path
 
 #: Labelled documents that the lexicon and the curve are fitted on, at most.
 SAMPLE = 12000
-#: Entries of the lexicon at most; the strongest stay.
-ENTRIES = 5000
 #: Length of beginnings of words, in letters.
 STEMS = (3, 4, 5, 6)
 #: Toxic documents that must hold an entry, in number and as a part of all, and its log odds at least.
 SUPPORT, SHARE, ODDS = 4, 0.006, 2.5
-#: Phrases in which a word of the lexicon is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof", "sore loser rule", "pond scum")
+#: Other labelled documents that must hold a phrase with a match, none of them toxic, for it to be an exception.
+HARMLESS = 4
 
 # fixed values: letters of other scripts and symbols that look like Latin letters
 _LOOKS = {
@@ -118,10 +117,10 @@ def _prune(found: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> dic
         starts = [t[:n] for n in range(4, len(t)) if t[:n] in out]
         if not starts or weight[t] > max(out[s] for s in starts) + 1:
             out[t] = weight[t]
-    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
+    return dict(sorted(out.items(), key=lambda x: (-x[1], x[0])))
 
 
-def automaton(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
+def automaton(lexicon: dict[str, float], exceptions: tuple[str, ...] = ()):
     machine = ahocorasick.Automaton()
     for entry, weight in lexicon.items():
         machine.add_word(entry, (entry, weight))
@@ -150,19 +149,46 @@ def _measure(machine, text: str | None) -> tuple[float, int, list[str]]:
     return sum(h[3] for h in hits) / math.sqrt(1 + flat.count(" ") / 20), len(hits), sorted({h[2].strip() for h in hits})
 
 
-def fit(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> dict:
+def _phrases(machine, text: str | None) -> set[str]:
+    """The two-word phrases of a text that hold a match: the word with the one before and with the one after."""
+    flat, out = fold(text), set()
+    for start, end, _, _ in matches(machine, flat):
+        stop = flat.index(" ", end - 1)  # a beginning of a word stands for the word
+        word = flat[start + 1 : stop]
+        before, after = flat[:start].rsplit(" ", 1)[-1], flat[stop + 1 :].split(" ", 1)[0]
+        out.update(f"{a} {b}" for a, b in ((before, word), (word, after)) if a and b)
+    return out
+
+
+def _learned(sample: DataFrame, lexicon: dict[str, float]) -> list[str]:
+    """Exception phrases: matches with the word before or after, in HARMLESS other documents at least and in no toxic one."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(lexicon, ())
+        for batch in batches:
+            found = [(p, bool(label)) for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True) for p in _phrases(machine, text)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([t for _, t in found], pa.bool_())], ["phrase", "toxic"])
+
+    if not lexicon:
+        return []
+    counts = sample.select("label", "text").mapInArrow(count, "phrase string, toxic boolean").groupBy("phrase").agg(F.count_if("toxic").alias("a"), F.count_if(~F.col("toxic")).alias("b"))
+    return [r["phrase"] for r in counts.where((F.col("a") == 0) & (F.col("b") >= HARMLESS)).orderBy("phrase").collect()]  # of a bounded sample
+
+
+def fit(sample: DataFrame, exceptions: tuple[str, ...] = ()) -> dict:
     """The lexicon and the curve's two numbers, from (sample_id, label, text)."""
     share_path(sample.sparkSession)
     sample = sample.dropDuplicates(["label", "text"])  # copies are no further evidence
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
     if not n_toxic:
-        return {"lexicon": {}, "curve": (-30.0, 0.0)}
+        return {"lexicon": {}, "exceptions": exceptions, "curve": (-30.0, 0.0)}
     counts = sample.select("label", "text").mapInArrow(_tally, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n_toxic + 1)) - F.log((F.col("b") + 0.5) / (n_clean + 1))
     best = counts.where(F.col("a") >= min(max(SUPPORT, SHARE * n_toxic), n_toxic)).withColumn("odds", odds).where(F.col("odds") >= ODDS)
-    found = [(r["term"], r["a"], r["b"]) for r in best.orderBy(F.desc("odds"), F.length("term"), "term").limit(8 * ENTRIES).collect()]
+    found = [(r["term"], r["a"], r["b"]) for r in best.orderBy(F.desc("odds"), F.length("term"), "term").collect()]  # of a bounded sample
     lexicon = _prune(found, n_toxic, n_clean)
+    exceptions = (*exceptions, *_learned(sample, lexicon))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(lexicon, exceptions)
@@ -173,7 +199,7 @@ def fit(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> dict:
     table = sample.select("label", "text").mapInArrow(measured, "x double, label int").toArrow()
     x, y = np.asarray(table["x"], float), (np.asarray(table["label"]) == 1).astype(float)
     order = np.lexsort((y, x))
-    return {"lexicon": lexicon, "curve": _logistic(x[order], y[order])}
+    return {"lexicon": lexicon, "exceptions": exceptions, "curve": _logistic(x[order], y[order])}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -186,9 +212,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def _scorer(model, exceptions: tuple[str, ...], columns: list[str], text_col: str):
+def _scorer(model, columns: list[str], text_col: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, (bias, slope) = automaton(model.value["lexicon"], exceptions), model.value["curve"]
+        machine, (bias, slope) = automaton(model.value["lexicon"], model.value["exceptions"]), model.value["curve"]
         for batch in batches:
             got = [_measure(machine, t.as_py()) for t in batch.column(text_col)]
             z = [min(60, max(-60, bias + slope * math.log1p(max(x, 0)))) for x, _, _ in got]
@@ -200,13 +226,13 @@ def _scorer(model, exceptions: tuple[str, ...], columns: list[str], text_col: st
     return score
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, carry: list[str], label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", exceptions: tuple[str, ...] = EXCEPTIONS, sample: int = SAMPLE) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, carry: list[str], label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", exceptions: tuple[str, ...] = (), sample: int = SAMPLE) -> DataFrame:
     """``docs``' ``carry`` columns, score (probability that the label is 1), n_matches and matched (the entries found)."""
     carry = carried(carry, "score", "n_matches", "matched")
     chosen = labelled_sample(docs, labels, label_col, sample, id_col, text_col)
-    model = docs.sparkSession.sparkContext.broadcast(fit(chosen, exceptions))  # ENTRIES entries at most
+    model = docs.sparkSession.sparkContext.broadcast(fit(chosen, exceptions))  # of a bounded sample
     schema = ", ".join([*(field(docs, c) for c in carry), "score double, n_matches bigint, matched array<string>"])
-    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(tidied(_scorer(model, exceptions, carry, text_col)), schema)
+    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(tidied(_scorer(model, carry, text_col)), schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

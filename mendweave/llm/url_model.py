@@ -29,6 +29,8 @@ ORDER = 4
 SHARE = 17
 #: Weight of the shorter context, in occurrences.
 WEIGHT = 4.0
+#: URLs whose substrings a task makes, about.
+SPREAD = 5000
 #: Characters that the shortest model takes as equally likely.
 ALPHABET = 64.0
 #: One in so many labelled URLs is kept for the calibration.
@@ -109,10 +111,15 @@ def limit_of(scored: DataFrame) -> float:
     return best[0]["x"] - 0.005 if best else float("-inf")
 
 
+def _spread(texts: DataFrame) -> DataFrame:
+    """Over so many tasks that each has some thousand texts, as every text becomes hundreds of rows."""
+    return texts.repartition(max(texts.sparkSession.sparkContext.defaultParallelism, texts.count() // SPREAD), "text")
+
+
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, id_col: str = "page_id", url: str = "url") -> DataFrame:
     """id, host, path, rule, verdict and score of each page."""
     parts = ruled(pages.select(id_col, url), rules, url).withColumn("text", F.concat("host", "path"))
-    texts = saved(parts.where("text <> ''").groupBy("text").agg(F.max("verdict").alias("verdict")))
+    texts = _spread(saved(parts.where("text <> ''").groupBy("text").agg(F.max("verdict").alias("verdict"))))
     labelled = texts.where("verdict IS NOT NULL").select("text", (F.col("verdict") == "allow").alias("good"), (F.pmod(F.xxhash64("text"), F.lit(KEPT)) == 0).alias("held"))
     table = fit(labelled.where("NOT held").drop("held"))
     scores = saved(score(texts.select("text"), table))

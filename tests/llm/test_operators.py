@@ -60,13 +60,15 @@ def test_quality_of_held_out_rows(spark, labels):
     got = quality.op2_quality(spark, DATA).toPandas().set_index("doc_id").join(labels, how="inner")
     held = got[got.held_out]
     good, bad = held[held.quality == 1].score, held[held.quality == 0].score
-    assert np.mean([g > b for g in good for b in bad]) > 0.85  # area under the curve
+    assert np.mean([g > b for g in good for b in bad]) > 0.95  # area under the curve
 
 
-def test_toxicity_of_held_out_rows(spark, labels):
-    got = toxicity.op7_toxicity(spark, DATA).toPandas().set_index("doc_id").join(labels, how="inner")
+def test_toxicity_of_held_out_rows(spark):
+    labels = pd.read_parquet("/root/testdata/sf0.1/labels.parquet").set_index("doc_id")
+    got = toxicity.op7_toxicity(spark, "/root/testdata/sf0.1").toPandas().set_index("doc_id").join(labels, how="inner")
     held = got[got.held_out]
-    assert (held.predicted == held.toxic).mean() > 0.88
+    caught, right = (held.predicted[held.toxic == 1] == 1).mean(), (held.toxic[held.predicted == 1] == 1).mean()
+    assert caught >= 0.9 and right >= 0.9
 
 
 def test_folding_and_exceptions():
@@ -408,3 +410,49 @@ def test_packing_of_null_ids_and_repeated_rows(spark):
     for _, own in got.groupby("sequence_id"):
         own = own.sort_values("offset")
         assert own.offset.tolist() == [0, *own.length.cumsum()[:-1]] and own.length.sum() <= 16
+
+
+def test_no_link_below_the_limit_at_near_equal_points():
+    """Two points up to 1.4e-8 apart, one opposite, and queries whose cosine with them lies 4e-9 about 0.9."""
+    rng = np.random.default_rng(5)
+    for k in range(400):
+        a = cover_tree.unit(rng.normal(size=(1, 3)))[0]
+        side = cover_tree.unit(np.cross(a, rng.normal(size=3))[None])[0]
+        near = cover_tree.unit((a + rng.uniform(0, 1.4e-8) * side)[None])[0]
+        points = np.stack([a, near, -a])
+        c = 0.9 + rng.uniform(-4e-9, 4e-9)
+        query = cover_tree.unit((c * a + math.sqrt(1 - c * c) * (side if k % 2 else -side))[None])
+        ta, tb = cover_tree.Tree(points, 0.05), cover_tree.Tree(query, 0.05)
+        x, y = points[ta.order], query[tb.order]
+        count, _, _ = cover_tree.linked(x, ta, np.ones(3, int), y, tb, np.ones(1, int), False)
+        want = np.einsum("ij,ij->i", x, np.repeat(y, 3, 0)) >= 0.9
+        assert (count == want).all()
+
+
+def test_quality_is_the_same_for_repeated_rows(spark):
+    rows = [(i, f"good plain words {i % 7}" if i % 2 else f"!! b4d $$ w0rds {i % 5}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    once = spark.createDataFrame(rows, "doc_id bigint, text string")
+    many = once.union(spark.createDataFrame([rows[3]] * 500 + [rows[4]] * 300, "doc_id bigint, text string")).repartition(5)
+    a = {(r["doc_id"], r["score"]) for r in quality.classify(once, labels, ["doc_id"]).collect()}
+    assert a == {(r["doc_id"], r["score"]) for r in quality.classify(many, labels, ["doc_id"]).collect()}
+    assert quality.labelled_sample(many, labels, "quality", 50).count() == 50
+    assert quality.labelled_sample(many, labels, "quality", 50, most_bytes=100).count() == 5
+
+
+def test_learned_exceptions(spark):
+    rows = [(i, 1, f"you scum number {i}") for i in range(20)] + [(100 + i, 0, f"pond scum grows in lake {i}") for i in range(6)] + [(200 + i, 0, f"nice day {i}") for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows] + [(900, "the pond scum"), (901, "what scum")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, x) for i, x, _ in rows], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, labels, ["doc_id"]).collect()}
+    assert got[900]["matched"] == [] and got[901]["matched"] != [] and got[901]["score"] > got[900]["score"]
+
+
+def test_base_tells_words_that_hashes_confuse(spark):
+    for n in (1024, 2048):
+        one, other = thue_morse(n)
+        docs = spark.createDataFrame([(1, f"{one} {one} a"), (2, other)], "doc_id bigint, text string")
+        train = docs.where("doc_id = 1")
+        got = {r["doc_id"]: r for r in ctw.score_texts(docs, train, ["doc_id"], hot=0).collect()}
+        assert got[1]["n_known"] == 4 and got[2]["n_known"] == 1  # the end alone
+        assert abs(got[2]["base_score"] - math.log10(0.5 / 6) - math.log10(1.5 / 6)) < 1e-9
