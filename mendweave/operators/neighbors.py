@@ -29,41 +29,57 @@ def widen(targets: DataFrame, pages: DataFrame, id_col: str, url: str = "url", l
     return met.withColumn("pick", F.coalesce(enough, top)).where("level = pick").select(id_col, F.col("level").cast("bigint").alias("level"), "n")
 
 
-def closeness(target, neighbor) -> Column:
-    """A struct that sorts better neighbours first: same extension, shared tokens, tokens of the same class, query alike."""
-    a, b = U.tokens(target), U.tokens(neighbor)
-    ka, kb = U.query_keys(U.query(target)), U.query_keys(U.query(neighbor))
-    n = F.least(F.size(a), F.size(b))
-    kinds = F.size(F.filter(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: U.alnum_class(x) == U.alnum_class(y)), lambda x: x))
+def parts(pages: DataFrame, id_col: str, url: str = "url") -> DataFrame:
+    """What pages are compared by, found once a page: (id, url, host, p), p a struct of the URL's parts."""
+    pairs = U.query(url)
+    p = F.struct(
+        U.match_key(url).alias("form"),
+        U.extension(U.path(url)).alias("ext"),
+        U.tokens(url).alias("tokens"),
+        F.transform(U.tokens(url), U.alnum_class).alias("kinds"),
+        U.query_keys(pairs).alias("keys"),
+        U.query_values(pairs).alias("values"),
+        U.is_home(url).alias("home"),
+        (U.is_na(url) | U.extension(U.path(url)).isin(*U.NON_PAGES)).alias("bad"),
+    )
+    return pages.select(F.col(id_col), F.col(url), U.host(url).alias("host"), p.alias("p"))
+
+
+def closeness(a: str, b: str) -> Column:
+    """Of two ``parts``, a struct that sorts better neighbours first: same extension, shared tokens, tokens of the same class,
+    query alike."""
+    x, y = F.col(a), F.col(b)
+    n = F.least(F.size(x["kinds"]), F.size(y["kinds"]))
+    kinds = F.size(F.filter(F.zip_with(F.slice(x["kinds"], 1, n), F.slice(y["kinds"], 1, n), lambda p, q: p == q), lambda e: e))
     return F.struct(
-        (~U.same_ext(target, neighbor)).cast("int").alias("ext"),
-        (-F.size(F.array_intersect(a, b))).alias("tokens"),
+        (x["ext"] != y["ext"]).cast("int").alias("ext"),
+        (-F.size(F.array_intersect(x["tokens"], y["tokens"]))).alias("tokens"),
         (-kinds).alias("kinds"),
-        ((F.size(ka) > 0) != (F.size(kb) > 0)).cast("int").alias("query"),
-        (-F.size(F.array_intersect(ka, kb))).alias("keys"),
-        (-F.size(F.array_intersect(U.query_values(U.query(target)), U.query_values(U.query(neighbor))))).alias("values"),
+        ((F.size(x["keys"]) > 0) != (F.size(y["keys"]) > 0)).cast("int").alias("query"),
+        (-F.size(F.array_intersect(x["keys"], y["keys"]))).alias("keys"),
+        (-F.size(F.array_intersect(x["values"], y["values"]))).alias("values"),
     )
 
 
-def around(pages: DataFrame, id_col: str, url: str = "url", reach: int = 5) -> DataFrame:
-    """(id, url, cand_id, cand_url): the ``reach`` pages before and after each page in the order of its host's URLs.
+def on_host(targets: DataFrame, pages: DataFrame, id_col: str, url: str = "url") -> DataFrame:
+    """(id, url, p, cand_id, cand_url, q): each target with all other pages of its host; p and q are their ``parts``.
 
-    Pages of one section stand side by side in that order, so it holds the nearest of them; the number of pairs is linear.
+    The targets are a stated set, as for a search, so a host's pages are not paired with each other. They are few against the
+    pages: Spark splits a host that many pages share on the pages' side.
     """
-    own = Window.partitionBy("host").orderBy("dir", url, id_col)
-    base = pages.select(F.col(id_col), F.col(url), U.host(url).alias("host"), U.nondigit_dir(F.lower(U.path(url))).alias("dir"))
-    steps = [f(F.struct(F.col(id_col).alias("id"), F.col(url).alias("url")), k).over(own) for k in range(1, reach + 1) for f in (F.lag, F.lead)]
-    near = base.withColumn("near", F.array(*steps)).withColumn("c", F.explode(F.filter("near", lambda x: x.isNotNull())))
-    return near.select(id_col, url, F.col("c.id").alias("cand_id"), F.col("c.url").alias("cand_url"))
-
-
-def best(pairs: DataFrame, id_col: str, url: str, n: int, *more: Column) -> DataFrame:
-    """The n closest candidates of each page; suspicious ones and other forms of the page itself go. Each URL counts once."""
-    fair = pairs.where((U.match_key(url) != U.match_key("cand_url")) & ~U.is_suspicious(url, "cand_url"))
-    key = fair.withColumn("key", closeness(url, "cand_url")).withColumn("norm", U.match_key("cand_url"))
-    once = F.row_number().over(Window.partitionBy(id_col, "norm").orderBy("key", *more, "cand_id"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy("key", *more, "cand_id"))
-    return key.withColumn("once", once).where("once = 1").withColumn("rank", rank).where(F.col("rank") <= n)
+    own = parts(targets, id_col, url)
+    near = parts(pages, id_col, url).select(F.col(id_col).alias("cand_id"), F.col(url).alias("cand_url"), "host", F.col("p").alias("q"))
+    return own.join(near, "host").where(F.col(id_col) != F.col("cand_id")).drop("host")
+
+
+def best(pairs: DataFrame, id_col: str, url: str, n: int) -> DataFrame:
+    """The n closest candidates of each target of ``on_host``; suspicious ones and other forms of the target itself go. Each
+    URL counts once: its forms meet in a partial aggregate before anything is sorted."""
+    fair = pairs.where((F.col("p.form") != F.col("q.form")) & ~F.col("q.bad") & (F.col("p.home") | ~F.col("q.home")))
+    keyed = fair.select(id_col, url, F.col("q.form").alias("norm"), F.struct(closeness("p", "q").alias("key"), "cand_id", "cand_url").alias("c"))
+    once = keyed.groupBy(id_col, url, "norm").agg(F.min("c").alias("c")).select(id_col, url, "c.key", "c.cand_id", "c.cand_url")
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy("key", "cand_id"))
+    return once.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def backlink_score(target, page) -> Column:

@@ -72,6 +72,23 @@ def contains_either(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
 
 
+def containing(queries: DataFrame, sets: DataFrame, sizes: DataFrame, id_col: str, element: str) -> DataFrame:
+    """(query, doc, k): pairs of which one's set holds the other's, k elements in common. ``sets``: (id, element), a row an element.
+
+    A set that lies in another shares its rarest element with it, and one that holds another the other's rarest: pairs are
+    made by those alone, then counted by all elements.
+    """
+    df = sets.groupBy(element).agg(F.count("*").alias("df"))
+    rare = sets.join(df, element).groupBy(id_col).agg(F.min(F.struct("df", element)).alias("r")).select(id_col, F.col(f"r.{element}").alias(element))
+    q, d = queries.withColumnRenamed(id_col, "query"), sets.withColumnRenamed(id_col, "doc")
+    first = queries.select(id_col).distinct().join(rare, id_col).withColumnRenamed(id_col, "query").join(d, element).select("query", "doc")
+    second = q.join(rare.withColumnRenamed(id_col, "doc"), element).select("query", "doc")
+    own, other = sizes.select(F.col(id_col).alias("query"), F.col("n").alias("nq")), sizes.select(F.col(id_col).alias("doc"), F.col("n").alias("nd"))
+    pairs = first.union(second).where("query <> doc").distinct()
+    counted = pairs.join(q, "query").join(d, ["doc", element]).groupBy("query", "doc").agg(F.count("*").alias("k"))
+    return counted.join(own, "query").join(other, "doc").where("k = nq OR k = nd").select("query", "doc", "k")
+
+
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, k: int = 5, threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id, n_links): documents link if the Jaccard similarity of their word shingles reaches the threshold.
 

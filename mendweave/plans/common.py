@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mendweave.catalog import query
-from mendweave.session import share_path
+from mendweave.session import share_path, written
 from mendweave.sources.tables import table
 
-__all__ = ["F", "Window", "DataFrame", "SparkSession", "query", "table", "URLS", "PAIRS", "TITLES", "KEY", "literal", "values_sql"]
+__all__ = ["F", "Window", "DataFrame", "SparkSession", "query", "table", "written", "URLS", "PAIRS", "TITLES", "KEY", "literal", "values_sql"]
 
 #: Pages with the parts of their URLs.
 URLS = r"""u AS (

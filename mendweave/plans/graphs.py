@@ -24,9 +24,9 @@ def link_inlinks(spark, d):
     return G.in_degrees(edges(spark, d))
 
 
-@query("link_reach_depth", f"WITH RECURSIVE {_EDGES}, r AS (SELECT doc_id AS start, doc_id AS node, 0 AS depth FROM documents WHERE doc_id % 250 = 0 UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 4) SELECT start, node, min(depth)::BIGINT AS depth FROM r GROUP BY 1, 2")
+@query("link_reach_depth", f"WITH RECURSIVE {_EDGES}, r AS (SELECT doc_id AS start, doc_id AS node, 0 AS depth FROM documents WHERE doc_id % 50 = 0 UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 4) SELECT start, node, min(depth)::BIGINT AS depth FROM r GROUP BY 1, 2")
 def link_reach_depth(spark, d):
-    starts = table(spark, d, "documents").where("doc_id % 250 = 0").select(F.col("doc_id").alias("node"))
+    starts = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("node"))
     return G.reach(edges(spark, d), starts).withColumn("depth", F.col("depth").cast("bigint"))
 
 

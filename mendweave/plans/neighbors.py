@@ -11,12 +11,12 @@ _TOK = "list_concat([{b}], list_transform({s}, lambda x: lower(x)), list_transfo
 _CLASS = "CASE WHEN regexp_matches({0}, '[A-Za-z]') THEN 'A' ELSE '' END || CASE WHEN regexp_matches({0}, '[0-9]') THEN 'N' ELSE '' END"
 _KEYS = "list_transform({0}, lambda x: regexp_extract(x, '^([^=]+)=', 1))"
 _VALS = "list_transform({0}, lambda x: regexp_extract(x, '^[^=]+=(.*)$', 1))"
-_WORDS = "['login', 'subscription', 'error', 'notfound', '404', 'badpage', 'errorpath']"
+_WORDS = f"[{', '.join(repr(w) for w in U.ERROR_WORDS)}]"
 
-#: Candidates around each page, with the ranking's key.
-AROUND = f"""{URLS}, o AS (SELECT *, lower(dir) AS ldir, {KEY} AS mk, {_TOK.format(b='bare', s='segs', p='pairs')} AS tok, row_number() OVER (PARTITION BY host ORDER BY lower(dir), url, page_id) AS rn FROM s),
+#: All pages of the hosts of the targets (ids divisible by 50), with the ranking's key.
+AROUND = f"""{URLS}, o AS (SELECT *, {KEY} AS mk, {_TOK.format(b='bare', s='segs', p='pairs')} AS tok FROM s),
 c AS (SELECT a.page_id, b.page_id AS cand_id, a.mk AS m1, b.mk AS norm, a.ext AS e1, b.ext AS e2, a.tok AS t1, b.tok AS t2, a.pairs AS p1, b.pairs AS p2, a.path AS path1, a.query AS q1, b.path AS path2, b.query AS q2, b.leaf AS leaf2
-  FROM o a JOIN o b ON a.host = b.host AND a.rn <> b.rn AND abs(a.rn - b.rn) <= 5),
+  FROM o a JOIN o b ON a.host = b.host AND a.page_id <> b.page_id WHERE a.page_id % 50 = 0),
 f AS (SELECT page_id, cand_id, norm, (e1 <> e2)::INT AS k1, -len(list_intersect(t1, t2)) AS k2,
     -len(list_filter(range(1, least(len(t1), len(t2)) + 1), lambda i: {_CLASS.format('t1[i]')} = {_CLASS.format('t2[i]')})) AS k3,
     ((len(p1) > 0) <> (len(p2) > 0))::INT AS k4, -len(list_intersect({_KEYS.format('p1')}, {_KEYS.format('p2')})) AS k5, -len(list_intersect({_VALS.format('p1')}, {_VALS.format('p2')})) AS k6
@@ -30,23 +30,28 @@ def pages(spark, d):
     return table(spark, d, "pages").select("page_id", "url")
 
 
+def near(spark, d):
+    """The targets, pages whose id is divisible by 50, with all other pages of their hosts."""
+    p = pages(spark, d)
+    return B.on_host(p.where("page_id % 50 = 0"), p, "page_id")
+
+
 @query("replacement_candidates", f"WITH {AROUND} SELECT page_id, cand_id, -k2 AS shared, k1 = 0 AS same_ext FROM ranked WHERE rank = 1")
 def replacement_candidates(spark, d):
-    """For each page the best replacement candidate on its host."""
-    found = B.best(B.around(pages(spark, d), "page_id"), "page_id", "url", 1)
+    """For each target (ids divisible by 50) the best replacement among all pages of its host."""
+    found = B.best(near(spark, d), "page_id", "url", 1)
     return found.select("page_id", "cand_id", (-F.col("key.tokens")).cast("bigint").alias("shared"), (F.col("key.ext") == 0).alias("same_ext"))
 
 
 @query("neigh_rank", f"WITH {AROUND} SELECT page_id, cand_id, rank FROM ranked WHERE rank <= 5")
 def neigh_rank(spark, d):
-    return B.best(B.around(pages(spark, d), "page_id"), "page_id", "url", 5).select("page_id", "cand_id", F.col("rank").cast("bigint").alias("rank"))
+    return B.best(near(spark, d), "page_id", "url", 5).select("page_id", "cand_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("neigh_multi_target", f"WITH {AROUND} SELECT cand_id, count(*) AS n, min(rank) AS best FROM ranked WHERE rank <= 5 AND page_id % 50 = 0 GROUP BY 1")
+@query("neigh_multi_target", f"WITH {AROUND} SELECT cand_id, count(*) AS n, min(rank) AS best FROM ranked WHERE rank <= 5 GROUP BY 1")
 def neigh_multi_target(spark, d):
-    """Pages that are neighbours of several targets, the pages whose id is divisible by 50."""
-    near = B.around(pages(spark, d), "page_id").where("page_id % 50 = 0")
-    return B.best(near, "page_id", "url", 5).groupBy("cand_id").agg(F.count("*").alias("n"), F.min("rank").cast("bigint").alias("best"))
+    """Pages that are neighbours of several targets."""
+    return B.best(near(spark, d), "page_id", "url", 5).groupBy("cand_id").agg(F.count("*").alias("n"), F.min("rank").cast("bigint").alias("best"))
 
 
 _UP = """list_transform(range(0, least({n}, len(ds)) + 1), lambda k: {{'level': k, 'dir': gh || '|' || array_to_string(ds[1:len(ds) - k], '/')}})"""

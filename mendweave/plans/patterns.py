@@ -5,8 +5,8 @@ from __future__ import annotations
 from mendweave.operators import patterns as P
 from mendweave.operators import verify as V
 
-from .common import URLS, F, query, table
-from .neighbors import AROUND, pages
+from .common import URLS, F, query, table, written
+from .neighbors import AROUND, near, pages
 
 _CLS = "CASE WHEN regexp_matches({0}, '[A-Za-z]') THEN 'A' ELSE '' END || CASE WHEN regexp_matches({0}, '[0-9]') THEN 'N' ELSE '' END"
 _PATS = rf"""{URLS}, q AS (SELECT page_id, url, host, bare, unnest(list_concat(segs, pairs)) AS x, unnest(range(0, len(segs) + len(pairs))) AS j, list_concat(segs, pairs) AS parts FROM s),
@@ -65,8 +65,8 @@ CANDS = f"""{AROUND}, cd AS (SELECT r.page_id, r.cand_id, CASE WHEN {_METHOD.rep
 def candidates(spark, d):
     from mendweave.operators import neighbors as B
 
-    near = B.best(B.around(pages(spark, d), "page_id"), "page_id", "url", 3)
-    return near.select("page_id", "url", "cand_id", F.col("cand_url").alias("cand"), F.expr(_METHOD).alias("method"), F.when(F.col("cand_id") % 2 == 0, 0.9).otherwise(1.0).alias("value"))
+    best = B.best(near(spark, d), "page_id", "url", 3)
+    return best.select("page_id", "url", "cand_id", F.col("cand_url").alias("cand"), F.expr(_METHOD).alias("method"), F.when(F.col("cand_id") % 2 == 0, 0.9).otherwise(1.0).alias("value"))
 
 
 def ingested(spark, d):
@@ -87,7 +87,7 @@ def verify_multicast(spark, d):
 
 
 def ruled(spark, d):
-    return V.rules(V.drop_multicast(ingested(spark, d).persist())).persist()  # clusters read it several times
+    return written(V.rules(V.drop_multicast(written(ingested(spark, d)))))  # clusters read it several times
 
 
 @query("verify_rules")

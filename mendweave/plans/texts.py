@@ -85,6 +85,7 @@ g_{key} AS (SELECT DISTINCT {key}, g FROM (
     UNION ALL SELECT {key}, array_to_string(w, ' ') FROM t_{key} WHERE len(w) BETWEEN 1 AND {k}) WHERE g IS NOT NULL)"""
 
 
+_WORDSETS = f"tok AS (SELECT DISTINCT doc_id, unnest({_WORDS}) AS w FROM documents), wn AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1)"
 _SHINGLES = _grams("documents", "doc_id", 5, _WORDS) + ", sn AS (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN g_doc_id USING (doc_id) GROUP BY 1)"
 
 
@@ -113,13 +114,16 @@ def text_jaccard_next(spark, d):
     return own.join(other, F.col("other") == F.col("doc_id") + 1).select("doc_id", "other", F.round(U.jaccard("x", "y"), 6).alias("j"))
 
 
-@query("text_containment", rf"""WITH t AS (SELECT doc_id, source, list_distinct({_WORDS}[1:8]) AS w FROM documents), p AS (SELECT a.doc_id, b.doc_id AS other, a.w AS x, b.w AS y FROM t a JOIN t b ON b.doc_id = a.doc_id + 1)
-SELECT doc_id, other, len(list_filter(x, lambda i: NOT list_contains(y, i))) = 0 OR len(list_filter(y, lambda i: NOT list_contains(x, i))) = 0 AS contained FROM p""")
+@query(
+    "text_containment",
+    rf"""WITH {_WORDSETS}, c AS (SELECT a.doc_id AS query, b.doc_id AS doc, count(*) AS k FROM tok a JOIN tok b ON a.w = b.w AND a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0 GROUP BY 1, 2)
+SELECT query, doc, k FROM c JOIN wn x ON x.doc_id = query JOIN wn y ON y.doc_id = doc WHERE k = x.n OR k = y.n""",
+)
 def text_containment(spark, d):
-    """Of the opening words, as a title: does one set hold the other?"""
-    own = documents(spark, d).select("doc_id", F.array_distinct(F.slice(X.words("text"), 1, 8)).alias("x"))
-    other = own.select(F.col("doc_id").alias("other"), F.col("x").alias("y"))
-    return own.join(other, F.col("other") == F.col("doc_id") + 1).select("doc_id", "other", S.contains_either(F.col("x"), F.col("y")).alias("contained"))
+    """Of the words of whole texts: which texts does a query (ids divisible by 50) hold, or lie in?"""
+    sets = documents(spark, d).select("doc_id", F.explode(F.array_distinct(X.words("text"))).alias("w"))
+    sizes = sets.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return S.containing(sets.where("doc_id % 50 = 0"), sets, sizes, "doc_id", "w")
 
 
 _PLAIN = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -14,3 +18,21 @@ def share_path(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{ROOT}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else ROOT
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again: for frames that a plan reads several times.
+
+    A folder of this machine is made only if the session names none and runs all its tasks here, as in tests.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="mendweave-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return df.checkpoint()
