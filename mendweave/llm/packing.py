@@ -30,7 +30,7 @@ CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of words, their ids and the entries themselves that a worker remembers, in two generations.
-REMEMBERED = 32 << 20
+REMEMBERED = 64 << 20
 #: Bytes that an entry takes besides the word and its ids.
 ENTRY = 200
 #: Bytes of text that are encoded at a time.
