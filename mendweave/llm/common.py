@@ -79,10 +79,25 @@ def tidy() -> None:
         trim(0)
 
 
-def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, which tidies up after each batch that it gives."""
+#: What workers keep between tasks, by the operator that made it.
+_KEPT: dict[str, dict] = {}
+
+
+def kept(name: str) -> dict:
+    return _KEPT.setdefault(name, {})
+
+
+def forget(but: str | None) -> None:
+    """Drop what the other operators kept in this worker."""
+    for name in [k for k in _KEPT if k != but]:
+        del _KEPT[name]
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which tidies up after each batch that it gives, and first drops what a worker keeps but ``kept(keeps)``."""
 
     def tidied_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         for batch in run(batches):
             yield batch
             del batch

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import carried, field, joined, pieces, read, saved, share_path, strings, tidied
+from .common import carried, field, joined, kept, pieces, read, saved, share_path, strings, tidied
 
 #: Words of a window.
 WINDOW = 13
@@ -161,16 +161,14 @@ def searchers(patterns: Patterns) -> list[Searcher]:
     return [Searcher(patterns, np.flatnonzero(kind == k)) for k in np.unique(kind)]
 
 
-#: The tables of the block that this worker searched for last.
-_LAST: dict = {}
-
-
 def _tables(items, key: str, size: int) -> tuple[Patterns, list[Searcher]]:
-    if key not in _LAST:
-        _LAST.clear()
+    """The tables of a block; a worker keeps those that it searched for last."""
+    last = kept("patterns")
+    if key not in last:
+        last.clear()
         patterns = Patterns(items.value, size)
-        _LAST[key] = patterns, searchers(patterns)
-    return _LAST[key]
+        last[key] = patterns, searchers(patterns)
+    return last[key]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
@@ -259,13 +257,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_col
         return spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part.collect()])  # about pass_bytes
 
     if blocks == 1:
-        run = tidied(_search(block(0), carry, text_col, window, to_arrow_type(kind)))
+        run = tidied(_search(block(0), carry, text_col, window, to_arrow_type(kind)), "patterns")
         return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(run, f"{head}, {found}")
     rows = saved(docs.select(*dict.fromkeys([*carry, text_col]), F.monotonically_increasing_id().alias("__row")))
     counted, hits = None, None
     for b in range(blocks):
         items = block(b)
-        each = rows.select("__row", text_col).mapInArrow(tidied(_search(items, ["__row"], text_col, window, to_arrow_type(kind))), f"__row bigint, {found}")
+        each = rows.select("__row", text_col).mapInArrow(tidied(_search(items, ["__row"], text_col, window, to_arrow_type(kind)), "patterns"), f"__row bigint, {found}")
         if counted is None:
             counted = each = saved(each)
         own = each.where(F.size("hit_start") > 0).select("__row", "hit_start", "hit_end", "items")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import carried, equal_words, field, pieces, read, saved, share_path, strings, tidied, word_spans
+from .common import carried, equal_words, field, kept, pieces, read, saved, share_path, strings, tidied, word_spans
 
 CAPACITY = 4096
 END = 1
@@ -151,12 +151,9 @@ class Encoder:
         return flat[np.repeat(begins[back] - total[:-1], own) + np.arange(total[-1])], total[bounds]
 
 
-#: The encoders of this worker, which tasks share.
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
-    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+    """The encoder that this worker's tasks share."""
+    return kept("encoders").get(path) or kept("encoders").setdefault(path, Encoder(path))
 
 
 def _pieces(path: str, columns: list[str], text_col: str, size: int, end: int, keep_ids: bool):
@@ -167,7 +164,7 @@ def _pieces(path: str, columns: list[str], text_col: str, size: int, end: int, k
         for batch in batches:
             data, offsets = strings(batch.column(text_col))
             for lo, hi in pieces(offsets, CHUNK):
-                row, piece, start, length, crc, rank, kept = [], [], [], [], [], [], []
+                row, piece, start, length, crc, rank, each = [], [], [], [], [], [], []
                 own, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 every, bounds = encoder.encode(own, off)
                 special = b"<|" in own.tobytes()
@@ -187,12 +184,12 @@ def _pieces(path: str, columns: list[str], text_col: str, size: int, end: int, k
                         rank.append(int(seen[n]))
                         seen[n] += 1
                         if keep_ids:
-                            kept.append(np.frombuffer(part, "<u4").astype(np.int32))
+                            each.append(np.frombuffer(part, "<u4").astype(np.int32))
                 taken = [batch.column(c).take(pa.array(row, pa.int64())) for c in columns]
                 out = [*taken, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array(np.full(len(row), task, np.int32)), pa.array(rank, pa.int64())]
                 names = [*columns, "piece", "start", "length", "ids_crc32", TASK, RANK]
                 if keep_ids:
-                    out.append(pa.array(kept, pa.list_(pa.int32())))
+                    out.append(pa.array(each, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names)
 
@@ -205,7 +202,7 @@ def cut(docs: DataFrame, path: str, carry: list[str], text_col: str = "text", si
     share_path(docs.sparkSession)
     carry = carried(carry, "piece", "start", "length", "ids_crc32", "ids", TASK, RANK)
     schema = ", ".join([*(field(docs, c) for c in carry), f"piece int, start bigint, length bigint, ids_crc32 bigint, {TASK} int, {RANK} bigint", *(["ids array<int>"] if keep_ids else [])])
-    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(tidied(_pieces(path, carry, text_col, size, end, keep_ids)), schema)
+    return docs.select(*dict.fromkeys([*carry, text_col])).mapInArrow(tidied(_pieces(path, carry, text_col, size, end, keep_ids), "encoders"), schema)
 
 
 def plan(counts: dict[int, int], size: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
