@@ -30,17 +30,26 @@ def pages(spark, d):
     return table(spark, d, "pages").select("page_id", "url")
 
 
-def near(spark, d):
-    """The targets, pages whose id is divisible by 50, with all other pages of their hosts."""
+#: The stated targets.
+TARGETS = "page_id % 50 = 0"
+
+
+def near(spark, d, targets: str = TARGETS):
+    """The targets with all other pages of their hosts."""
     p = pages(spark, d)
-    return B.on_host(p.where("page_id % 50 = 0"), p, "page_id")
+    return B.on_host(p.where(targets), p, "page_id")
+
+
+def replacements(spark, d, targets: str = TARGETS):
+    """For each target the best replacement among all pages of its host."""
+    found = B.best(near(spark, d, targets), "page_id", "url", 1)
+    return found.select("page_id", "cand_id", (-F.col("key.tokens")).cast("bigint").alias("shared"), (F.col("key.ext") == 0).alias("same_ext"))
 
 
 @query("replacement_candidates", f"WITH {AROUND} SELECT page_id, cand_id, -k2 AS shared, k1 = 0 AS same_ext FROM ranked WHERE rank = 1")
 def replacement_candidates(spark, d):
-    """For each target (ids divisible by 50) the best replacement among all pages of its host."""
-    found = B.best(near(spark, d), "page_id", "url", 1)
-    return found.select("page_id", "cand_id", (-F.col("key.tokens")).cast("bigint").alias("shared"), (F.col("key.ext") == 0).alias("same_ext"))
+    """The best replacement of each target (ids divisible by 50)."""
+    return replacements(spark, d)
 
 
 @query("neigh_rank", f"WITH {AROUND} SELECT page_id, cand_id, rank FROM ranked WHERE rank <= 5")
