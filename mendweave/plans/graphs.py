@@ -2,45 +2,58 @@
 
 from __future__ import annotations
 
+from mendweave.functions import html as H
+from mendweave.functions import urls as U
 from mendweave.operators import graph as G
 from mendweave.operators import infer as I
 from mendweave.streaming import events as E
 
-from .common import URLS, F, Window, literal, query, table, values_sql
+from .common import URLS, F, Window, literal, query, table, values_sql, written
+from .html import LINKS
+from .patterns import CANDS, ingested
 
-#: Each document leads to two others.
-_EDGES = "e AS (SELECT doc_id AS src, (doc_id * 7 + 3) % (SELECT count(*) FROM documents) AS dst FROM documents UNION SELECT doc_id, (doc_id * 13 + 5) % (SELECT count(*) FROM documents) FROM documents)"
+#: Links within a host: a page's URL, and the host and path that it links to.
+_EDGES = f"{LINKS}, {URLS}, e AS (SELECT DISTINCT url AS src, host || CASE WHEN starts_with(href, '/') THEN regexp_extract(href, '^[^?#]*', 0) ELSE regexp_extract(href, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) END AS dst FROM l JOIN s USING (page_id))"
+#: The same in both directions: from a target of links back to the pages that hold them.
+_BOTH = f"{_EDGES}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), st AS (SELECT url AS start FROM pages WHERE page_id % 50 = 0)"
 
 
 def edges(spark, d):
-    docs = table(spark, d, "documents").select("doc_id")
-    n = docs.count()
-    two = [docs.select(F.col("doc_id").alias("src"), ((F.col("doc_id") * a + b) % n).alias("dst")) for a, b in ((7, 3), (13, 5))]
-    return two[0].union(two[1]).distinct()
+    own = table(spark, d, "pages").select("url", F.explode(H.links("html")).alias("l")).select("url", U.resolve("url", "l.href").alias("to"))
+    return own.select(F.col("url").alias("src"), F.concat(U.host("url"), U.path("to")).alias("dst")).distinct()
+
+
+def walkable(spark, d):
+    """Links and the way back along them, written once as every step reads them; and the starts, pages with an id divisible by 50."""
+    own = written(edges(spark, d))
+    starts = table(spark, d, "pages").where("page_id % 50 = 0").select(F.col("url").alias("node"))
+    return own.union(own.select("dst", "src")), starts
 
 
 @query("link_inlinks", f"WITH {_EDGES} SELECT dst, count(DISTINCT src) AS n FROM e GROUP BY 1")
 def link_inlinks(spark, d):
+    """How many pages of its host link to each target."""
     return G.in_degrees(edges(spark, d))
 
 
-@query("link_reach_depth", f"WITH RECURSIVE {_EDGES}, r AS (SELECT doc_id AS start, doc_id AS node, 0 AS depth FROM documents WHERE doc_id % 50 = 0 UNION SELECT r.start, e.dst, r.depth + 1 FROM r JOIN e ON r.node = e.src WHERE r.depth < 4) SELECT start, node, min(depth)::BIGINT AS depth FROM r GROUP BY 1, 2")
+@query("link_reach_depth", f"WITH RECURSIVE {_BOTH}, r AS (SELECT start, start AS node, 0 AS depth FROM st UNION SELECT r.start, b.dst, r.depth + 1 FROM r JOIN b ON r.node = b.src WHERE r.depth < 4) SELECT start, node, min(depth)::BIGINT AS depth FROM r GROUP BY 1, 2")
 def link_reach_depth(spark, d):
-    starts = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("node"))
-    return G.reach(edges(spark, d), starts).withColumn("depth", F.col("depth").cast("bigint"))
+    """What the starts reach in four steps along links and back."""
+    both, starts = walkable(spark, d)
+    return G.reach(both, starts).withColumn("depth", F.col("depth").cast("bigint"))
 
 
 @query(
     "link_frontier_topk",
-    f"""WITH {_EDGES}, s AS (SELECT doc_id AS start FROM documents WHERE doc_id % 50 = 0),
-a AS (SELECT start, dst, row_number() OVER (PARTITION BY start ORDER BY abs(dst - start), dst) AS k FROM s JOIN e ON s.start = e.src WHERE dst <> start),
-b AS (SELECT a.start, e.dst, min(abs(e.dst - a.start)) AS score FROM a JOIN e ON a.dst = e.src WHERE a.k <= 3 AND e.dst <> a.start AND e.dst <> a.dst GROUP BY 1, 2),
-c AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY score, dst) AS k FROM b)
-SELECT start, start AS node, 0::BIGINT AS depth FROM s UNION ALL SELECT start, dst, 1 FROM a WHERE k <= 3 UNION ALL SELECT start, dst, 2 FROM c WHERE k <= 3""",
+    f"""WITH {_BOTH}, a AS (SELECT start, dst, row_number() OVER (PARTITION BY start ORDER BY abs(length(dst) - length(start)), dst) AS k FROM st JOIN b ON start = src),
+c AS (SELECT DISTINCT a.start, b.dst FROM a JOIN b ON a.dst = b.src WHERE a.k <= 3 AND b.dst <> a.start AND b.dst <> a.dst),
+f AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY abs(length(dst) - length(start)), dst) AS k FROM c)
+SELECT start, start AS node, 0::BIGINT AS depth FROM st UNION ALL SELECT start, dst, 1 FROM a WHERE k <= 3 UNION ALL SELECT start, dst, 2 FROM f WHERE k <= 3""",
 )
 def link_frontier_topk(spark, d):
-    starts = table(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("node"))
-    found = G.best_first(edges(spark, d), starts, F.abs(F.col("dst") - F.col("start")), depth=2, trim=3)
+    """The search for pages with the starts' links, three best of each step: those whose URL is about as long."""
+    both, starts = walkable(spark, d)
+    found = G.best_first(both, starts, F.abs(F.length("dst") - F.length("start")), depth=2, trim=3)
     return found.select("start", "node", F.col("depth").cast("bigint").alias("depth"))
 
 
@@ -54,13 +67,14 @@ def link_guesses(spark, d):
     return G.guesses(p.where("page_id % 50 = 0"), p, "page_id")
 
 
-_STATES = [(False, False, False, False, "NotLinked"), (True, False, False, False, "NoDrop"), (True, True, False, False, "NoMatch"), (True, True, True, False, "Broken"), (True, True, True, True, "Found")]
+_SEEN = "event_id % 2 = 0 AS linked, event_id % 3 = 0 AS dropped, value > 30 AS matched, event_type <> 'error' AS works"
 
 
-@query("backlink_states", f"SELECT linked, dropped, state FROM {values_sql(_STATES, 'linked, dropped, matched, works, state')}")
+@query("backlink_states", f"WITH x AS (SELECT event_id, {_SEEN} FROM events) SELECT event_id, CASE WHEN NOT linked THEN 'NotLinked' WHEN NOT dropped THEN 'NoDrop' WHEN NOT matched THEN 'NoMatch' WHEN NOT works THEN 'Broken' ELSE 'Found' END AS state FROM x")
 def backlink_states(spark, d):
-    own = literal(spark, _STATES, "linked boolean, dropped boolean, matched boolean, works boolean, s string")
-    return own.select("linked", "dropped", G.state(F.col("linked"), F.col("dropped"), F.col("matched"), F.col("works")).alias("state"))
+    """What events tell when taken as looks at a backlink."""
+    own = table(spark, d, "events").selectExpr("event_id", *(x.strip() for x in _SEEN.split(",")))
+    return own.select("event_id", G.state(F.col("linked"), F.col("dropped"), F.col("matched"), F.col("works")).alias("state"))
 
 
 _EXAMPLES = [
@@ -84,19 +98,19 @@ def infer_programs(spark, d):
     return I.infer(literal(spark, _EXAMPLES, "cluster string, url string, title string, alias string, i string").drop("i")).select("cluster", "url", "inferred")
 
 
-@query("infer_sheet", f"""WITH x AS (SELECT * FROM {values_sql(_EXAMPLES, 'cluster, url, title, alias, inferred')}), y AS (
-  SELECT cluster, list_filter(string_split(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segs, list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda s: regexp_matches(s, '^[^=]+=.+')) AS pairs FROM x),
+@query("infer_sheet", rf"""WITH {URLS}, y AS (SELECT regexp_replace(host, '^[^.]*www[^.]*\.', '') || '|' || lower(dir) AS cluster, segs, pairs FROM s),
 z AS (SELECT cluster, unnest(list_concat(list_concat(list_transform(range(0, len(segs)), lambda i: 'Url' || i), list_transform(pairs, lambda p: 'Query_' || regexp_extract(p, '^([^=]+)=', 1))), ['Meta0'])) AS col FROM y)
-SELECT cluster, col, count(*) AS n FROM z GROUP BY 1, 2""".replace("\\\\?", "\\?"))
+SELECT cluster, col, count(*) AS n FROM z GROUP BY 1, 2""")
 def infer_sheet(spark, d):
-    own = literal(spark, _EXAMPLES, "cluster string, url string, title string, alias string, i string")
+    """How many pages of a section fill each column of its sheet."""
+    own = table(spark, d, "pages").select(U.netloc_dir("url").alias("cluster"), "url", H.title("html").alias("title"))
     return I.sheet(own).groupBy("cluster", "col").agg(F.count("*").alias("n"))
 
 
-@query("infer_fanin", f"WITH x AS (SELECT * FROM {values_sql(_EXAMPLES, 'cluster, url, title, alias, inferred')}) SELECT alias, count(DISTINCT url) AS n FROM x WHERE alias IS NOT NULL GROUP BY 1")
+@query("infer_fanin", f"WITH {CANDS} SELECT ncand AS alias, count(DISTINCT nurl) AS n FROM cd GROUP BY 1")
 def infer_fanin(spark, d):
-    own = literal(spark, _EXAMPLES, "cluster string, url string, title string, alias string, i string")
-    return own.where("alias IS NOT NULL").groupBy("alias").agg(F.countDistinct("url").alias("n"))
+    """How many of the targets lead to each candidate."""
+    return ingested(spark, d).groupBy(F.col("ncand").alias("alias")).agg(F.countDistinct("nurl").alias("n"))
 
 
 @query("vec_cosine", "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0), c AS (SELECT q.vec_id AS query, e.vec_id AS doc, list_cosine_similarity(q.v, e.v) AS c FROM q JOIN e ON q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, doc) AS k FROM c) SELECT query, doc, round(c, 6) AS cosine FROM r WHERE k <= 3")

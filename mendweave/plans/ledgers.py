@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from mendweave.functions import urls as U
 from mendweave.operators import ledger as L
 from mendweave.operators import liveness as V
 
-from .common import F, literal, query, table, values_sql
+from .common import URLS, F, literal, query, table, values_sql
 from .snapshots import SNAPS, snaps
 
 _STATUS = [
@@ -65,13 +66,13 @@ def live_redirect_hops(spark, d):
     return own.select("id", F.array_join(V.real_hops("hops"), " ").alias("hops"))
 
 
-_ROBOTS = [("http://a.com/private/x", False), ("http://a.com/public", True), ("http://b.com/private/x", True)]
-
-
-@query("robots_allowed", f"SELECT url, allowed FROM {values_sql(_ROBOTS, 'url, allowed')}")
+@query("robots_allowed", f"WITH {URLS}, r AS (SELECT DISTINCT host, '/' || segs[1] || '/' AS disallow FROM s WHERE page_id % 10 = 0 AND len(segs) > 0) SELECT url, NOT EXISTS (SELECT 1 FROM r WHERE r.host = s.host AND starts_with(s.path, r.disallow)) AS allowed FROM s")
 def robots_allowed(spark, d):
-    rules = literal(spark, [("a.com", "/private/"), ("a.com", "/tmp"), ("b.com", "")], "host string, disallow string")
-    return V.allowed(literal(spark, _ROBOTS, "url string, a boolean").select("url"), rules)
+    """Which pages may be fetched, where each host forbids the first folders of its pages with an id divisible by 10."""
+    own = table(spark, d, "pages").select("page_id", "url")
+    first = F.get(U.segments(U.path("url")), 0)
+    rules = own.where("page_id % 10 = 0").select(U.host("url").alias("host"), F.concat(F.lit("/"), first, F.lit("/")).alias("disallow")).where("disallow IS NOT NULL").distinct()
+    return V.allowed(own.select("url"), rules)
 
 
 @query("url_perturb")
@@ -111,13 +112,11 @@ def ledger_expire(spark, d):
     return L.expire(s, F.lit("2024-01-20").cast("timestamp_ntz"), "expires", "status").select("event_id", "status")
 
 
-_TTL = [("2024-01-01 00:00:00", "max-age=60", "2024-01-31 00:00:00"), ("2024-01-01 00:00:00", "public, max-age=5184000", "2024-03-01 00:00:00"), ("2024-01-01 00:00:00", "no-store", "2024-01-31 00:00:00")]
-
-
-@query("ledger_ttl", f"SELECT header, expires FROM {values_sql(_TTL, 'fetched, header, expires')}")
+@query("ledger_ttl", "SELECT event_id, strftime(ts + to_seconds(greatest(CASE WHEN event_id % 3 = 0 THEN event_id * 5000 ELSE 0 END, 2592000)), '%Y-%m-%d %H:%M:%S') AS expires FROM events")
 def ledger_ttl(spark, d):
-    own = literal(spark, _TTL, "fetched string, header string, e string").withColumn("fetched", F.col("fetched").cast("timestamp_ntz"))
-    return own.select("header", F.date_format(L.ttl("fetched", F.col("header")), "yyyy-MM-dd HH:mm:ss").alias("expires"))
+    """When pages expire; every third has a header with an age, the others forbid to store them."""
+    header = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("public, max-age="), (F.col("event_id") * 5000).cast("string"))).otherwise("no-store")
+    return snaps(spark, d).select("event_id", F.date_format(L.ttl("ts", header), "yyyy-MM-dd HH:mm:ss").alias("expires"))
 
 
 @query("trace_merge", f"WITH {SNAPS} SELECT user_id, status AS name, arg_max(value, event_id) AS value FROM sn GROUP BY 1, 2")

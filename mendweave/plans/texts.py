@@ -250,25 +250,29 @@ def text_stems(spark, d):
     return own.select("word", X.stems(F.array("word"))[0].alias("stem"))
 
 
-_MISC = [("20100102030405", "2010-01-02 03:04:05"), ("20100102", "2010-01-02 00:00:00"), ("2010", "2010-01-01 00:00:00"), ("x", None)]
+_RAW = "CASE event_id % 4 WHEN 0 THEN {0} WHEN 1 THEN left({0}, 8) WHEN 2 THEN left({0}, 4) ELSE event_type END"
 
 
-@query("text_lenient_ts", f"SELECT raw, ts FROM {values_sql(_MISC, 'raw, ts')}")
+@query("text_lenient_ts", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%d 00:00:00') WHEN 2 THEN strftime(ts, '%Y-01-01 00:00:00') END AS ts FROM events")
 def text_lenient_ts(spark, d):
-    return literal(spark, _MISC, "raw string, t string").select("raw", F.date_format(X.lenient_ts("raw"), "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    """Times from 14, 8 or 4 digits, or from a word that is none."""
+    own = table(spark, d, "events").select("event_id", F.expr(_RAW.format("date_format(ts, 'yyyyMMddHHmmss')")).alias("raw"))
+    return own.select("event_id", F.date_format(X.lenient_ts("raw"), "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-_LETTERS = [(0, "A"), (25, "Z"), (26, "AA"), (51, "AZ"), (52, "BA"), (701, "ZZ"), (702, "AAA")]
+_CHR = "chr((65 + {0})::INT)"
 
 
-@query("text_sheet_columns", f"SELECT n::BIGINT AS n, letters FROM {values_sql(_LETTERS, 'n, letters')}")
+@query("text_sheet_columns", f"""WITH x AS (SELECT page_id, page_id % 18278 AS n FROM pages)
+SELECT page_id, CASE WHEN n < 26 THEN {_CHR.format('n')} WHEN n < 702 THEN {_CHR.format('n // 26 - 1')} || {_CHR.format('n % 26')} ELSE {_CHR.format('(n - 702) // 676')} || {_CHR.format('(n - 702) // 26 % 26')} || {_CHR.format('n % 26')} END AS letters FROM x""")
 def text_sheet_columns(spark, d):
-    return literal(spark, _LETTERS, "n bigint, l string").select("n", X.sheet_column("n").alias("letters"))
+    return table(spark, d, "pages").select("page_id", X.sheet_column(F.col("page_id") % 18278).alias("letters"))
 
 
-_WHOLE = [("a b c d", "b d", "a c"), ("x y", "", "x y"), ("p q r", "q p", "p r")]
-
-
-@query("text_complement", f"SELECT whole, part, rest FROM {values_sql(_WHOLE, 'whole, part, rest')}")
+@query("text_complement", f"WITH w AS (SELECT page_id, string_split({TITLE}, ' ') AS w FROM pages) SELECT page_id, array_to_string(w[len(w) // 2 + 1:], ' ') AS rest FROM w")
 def text_complement(spark, d):
-    return literal(spark, _WHOLE, "whole string, part string, r string").select("whole", "part", X.complement("whole", "part").alias("rest"))
+    """What is left of a title without its first half."""
+    own = table(spark, d, "pages").select("page_id", F.split(H.title("html"), " ").alias("w"))
+    half = F.array_join(F.slice("w", F.lit(1), F.floor(F.size("w") / 2).cast("int")), " ")
+    own = own.select("page_id", F.array_join("w", " ").alias("whole"), half.alias("part"))
+    return own.select("page_id", X.complement("whole", "part").alias("rest"))

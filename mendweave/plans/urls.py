@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from mendweave.functions import html as H
 from mendweave.functions import urls as U
 
-from .common import KEY, PAIRS, URLS, DataFrame, F, SparkSession, Window, literal, query, table, values_sql
+from .common import KEY, PAIRS, URLS, DataFrame, F, SparkSession, Window, literal, query, table
+from .html import LINKS
+from .snapshots import SNAPS, snaps
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
@@ -193,39 +196,22 @@ def filter_blocklist(spark, d):
     return block_sites(pages(spark, d), literal(spark, [("example.net",)], "site string")).select("page_id")
 
 
-_ARCHIVED = [
-    ("http://web.archive.org/web/20100101000000/http://a.com/x", "20100101000000", "http://a.com/x"),
-    ("http://web.archive.org/web/20120304050607id_/http:/b.com/y?z=1", "20120304050607", "http://b.com/y?z=1"),
-    ("https://c.org/", None, "https://c.org/"),
-]
-
-
-@query("archive_urls", f"SELECT url, live, ts FROM {values_sql(_ARCHIVED, 'url, ts, live')}")
+@query("archive_urls", "SELECT page_id, url AS live, CASE WHEN page_id % 2 = 0 THEN '20200101000000' END AS ts FROM pages")
 def archive_urls(spark, d):
-    own = literal(spark, _ARCHIVED, "url string, ts string, live string")
-    return own.select("url", U.strip_archive("url").alias("live"), U.archive_ts("url").alias("ts"))
-
+    """Live form and time of URLs, every second of which is an archive's."""
+    own = pages(spark, d).withColumn("url", F.when(F.col("page_id") % 2 == 0, U.archive_url("url", F.lit("20200101000000"))).otherwise(F.col("url")))
+    return own.select("page_id", U.strip_archive("url").alias("live"), U.archive_ts("url").alias("ts"))
 
-_LINKS = [
-    ("http://a.com/d/e.html?q=1", "f.html", "http://a.com/d/f.html"),
-    ("http://a.com/d/e.html", "../x/./y", "http://a.com/x/y"),
-    ("http://a.com/d/e.html", "/root", "http://a.com/root"),
-    ("http://a.com/d/e.html", "//b.org/z", "http://b.org/z"),
-    ("http://a.com/d/e.html?q=1", "?p=2", "http://a.com/d/e.html?p=2"),
-    ("http://a.com/d/e.html#t", "#u", "http://a.com/d/e.html#u"),
-    ("http://a.com", "x?y=1#z", "http://a.com/x?y=1#z"),
-    ("http://a.com/d/", "https://c.net/", "https://c.net/"),
-]
 
-
-@query("url_resolve", f"SELECT base, link, resolved FROM {values_sql(_LINKS, 'base, link, resolved')}")
+@query("url_resolve", f"WITH {LINKS} SELECT DISTINCT page_id, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^[^:/?#]+://[^/?#]*', 0) || href ELSE href END AS resolved FROM l JOIN pages USING (page_id)")
 def url_resolve(spark, d):
-    return literal(spark, _LINKS, "base string, link string, resolved string").select("base", "link", U.resolve("base", "link").alias("resolved"))
-
-
-_STATUS = [("404", "4/5xx"), ("503", "4/5xx"), ("DNSError", "DNSOther"), ("OtherError", "DNSOther"), ("Similar to a sibling", "Soft-404"), ("200", "200"), ("301", "301")]
+    """A page's links as absolute URLs."""
+    own = table(spark, d, "pages").select("page_id", "url", F.explode(H.links("html")).alias("l"))
+    return own.select("page_id", U.resolve("url", "l.href").alias("resolved")).distinct()
 
 
-@query("status_classes", f"SELECT status, class FROM {values_sql(_STATUS, 'status, class')}")
+@query("status_classes", f"WITH {SNAPS}, x AS (SELECT CASE event_id % 5 WHEN 0 THEN 'DNSError' WHEN 1 THEN 'Similar to a sibling' ELSE status END AS s FROM sn) SELECT CASE WHEN s = 'DNSError' THEN 'DNSOther' WHEN starts_with(s, 'Similar') THEN 'Soft-404' WHEN s[1] IN ('4', '5') THEN '4/5xx' ELSE s END AS class, count(*) AS n FROM x GROUP BY 1")
 def status_classes(spark, d):
-    return literal(spark, _STATUS, "status string, class string").select("status", U.status_class("status").alias("class"))
+    """Statuses by class; of five, one failed to connect and one is like a sibling."""
+    status = F.when(F.col("event_id") % 5 == 0, "DNSError").when(F.col("event_id") % 5 == 1, "Similar to a sibling").otherwise(F.col("status"))
+    return snaps(spark, d).groupBy(U.status_class(status).alias("class")).agg(F.count("*").alias("n"))
