@@ -86,26 +86,52 @@ def verify_multicast(spark, d):
     return V.drop_multicast(ingested(spark, d)).select("page_id", "cand_id")
 
 
+_SPLIT = r"list_filter(string_split_regex(regexp_replace({0}, '\.[a-z0-9]+$', ''), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_BIGRAMS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+_NUMBER = "regexp_extract({0}, '^0*([0-9]+)$', 1)"
+#: A grade for each token of the candidate: the best by the URL's tokens, or a shared prefix.
+_RULES = f"""{_MULTI}, kt AS (SELECT k.*, a.tok AS t1, b.tok AS t2 FROM kept k JOIN o a ON a.page_id = k.page_id JOIN o b ON b.page_id = k.cand_id),
+ea AS (SELECT DISTINCT nurl, ncand, t2[1] AS site, unnest(range(0, len(t2))) AS i, unnest(t2) AS token FROM kt),
+mn AS (SELECT site, i, token FROM ea GROUP BY site, i, token HAVING count(DISTINCT nurl) > 1 AND count(DISTINCT ncand) > 1),
+sh AS (SELECT DISTINCT nurl, ncand, i FROM ea JOIN mn USING (site, i, token)),
+gt AS (SELECT *, len(t2) AS size, unnest(range(0, len(t2))) AS i, unnest(t2) AS token FROM kt),
+gw AS (SELECT *, {_SPLIT.format('source')} AS a, {_SPLIT.format('token')} AS b FROM (SELECT *, unnest(t1) AS source FROM gt)),
+gc AS (SELECT *, len(list_intersect(list_distinct(a), list_distinct(b))) AS common,
+  CASE WHEN len(a) < 2 OR len(b) < 2 THEN 0 ELSE len(list_intersect({_BIGRAMS.format('a')}, {_BIGRAMS.format('b')})) / (len(b) - 1)::DOUBLE END AS shared FROM gw),
+gg AS (SELECT page_id, cand_id, nurl, ncand, method, host, size, i, max(CASE
+  WHEN token = source OR (regexp_matches(token, '^[0-9]+$') AND regexp_matches(source, '^[0-9]+$') AND {_NUMBER.format('token')} = {_NUMBER.format('source')}) THEN 3
+  WHEN len(a) = 0 OR len(b) = 0 OR (len(a) = 1) <> (len(b) = 1) THEN 0
+  WHEN common = len(list_distinct(b)) AND common >= 0.5 * len(list_distinct(a)) THEN 3 WHEN shared >= 0.5 THEN 1 ELSE 0 END) AS g FROM gc GROUP BY ALL),
+gr AS (SELECT gg.*, CASE WHEN sh.i IS NOT NULL AND gg.i < size - 1 THEN greatest(g, 2) ELSE g END AS grade FROM gg LEFT JOIN sh ON sh.nurl = gg.nurl AND sh.ncand = gg.ncand AND sh.i = gg.i),
+ru AS (SELECT page_id, cand_id, nurl, ncand, method, host, size, string_agg(grade, ',' ORDER BY i) AS rule, round(-sum(CASE WHEN grade = 0 THEN (i + 1) / size::DOUBLE ELSE 0 END), 9) AS pred FROM gr GROUP BY ALL)"""
+_WORTH = "CASE method WHEN 'wayback_alias' THEN 2.0 WHEN 'title' THEN 1.0 WHEN 'content' THEN 1.0 WHEN 'token' THEN 0.5 ELSE 0.0 END::DOUBLE"
+_CLUSTERS = f"""{_RULES}, cl AS (SELECT host, rule, size, count(DISTINCT nurl) AS n_urls, count(DISTINCT ncand) AS n_cands, min(pred) AS pred FROM ru GROUP BY 1, 2, 3),
+hi AS (SELECT host, rule, sum({_WORTH}) AS hint FROM (SELECT DISTINCT host, rule, method FROM ru) GROUP BY 1, 2), cs AS (SELECT * FROM cl JOIN hi USING (host, rule))"""
+_TOP = f"""{_CLUSTERS}, tr AS (SELECT *, row_number() OVER w AS rank, first(size) OVER w AS n, first(pred) OVER w AS p FROM cs WINDOW w AS (PARTITION BY host ORDER BY hint DESC, pred DESC, n_urls DESC, rule)),
+tp AS (SELECT * FROM tr x WHERE NOT EXISTS (SELECT 1 FROM tr y WHERE y.host = x.host AND y.rank <= x.rank AND (y.size <> y.n OR y.pred < y.p)))"""
+_EMIT = f"""{_TOP}, cr AS (SELECT host, rule, nurl, ncand, sum({_WORTH}) AS credit FROM ru JOIN tp USING (host, rule) GROUP BY 1, 2, 3, 4), fa AS (SELECT *, count(*) OVER (PARTITION BY host, rule, nurl) AS fan FROM cr)"""
+
+
 def ruled(spark, d):
     return written(V.rules(V.drop_multicast(written(ingested(spark, d)))))  # clusters read it several times
 
 
-@query("verify_rules")
+@query("verify_rules", f"WITH {_RULES} SELECT page_id, cand_id, rule FROM ru")
 def verify_rules(spark, d):
     return ruled(spark, d).select("page_id", "cand_id", F.concat_ws(",", F.transform("rule", lambda g: g.cast("string"))).alias("rule"))
 
 
-@query("verify_clusters")
+@query("verify_clusters", f"WITH {_CLUSTERS} SELECT host, rule, n_urls, n_cands, hint, round(pred, 6) AS pred FROM cs")
 def verify_clusters(spark, d):
     return V.clusters(ruled(spark, d)).select("host", "rule", "n_urls", "n_cands", "hint", F.round("pred", 6).alias("pred"))
 
 
-@query("verify_top")
+@query("verify_top", f"WITH {_TOP} SELECT host, rule, rank FROM tp")
 def verify_top(spark, d):
     return V.top(V.clusters(ruled(spark, d))).select("host", "rule", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("verify_emit")
+@query("verify_emit", f"WITH {_EMIT} SELECT nurl, ncand, credit, row_number() OVER (PARTITION BY nurl ORDER BY credit DESC, ncand) AS rank FROM fa WHERE fan < 4 AND credit > 0")
 def verify_emit(spark, d):
     own = ruled(spark, d)
     return V.choose(own, V.top(V.clusters(own)))
