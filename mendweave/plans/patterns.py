@@ -78,7 +78,8 @@ def verify_ingest(spark, d):
     return ingested(spark, d).select("page_id", "cand_id", "method", "nurl", "ncand")
 
 
-_MULTI = f"{CANDS}, mc AS (SELECT ncand FROM cd WHERE method <> 'fuzzy' GROUP BY 1 HAVING count(DISTINCT nurl) > 2), kept AS (SELECT * FROM cd WHERE ncand NOT IN (SELECT ncand FROM mc))"
+_KEPT = "mc AS (SELECT ncand FROM cd WHERE method <> 'fuzzy' GROUP BY 1 HAVING count(DISTINCT nurl) > 2), kept AS (SELECT * FROM cd WHERE ncand NOT IN (SELECT ncand FROM mc))"
+_MULTI = f"{CANDS}, {_KEPT}"
 
 
 @query("verify_multicast", f"WITH {_MULTI} SELECT page_id, cand_id FROM kept")
@@ -90,7 +91,7 @@ _SPLIT = r"list_filter(string_split_regex(regexp_replace({0}, '\.[a-z0-9]+$', ''
 _BIGRAMS = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
 _NUMBER = "regexp_extract({0}, '^0*([0-9]+)$', 1)"
 #: A grade for each token of the candidate: the best by the URL's tokens, or a shared prefix.
-_RULES = f"""{_MULTI}, kt AS (SELECT k.*, a.tok AS t1, b.tok AS t2 FROM kept k JOIN o a ON a.page_id = k.page_id JOIN o b ON b.page_id = k.cand_id),
+_GRADED = f"""kt AS (SELECT k.*, a.tok AS t1, b.tok AS t2 FROM kept k JOIN o a ON a.page_id = k.page_id JOIN o b ON b.page_id = k.cand_id),
 ea AS (SELECT DISTINCT nurl, ncand, t2[1] AS site, unnest(range(0, len(t2))) AS i, unnest(t2) AS token FROM kt),
 mn AS (SELECT site, i, token FROM ea GROUP BY site, i, token HAVING count(DISTINCT nurl) > 1 AND count(DISTINCT ncand) > 1),
 sh AS (SELECT DISTINCT nurl, ncand, i FROM ea JOIN mn USING (site, i, token)),
@@ -104,12 +105,18 @@ gg AS (SELECT page_id, cand_id, nurl, ncand, method, host, size, i, max(CASE
   WHEN common = len(list_distinct(b)) AND common >= 0.5 * len(list_distinct(a)) THEN 3 WHEN shared >= 0.5 THEN 1 ELSE 0 END) AS g FROM gc GROUP BY ALL),
 gr AS (SELECT gg.*, CASE WHEN sh.i IS NOT NULL AND gg.i < size - 1 THEN greatest(g, 2) ELSE g END AS grade FROM gg LEFT JOIN sh ON sh.nurl = gg.nurl AND sh.ncand = gg.ncand AND sh.i = gg.i),
 ru AS (SELECT page_id, cand_id, nurl, ncand, method, host, size, string_agg(grade, ',' ORDER BY i) AS rule, round(-sum(CASE WHEN grade = 0 THEN (i + 1) / size::DOUBLE ELSE 0 END), 9) AS pred FROM gr GROUP BY ALL)"""
+_RULES = f"{_MULTI}, {_GRADED}"
 _WORTH = "CASE method WHEN 'wayback_alias' THEN 2.0 WHEN 'title' THEN 1.0 WHEN 'content' THEN 1.0 WHEN 'token' THEN 0.5 ELSE 0.0 END::DOUBLE"
-_CLUSTERS = f"""{_RULES}, cl AS (SELECT host, rule, size, count(DISTINCT nurl) AS n_urls, count(DISTINCT ncand) AS n_cands, min(pred) AS pred FROM ru GROUP BY 1, 2, 3),
+_SCORED = f"""cl AS (SELECT host, rule, size, count(DISTINCT nurl) AS n_urls, count(DISTINCT ncand) AS n_cands, min(pred) AS pred FROM ru GROUP BY 1, 2, 3),
 hi AS (SELECT host, rule, sum({_WORTH}) AS hint FROM (SELECT DISTINCT host, rule, method FROM ru) GROUP BY 1, 2), cs AS (SELECT * FROM cl JOIN hi USING (host, rule))"""
-_TOP = f"""{_CLUSTERS}, tr AS (SELECT *, row_number() OVER w AS rank, first(size) OVER w AS n, first(pred) OVER w AS p FROM cs WINDOW w AS (PARTITION BY host ORDER BY hint DESC, pred DESC, n_urls DESC, rule)),
+_CLUSTERS = f"{_RULES}, {_SCORED}"
+_FIRST = """tr AS (SELECT *, row_number() OVER w AS rank, first(size) OVER w AS n, first(pred) OVER w AS p FROM cs WINDOW w AS (PARTITION BY host ORDER BY hint DESC, pred DESC, n_urls DESC, rule)),
 tp AS (SELECT * FROM tr x WHERE NOT EXISTS (SELECT 1 FROM tr y WHERE y.host = x.host AND y.rank <= x.rank AND (y.size <> y.n OR y.pred < y.p)))"""
-_EMIT = f"""{_TOP}, cr AS (SELECT host, rule, nurl, ncand, sum({_WORTH}) AS credit FROM ru JOIN tp USING (host, rule) GROUP BY 1, 2, 3, 4), fa AS (SELECT *, count(*) OVER (PARTITION BY host, rule, nurl) AS fan FROM cr)"""
+_TOP = f"{_CLUSTERS}, {_FIRST}"
+_CHOSEN = f"""cr AS (SELECT host, rule, nurl, ncand, sum({_WORTH}) AS credit FROM ru JOIN tp USING (host, rule) GROUP BY 1, 2, 3, 4), fa AS (SELECT *, count(*) OVER (PARTITION BY host, rule, nurl) AS fan FROM cr)"""
+_EMIT = f"{_TOP}, {_CHOSEN}"
+#: From candidates, a table cd, to the choice.
+VERIFIED = ", ".join((_KEPT, _GRADED, _SCORED, _FIRST, _CHOSEN))
 
 
 def ruled(spark, d):
