@@ -126,3 +126,51 @@ def test_decontamination_of_a_large_benchmark(spark):
     assert got.keys() == {i for i, _ in docs} and got[-1]["items"] == []
     for i, _ in docs[:-1]:
         assert set(got[i]["items"]) == {i} | ({10_000 + i} if i < 5 else set()) and (got[i]["hit_start"], got[i]["hit_end"]) == ([30], [43])
+
+
+def test_one_of_each_group_whatever_its_ids(spark):
+    """Near copies with one id, with none, and with some: one row of each group stays."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    base = [["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)] for _ in range(5)]
+    near = lambda w: " ".join([*w[:60], "changed", *w[61:]])
+    rows = [(1, " ".join(base[0])), (1, near(base[0])), (None, " ".join(base[1])), (None, near(base[1])), (None, " ".join(base[2])), (7, near(base[2])), (3, " ".join(base[3])), (3, " ".join(base[3])), (3, " ".join(base[4]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.simhash_dedup(spark, docs, "").collect()]
+    of = sorted((next(k for k, w in enumerate(base) if w[0] in t), i is None, i) for i, t in got)
+    assert [(k, i) for k, _, i in of] == [(0, 1), (1, None), (2, 7), (3, 3), (4, 3)]
+
+
+def test_pipeline_from_end_to_end(spark, tmp_path):
+    """Each stage drops what it is there for, and what is left is packed whole."""
+    import corpus_pipeline
+    from mendweave.llm.packing import tokenizer_path
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    words = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(300)] for k, letters in (("en", "abcdefghi"), ("fr", "klmnopqrs"))}
+    prose = lambda k, n: "\n".join(" ".join(rng.choice(words[k]) for _ in range(12)) for _ in range(n))
+    texts = {i: (prose(k, 12), k) for i in range(40) for k in ["en" if i % 2 else "fr"]}
+    passage, item = prose("en", 6), prose("en", 4)
+    texts |= {100: ("12345 !!! 67", None), 101: (None, "en"), 102: (passage + "\n" + prose("en", 9), "en"), 103: (prose("en", 9) + "\n" + passage, "en")}
+    texts |= {104: (texts[1][0] + " tail", "en"), 105: (item + "\n" + prose("en", 5), "en")}
+    spark.createDataFrame([(i, t, k, "s", len(t or "")) for i, (t, k) in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("q", item.replace("\n", " "))], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, left = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        left[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {*texts} - {*left["language_id"]} == {100, 101}
+    assert {*left["line_dedup"]} == {*left["language_id"]} and passage in left["line_dedup"][102] and passage.split("\n")[2] not in left["line_dedup"][103]
+    assert {*left["line_dedup"]} - {*left["simhash_near_dedup"]} <= {1, 104} and len(left["line_dedup"]) - len(left["simhash_near_dedup"]) in (0, 1)
+    assert {*left["simhash_near_dedup"]} - {*left["benchmark_decontamination"]} == {105}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokens = Tokenizer.from_file(tokenizer_path())
+    want = {i: len(tokens.encode(t, add_special_tokens=False).ids) + 1 for i, t in left["benchmark_decontamination"].items()}
+    got = {}
+    for r in packed:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == want
+    assert len({r["sequence_id"] for r in packed}) == -(-sum(want.values()) // 4096)
