@@ -6,6 +6,7 @@ from mendweave.functions import html as H
 from mendweave.functions import text as X
 from mendweave.functions import urls as U
 from mendweave.operators import aliases as A
+from mendweave.operators import ordered
 from mendweave.operators import similarity as S
 
 from .common import KEY, PAIRS, URLS, F, Window, query, table
@@ -85,14 +86,6 @@ def redir_strict(spark, d):
     return next_on_host(spark, d).select("page_id", "id2", U.shrinks("url", "url2").alias("cut"))
 
 
-@query("redir_same_site", f"WITH {SNAPS}, t AS (SELECT user_id, arg_max(value::BIGINT, (ts, event_id)) AS target FROM sn WHERE status LIKE '3%' GROUP BY 1) SELECT a.user_id, b.user_id AS other, a.target % 10 = b.target % 10 AS same FROM t a JOIN t b ON b.user_id = a.user_id + 1".replace("value::BIGINT", "round(value)::BIGINT"))
-def redir_same_site(spark, d):
-    """Do two URLs' last redirects lead to one site (the target's last digit here)?"""
-    last = _targets(spark, d)
-    other = last.select(F.col("user_id").alias("other"), F.col("target").alias("t2"))
-    return last.join(other, F.col("other") == F.col("user_id") + 1).select("user_id", "other", (F.col("target") % 10 == F.col("t2") % 10).alias("same"))
-
-
 def _targets(spark, d):
     moved = snaps(spark, d).where(F.col("status").startswith("3"))
     return moved.groupBy("user_id").agg(F.max_by(F.round("value").cast("bigint"), F.struct("ts", "event_id")).alias("target"))
@@ -214,8 +207,8 @@ def alias_order(spark, d):
 @query("work_order", f"WITH {URLS} SELECT page_id, row_number() OVER (PARTITION BY host ORDER BY page_id % 3 = 0 DESC, page_id) AS pos FROM s")
 def work_order(spark, d):
     """A host's work list, pages with an archived copy (every third) first."""
-    k = F.row_number().over(Window.partitionBy(U.host("url")).orderBy((F.col("page_id") % 3 == 0).desc(), "page_id"))
-    return pages(spark, d).select("page_id", k.cast("bigint").alias("pos"))
+    own = pages(spark, d).select("page_id", U.host("url").alias("host"), (F.col("page_id") % 3 != 0).alias("live"))
+    return ordered.numbered(own, ["host"], ["live", "page_id"], "pos").select("page_id", "pos")
 
 
 @query("delta_sizes", f"WITH {PAIRS}, x AS (SELECT page_id, len(list_filter(range(1, n + 1), lambda i: segs[i] <> segs2[i])) + abs(len(segs) - len(segs2)) AS size FROM k) SELECT size::BIGINT AS size, count(*) AS n, min(page_id) AS first FROM x GROUP BY 1")

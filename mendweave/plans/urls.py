@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from mendweave.functions import html as H
 from mendweave.functions import urls as U
+from mendweave.operators import ordered
 
-from .common import KEY, PAIRS, URLS, DataFrame, F, SparkSession, Window, literal, query, table
+from .common import KEY, PAIRS, URLS, DataFrame, F, SparkSession, literal, query, table
 from .html import LINKS
 from .snapshots import SNAPS, snaps
 
@@ -15,10 +16,9 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def next_on_host(spark: SparkSession, d: str) -> DataFrame:
-    """Each page with the next of its host: as many pairs as pages."""
+    """Each page with the next of its host: as many pairs as pages, and no window over a host."""
     own = pages(spark, d).withColumn("host", U.host("url"))
-    after = Window.partitionBy("host").orderBy("page_id")
-    return own.withColumn("id2", F.lead("page_id").over(after)).withColumn("url2", F.lead("url").over(after)).where("id2 IS NOT NULL")
+    return ordered.followed(own, ["host"], ["page_id"], {"id2": "page_id", "url2": "url"}).where("id2 IS NOT NULL")
 
 
 @query("url_parts", f"WITH {URLS} SELECT page_id, scheme, host, path, query, fragment, bare FROM s")
