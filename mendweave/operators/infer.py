@@ -1,161 +1,16 @@
-"""Aliases inferred from examples: a small language of string programs, learned for each cluster of URLs.
-
-A program gives one piece of the alias, a path segment or a query value, from the URL and the title. For each piece all
-programs are listed in a fixed order, from the most to the least specific, and the first that gives the right result on all
-examples is taken. Aliases whose leaf no program gives are left out; other pieces may fall back to their most common value.
-"""
+"""Input of the inference in long form; the inference itself is in ``programs``."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Callable, Iterator
-from urllib.parse import parse_qsl, urlsplit
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Row = dict
-Program = Callable[[Row], str | None]
-
-#: Words of a title's slug at most.
-SLUG_WORDS = 12
-
-
-def _row(url: str, title: str | None) -> Row:
-    parts = urlsplit(url if "://" in url else f"http://{url}")
-    segments = [s for s in parts.path.split("/") if s]
-    words = re.findall(r"[0-9A-Za-z]+", (title or "").split(" | ")[0].replace("'", ""))
-    return {"host": parts.netloc, "segments": segments, "query": dict(parse_qsl(parts.query)), "words": words}
-
-
-def _pieces(alias: str) -> list[tuple[str, str]]:
-    """(kind, value) of the alias: host, path segments, query pairs."""
-    r = urlsplit(alias)
-    return [("host", r.netloc), *(("path", s) for s in r.path.split("/") if s), *((f"?{k}", v) for k, v in parse_qsl(r.query))]
-
-
-def _programs(keys: list[str], depth: int) -> Iterator[tuple[str, Program]]:
-    """All programs in order: parts of the URL from either end, query values, slugs of the title, and parts of those."""
-    base: list[tuple[str, Program]] = []
-    for i in range(depth):
-        base.append((f"segment {i}", lambda r, i=i: r["segments"][i] if i < len(r["segments"]) else None))
-        base.append((f"segment -{i + 1}", lambda r, i=i: r["segments"][-i - 1] if i < len(r["segments"]) else None))
-    for k in keys:
-        base.append((f"query {k}", lambda r, k=k: r["query"].get(k)))
-    for sep in "-_+":
-        for low in (True, False):
-            base.append((f"title by {sep}{' lower' if low else ''}", lambda r, sep=sep, low=low: (sep.join(r["words"]).lower() if low else sep.join(r["words"])) or None))
-    yield from base
-
-    def then(f: Program, g: Callable[[str], str | None]) -> Program:
-        return lambda r: None if (x := f(r)) is None else g(x)
-
-    def found(pattern: str) -> Callable[[str], str | None]:
-        return lambda x: m[1] if (m := re.search(pattern, x)) else None
-
-    for name, f in base:
-        yield f"lower {name}", then(f, str.lower)
-        yield f"stem of {name}", then(f, lambda x: re.sub(r"\.[A-Za-z0-9]{1,5}$", "", x))
-        yield f"lower stem of {name}", then(f, lambda x: re.sub(r"\.[A-Za-z0-9]{1,5}$", "", x).lower())
-        yield f"digits of {name}", then(f, found(r"([0-9]+)"))
-        yield f"digits without zeros of {name}", then(f, found(r"0*([0-9]+)"))
-        yield f"slug of {name}", then(f, lambda x: "-".join(re.findall(r"[0-9A-Za-z]+", re.sub(r"\.[A-Za-z0-9]{1,5}$", "", x))).lower() or None)
-        yield f"after the first - of {name}", then(f, found(r"^[^-]+-(.+)$"))
-        yield f"before the first - of {name}", then(f, found(r"^([^-]+)-"))
-    for n in range(1, SLUG_WORDS):
-        yield f"{n} words of the title", lambda r, n=n: "-".join(r["words"][:n]).lower() or None
-
-
-def synthesize(rows: list[Row], wanted: list[str]) -> tuple[str, Program] | None:
-    """The first program that gives ``wanted`` from ``rows``; with affixes that all examples share, if need be."""
-    if len(set(wanted)) == 1 and len(wanted) > 1:
-        value = wanted[0]
-        return f"constant {value}", lambda r: value
-    keys = sorted({k for r in rows for k in r["query"]})
-    depth = max((len(r["segments"]) for r in rows), default=0)
-    programs = list(_programs(keys, depth))
-    for name, f in programs:
-        if all(f(r) == w for r, w in zip(rows, wanted, strict=True)):
-            return name, f
-    for name, f in programs:
-        got = [f(r) for r in rows]
-        if any(not g or g not in w for g, w in zip(got, wanted, strict=True)):
-            continue
-        sides = {w.split(g, 1)[0] + "\0" + w.split(g, 1)[1] for g, w in zip(got, wanted, strict=True)}
-        if len(sides) == 1 and len(wanted) > 1:
-            head, tail = sides.pop().split("\0")
-            return f"{head!r} + {name} + {tail!r}", lambda r, f=f, head=head, tail=tail: None if f(r) is None else head + f(r) + tail
-    return None
-
-
-def learn(examples: list[tuple[str, str | None, str]]) -> list[tuple[str, str, Program]] | None:
-    """(kind, name, program) for the pieces of the aliases; examples of another shape than the most common are dropped."""
-    shapes = Counter(tuple(k for k, _ in _pieces(a)) for _, _, a in examples)
-    if not shapes:
-        return None
-    shape = min(shapes, key=lambda s: (-shapes[s], s))
-    kept = [(u, t, a) for u, t, a in examples if tuple(k for k, _ in _pieces(a)) == shape]
-    rows = [_row(u, t) for u, t, _ in kept]
-    out = []
-    for i, kind in enumerate(shape):
-        wanted = [_pieces(a)[i][1] for _, _, a in kept]
-        program = synthesize(rows, wanted)
-        if program is None:
-            if i == len(shape) - 1 or len(kept) < 2:
-                return None
-            common = Counter(wanted)
-            value = min(common, key=lambda w: (-common[w], w))
-            program = f"mostly {value}", lambda r, value=value: value
-        out.append((kind, *program))
-    return out
-
-
-def apply(program: list[tuple[str, str, Program]], url: str, title: str | None, scheme: str = "http") -> str | None:
-    row = _row(url, title)
-    got = [(kind, f(row)) for kind, _, f in program]
-    if any(v is None for _, v in got):
-        return None
-    path = "/".join(v for k, v in got if k == "path")
-    query = "&".join(f"{k[1:]}={v}" for k, v in got if k.startswith("?"))
-    return f"{scheme}://{next((v for k, v in got if k == 'host'), '')}/{path}" + (f"?{query}" if query else "")
-
-
-def _cluster(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.astype(object).sort_values(["url", "alias"], na_position="last")
-    known = rows[rows["alias"].notna()]
-    examples = [(r.url, r.title if isinstance(r.title, str) else None, r.alias) for r in known.itertuples()]
-    program = learn(examples)
-    out = rows[rows["alias"].isna()][["cluster", "url"]].copy()
-    targets = rows[rows["alias"].isna()]
-    scheme = Counter(urlsplit(a).scheme for _, _, a in examples).most_common(1)[0][0] if examples else "http"
-    out["inferred"] = [apply(program, r.url, r.title if isinstance(r.title, str) else None, scheme) if program else None for r in targets.itertuples()]
-    out["program"] = " / ".join(n for _, n, _ in program) if program else None
-    return out.astype(object)
-
-
-def fair_examples(examples: DataFrame, most: int = 1) -> DataFrame:
-    """Examples whose alias no more than ``most`` URLs lead to."""
-    counts = examples.where("alias IS NOT NULL").groupBy("alias").agg(F.countDistinct("url").alias("n")).where(F.col("n") > most)
-    return examples.join(counts.select("alias"), "alias", "left_anti")
-
-
-def infer(rows: DataFrame) -> DataFrame:
-    """(cluster, url, inferred, program) for the rows (cluster, url, title, alias) without an alias.
-
-    A cluster's examples and targets meet in one task; split targets over several clusters of the same examples if they
-    are many.
-    """
-    fair = fair_examples(rows).select("cluster", "url", "title", "alias")
-    return fair.groupBy("cluster").applyInPandas(_cluster, "cluster string, url string, inferred string, program string")
+from mendweave.functions import text as X
+from mendweave.functions import urls as U
 
 
 def sheet(rows: DataFrame, url: str = "url", title: str = "title") -> DataFrame:
     """Long form of the input: (cluster, url, col, value) for path segments, query values and the title."""
-    from mendweave.functions import text as X
-    from mendweave.functions import urls as U
-
     cells = F.concat(
         F.transform(U.segments(U.path(url)), lambda s, i: F.struct(F.concat(F.lit("Url"), i.cast("string")).alias("col"), s.alias("value"))),
         F.transform(U.query_pairs(U.query(url)), lambda p: F.struct(F.concat(F.lit("Query_"), F.regexp_extract(p, "^([^=]+)=", 1)).alias("col"), F.regexp_extract(p, "^[^=]+=(.*)$", 1).alias("value"))),

@@ -6,10 +6,11 @@ from mendweave.functions import html as H
 from mendweave.functions import urls as U
 from mendweave.operators import graph as G
 from mendweave.operators import infer as I
+from mendweave.operators import programs as P
 from mendweave.streaming import events as E
 
-from .common import URLS, F, Window, literal, query, table, values_sql, written
-from .html import LINKS
+from .common import URLS, F, Window, query, table, written
+from .html import LINKS, TITLE
 from .patterns import CANDS, ingested
 
 #: Links within a host: a page's URL, and the host and path that it links to.
@@ -77,25 +78,40 @@ def backlink_states(spark, d):
     return own.select("event_id", G.state(F.col("linked"), F.col("dropped"), F.col("matched"), F.col("works")).alias("state"))
 
 
-_EXAMPLES = [
-    ("slug", "http://old.com/news/1.html", "Big News Today", "http://new.com/articles/big-news-today", None),
-    ("slug", "http://old.com/news/2.html", "Small Talk", "http://new.com/articles/small-talk", None),
-    ("slug", "http://old.com/news/3.html", "Third One Here", None, "http://new.com/articles/third-one-here"),
-    ("id", "http://a.org/show.php?id=007&x=1", "A", "https://a.org/item/7", None),
-    ("id", "http://a.org/show.php?id=012&x=1", "B", "https://a.org/item/12", None),
-    ("id", "http://a.org/show.php?id=0450&x=2", "C", None, "https://a.org/item/450"),
-    ("path", "http://b.net/2010/x-1.htm", None, "http://b.net/archive/2010?p=x-1", None),
-    ("path", "http://b.net/2011/y-2.htm", None, "http://b.net/archive/2011?p=y-2", None),
-    ("path", "http://b.net/2012/z-3.htm", None, None, "http://b.net/archive/2012?p=z-3"),
-    ("none", "http://c.net/q", "T", "http://c.net/k1", None),
-    ("none", "http://c.net/r", "U", "http://c.net/m2", None),
-    ("none", "http://c.net/s", "V", None, None),
-]
+_SLUG = r"lower(array_to_string(regexp_extract_all(replace(split_part(title, ' | ', 1), '''', ''), '[0-9A-Za-z]+'), '-'))"
+#: Where pages would have moved to, known of those whose URL has neither query nor fragment; the others are targets.
+_MOVED = rf"""{URLS}, mv AS (SELECT url, array_to_string(string_split(host, '.')[-2:], '.') AS cluster, query || fragment <> '' AS asked, segs[-1] AS leaf, regexp_extract(segs[-1], '([0-9]+)', 1) AS num, {_SLUG} AS slug
+  FROM (SELECT s.*, CASE WHEN {TITLE} LIKE '%Wayback Machine%' THEN '' ELSE {TITLE} END AS title FROM s) x),
+al AS (SELECT *, 'https://archive.' || cluster || '/item/' || num || '/' || slug AS alias FROM mv WHERE NOT asked),
+fx AS (SELECT * FROM al WHERE alias IN (SELECT alias FROM al GROUP BY 1 HAVING count(DISTINCT url) = 1) AND slug <> ''),
+cx AS (SELECT cluster, count(*) AS n, bool_and(leaf = num) AS plain FROM fx GROUP BY 1)"""
+_INFERRED = f"WITH {_MOVED} SELECT mv.cluster, url, CASE WHEN n > 1 AND slug <> '' THEN 'https://archive.' || mv.cluster || '/item/' || CASE WHEN plain THEN leaf ELSE regexp_replace(leaf, '\\.[A-Za-z0-9]{{1,5}}$', '') END || '/' || slug END AS inferred FROM mv LEFT JOIN cx USING (cluster) WHERE asked"
 
 
-@query("infer_programs", f"SELECT cluster, url, inferred FROM {values_sql(_EXAMPLES, 'cluster, url, title, alias, inferred')} WHERE alias IS NULL")
+def moved(spark, d):
+    """(cluster, url, title, alias): pages of a site, and where those with a plain URL have moved to."""
+    own = table(spark, d, "pages").select(U.suffix_site(U.host("url")).alias("cluster"), "url", H.title("html").alias("title"))
+    first = F.regexp_replace(F.get(F.split("title", r" \| "), F.lit(0)), "'", "")
+    slug = F.lower(F.array_join(F.regexp_extract_all(first, F.lit("([0-9A-Za-z]+)"), 1), "-"))
+    leaf = F.element_at(U.segments(U.path("url")), -1)
+    to = F.concat(F.lit("https://archive."), "cluster", F.lit("/item/"), F.regexp_extract(leaf, "([0-9]+)", 1), F.lit("/"), slug)
+    return own.withColumn("alias", F.when((U.query("url") == "") & (U.fragment("url") == ""), to))
+
+
+@query("infer_programs", _INFERRED)
 def infer_programs(spark, d):
-    return I.infer(literal(spark, _EXAMPLES, "cluster string, url string, title string, alias string, i string").drop("i")).select("cluster", "url", "inferred")
+    """Aliases of the targets by the programs that give those of the examples of their site."""
+    return P.infer(moved(spark, d)).select("cluster", "url", "inferred")
+
+
+@query("infer_incremental", _INFERRED)
+def infer_incremental(spark, d):
+    """The same from sums that are kept: pages come in three parts, and only what a part touches is inferred again."""
+    own, state = moved(spark, d), P.started(spark)
+    for k in range(3):
+        part = own.where(F.pmod(F.crc32("url"), F.lit(3)) == k)
+        state = P.advance(state, part.where("alias IS NOT NULL"), part.where("alias IS NULL").drop("alias"))
+    return state.inferred.select("cluster", "url", "inferred")
 
 
 @query("infer_sheet", rf"""WITH {URLS}, y AS (SELECT regexp_replace(host, '^[^.]*www[^.]*\.', '') || '|' || lower(dir) AS cluster, segs, pairs FROM s),

@@ -7,7 +7,6 @@ import sys
 
 import pytest
 
-from mendweave.operators import infer as I
 from mendweave.operators import ledger as L
 from mendweave.sources import tables as S
 from tests.conftest import ROOT, SMALL
@@ -59,24 +58,6 @@ def test_upsert_twice_changes_nothing(spark):
     assert sorted(map(tuple, L.upsert(once, new, "k").collect())) == sorted(map(tuple, once.collect()))
 
 
-EXAMPLES = [
-    ([("http://o.com/a/Foo_Bar.aspx", None, "http://n.com/foo-bar"), ("http://o.com/a/Baz_Qux.aspx", None, "http://n.com/baz-qux")], ("http://o.com/a/One_Two_Three.aspx", None), "http://n.com/one-two-three"),
-    ([("http://o.com/x?id=5", "Five", "https://n.com/p/5/five"), ("http://o.com/x?id=6", "Six Six", "https://n.com/p/6/six-six")], ("http://o.com/x?id=7", "And Seven"), "https://n.com/p/7/and-seven"),
-    ([("http://o.com/1.html", None, "http://n.com/doc-1.php"), ("http://o.com/2.html", None, "http://n.com/doc-2.php")], ("http://o.com/3.html", None), "http://n.com/doc-3.php"),
-]
-
-
-@pytest.mark.parametrize(("examples", "target", "want"), EXAMPLES)
-def test_programs(examples, target, want):
-    program = I.learn(examples)
-    assert I.apply(program, *target, want.split(":")[0]) == want
-    assert all(I.apply(program, u, t, a.split(":")[0]) == a for u, t, a in examples)
-
-
-def test_no_program_from_nothing_in_common():
-    assert I.learn([("http://o.com/a", "A", "http://n.com/k1"), ("http://o.com/b", "B", "http://n.com/m2")]) is None
-
-
 def test_entry(spark):
     import __spark_entry__ as entry
 
