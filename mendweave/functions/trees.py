@@ -1,9 +1,16 @@
-"""HTML as a tree, where regular expressions do not do: links with what stands beside them, and breadcrumbs."""
+"""HTML as a tree, where regular expressions do not do: links with what stands beside them, breadcrumbs, and the title with the
+body's text.
+
+A page is read once with a stack. Its texts are numbered in order, and an element knows the range of texts that it holds, so the
+text of an element is a range, whether two elements hold the same text is a comparison of ranges, and nothing recurses.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,71 +20,96 @@ from pyspark.sql import functions as F
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Elements whose text is not read.
 HIDDEN = {"script", "style", "noscript"}
+#: Elements within a line: their text belongs to the block around them.
+INLINE = {"a", "abbr", "b", "big", "br", "cite", "code", "em", "font", "i", "img", "kbd", "mark", "q", "s", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "wbr"}
+#: Parts of a page that are not its own text.
+FRAME = {"head", "nav", "header", "footer", "aside", "form"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Share of a block's letters in links above which it is no text.
+LINKED = 0.5
 LINKS = "array<struct<href string, anchor string, before string, after string>>"
+PAGE = "struct<title string, body string, n_blocks int, n_kept int>"
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "place")
+    """An element: its place in the tree, and the texts from ``lo`` to ``hi`` that it holds."""
+
+    __slots__ = ("tag", "attrs", "parent", "lo", "hi")
 
-    def __init__(self, tag: str, attrs: dict, parent: Node | None, place: int):
-        self.tag, self.attrs, self.parent, self.children, self.place = tag, attrs, parent, [], place
+    def __init__(self, tag: str, attrs: dict, parent: Node | None, lo: int):
+        self.tag, self.attrs, self.parent, self.lo, self.hi = tag, attrs, parent, lo, lo
 
-    def text(self) -> str:
-        if self.tag in HIDDEN:
-            return ""
-        return " ".join(t for c in self.children if (t := c.strip() if isinstance(c, str) else c.text()))
+    def within(self, names: set[str]) -> bool:
+        node = self
+        while node is not None and node.tag not in names:
+            node = node.parent
+        return node is not None
 
-    def walk(self) -> Iterator[Node]:
-        todo = [self]
-        while todo:
-            node = todo.pop()
-            yield node
-            todo.extend(c for c in reversed(node.children) if not isinstance(c, str))
 
+class Page(HTMLParser):
+    """nodes in document order; texts, and the element that each stands in directly."""
 
-class _Builder(HTMLParser):
-    def __init__(self):
+    def __init__(self, html: str | None):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("root", {}, None, 0)
+        self.nodes, self.texts, self.owners, self.hidden, self.open = [self.root], [], [], 0, {}
+        self.feed(html or "")
+        self.close()
+        while self.at is not None:
+            self._leave()
+
+    def _enter(self, tag: str, attrs: list) -> Node:
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.at, len(self.texts))
+        self.nodes.append(node)
+        return node
+
+    def _leave(self) -> None:
+        self.at.hi = len(self.texts)
+        self.hidden -= self.at.tag in HIDDEN
+        self.open[self.at.tag] = self.open.get(self.at.tag, 0) - 1
+        self.at = self.at.parent
 
     def handle_starttag(self, tag, attrs):
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at, len(self.at.children))
-        self.at.children.append(node)
+        node = self._enter(tag, attrs)
         if tag not in VOID:
             self.at = node
+            self.open[tag] = self.open.get(tag, 0) + 1
+            self.hidden += tag in HIDDEN
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at, len(self.at.children)))
+        self._enter(tag, attrs)
 
     def handle_endtag(self, tag):
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        if self.open.get(tag, 0) > 0:  # an end without a beginning closes nothing
+            while self.at.tag != tag:
+                self._leave()
+            self._leave()
 
     def handle_data(self, data):
-        if data.strip():
-            self.at.children.append(" ".join(data.split()))
-
-
-def parse(html: str | None) -> Node:
-    builder = _Builder()
-    builder.feed(html or "")
-    builder.close()
-    return builder.root
-
+        text = " ".join(data.split())
+        if text and not self.hidden:
+            self.texts.append(text)
+            self.owners.append(self.at)
+
+    def text(self, node: Node) -> str:
+        return " ".join(self.texts[node.lo : node.hi])
+
+    def _child(self, i: int, parent: Node) -> str:
+        """The text of the child of ``parent`` that text ``i`` is in."""
+        node = self.owners[i]
+        if node is parent:
+            return self.texts[i]
+        while node.parent is not parent:
+            node = node.parent
+        return self.text(node)
 
-def _beside(node: Node, step: int) -> str | None:
-    """The text of the nearest sibling on one side that has any."""
-    siblings = node.parent.children if node.parent else []
-    i = node.place + step
-    while 0 <= i < len(siblings):
-        text = siblings[i] if isinstance(siblings[i], str) else siblings[i].text()
-        if text.strip():
-            return text.strip()
-        i += step
-    return None
+    def beside(self, node: Node) -> tuple[str | None, str | None]:
+        """The texts of the nearest siblings on both sides that have any."""
+        parent = node.parent
+        if parent is None:
+            return None, None
+        before = self._child(node.lo - 1, parent) if node.lo > parent.lo else None
+        return before, self._child(node.hi, parent) if node.hi < parent.hi else None
 
 
 def links(html: str | None) -> list[tuple[str, str, str | None, str | None]]:
@@ -85,32 +117,103 @@ def links(html: str | None) -> list[tuple[str, str, str | None, str | None]]:
 
     Beside means beside the widest element that holds no other text than the anchor's.
     """
-    out = []
-    for a in parse(html).walk():
-        href, anchor = a.attrs.get("href", "").strip(), a.text().strip() if a.tag == "a" else ""
-        if a.tag != "a" or not href or href.startswith("#") or not anchor:
+    page, out = Page(html), []
+    for a in page.nodes:
+        href = a.attrs.get("href", "").strip() if a.tag == "a" else ""
+        if not href or href.startswith("#") or a.lo == a.hi:
             continue
         wide = a
-        while wide.parent is not None and wide.parent.tag != "root" and wide.parent.text().strip() == anchor:
+        while wide.parent.tag != "root" and (wide.parent.lo, wide.parent.hi) == (a.lo, a.hi):
             wide = wide.parent
-        out.append((href, anchor, _beside(wide, -1), _beside(wide, 1)))
+        out.append((href, page.text(a), *page.beside(wide)))
     return list(dict.fromkeys(out))
 
 
-def breadcrumb(html: str | None) -> list[str]:
+def named_trail(page: Page) -> list[str]:
     """Targets of the longest trail of links in an element that calls itself a breadcrumb; one inside another does not count."""
     best: list[str] = []
-    todo = [parse(html)]
-    while todo:
-        node = todo.pop()
-        if "breadcrumb" in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower():
-            found = [x.attrs["href"] for x in node.walk() if x.tag == "a" and x.attrs.get("href")]
-            best = max(best, found, key=len)
-        else:
-            todo.extend(c for c in reversed(node.children) if not isinstance(c, str))
+    inside: set[Node] = set()
+    trails: dict[Node, list[str]] = {}
+    top: dict[Node, Node] = {}
+    for node in page.nodes:
+        if node.parent in inside:
+            inside.add(node)
+            top[node] = top[node.parent]
+        elif "breadcrumb" in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".lower():
+            inside.add(node)
+            top[node] = node
+            trails[node] = []
+        if node in inside and node.tag == "a" and node.attrs.get("href"):
+            trails[top[node]].append(node.attrs["href"])
+    for trail in trails.values():
+        best = max(best, trail, key=len)
+    return best
+
+
+def _steps(url: str) -> tuple[str, list[str]]:
+    parts = urlsplit(url)
+    return parts.netloc.lower().removeprefix("www."), [s for s in parts.path.lower().split("/") if s]
+
+
+def likely_trail(page: Page, url: str) -> list[str]:
+    """Targets of a trail that does not call itself one: the links of the widest element all of whose links lead to
+    pages above this one. It has two at least, and no more than the path has parts.
+
+    Links are numbered, so an element's are a range, and whether all of a range lead upwards is a difference of two counts.
+    """
+    base = next((urljoin(url, n.attrs["href"]) for n in page.nodes if n.tag == "base" and n.attrs.get("href")), url)
+    host, path = _steps(url)
+    found = [(n.lo, n.attrs["href"]) for n in page.nodes if n.tag == "a" and n.attrs.get("href") and n.lo < n.hi]
+    places, upward = [lo for lo, _ in found], [0]
+    for _, href in found:
+        h, p = _steps(urljoin(base, href))
+        upward.append(upward[-1] + (h == host and len(p) < len(path) and path[: len(p)] == p))
+    best: list[str] = []
+    for node in page.nodes:
+        i, j = bisect_left(places, node.lo), bisect_right(places, node.hi - 1)
+        if len(best) < j - i <= max(len(path), 1) and j - i >= 2 and upward[j] - upward[i] == j - i:
+            best = [href for _, href in found[i:j]]
     return best
 
 
+def breadcrumb(html: str | None, url: str | None = None) -> list[str]:
+    page = Page(html)
+    return named_trail(page) or (likely_trail(page, url) if url else [])
+
+
+def blocks(page: Page) -> list[tuple[Node, str, int]]:
+    """(element, text, letters in links) of the page's blocks: texts that stand together in one element, where elements within a
+    line count as the text around them."""
+    out: list[list] = []
+    for text, owner in zip(page.texts, page.owners, strict=True):
+        linked, node = False, owner
+        while node.tag in INLINE:
+            linked |= node.tag == "a"
+            node = node.parent
+        if out and out[-1][0] is node:
+            out[-1][1] += f" {text}"
+        else:
+            out.append([node, text, 0])
+        out[-1][2] += len(text) if linked else 0
+    return [tuple(b) for b in out]
+
+
+def title_and_body(html: str | None) -> tuple[str, str, int, int]:
+    """(title, body, blocks, blocks in the body), from one reading.
+
+    The title is the first heading that the title element holds, else the first heading, else the title element; that of an archive's
+    own pages is none. The body is all blocks outside the page's frame that are not mostly links.
+    """
+    page = Page(html)
+    named = next((page.text(n) for n in page.nodes if n.tag == "title"), "")
+    named = "" if "Wayback Machine" in named else named
+    heads = [t for n in page.nodes if n.tag in HEADINGS and (t := page.text(n))]
+    title = next((h for h in heads if h.lower() in named.lower()), heads[0] if heads else named)
+    found = [b for b in blocks(page) if not b[0].within(FRAME)]
+    kept = [t for _, t, linked in found if linked <= LINKED * len(t)]
+    return title, "\n".join(kept), len(found), len(kept)
+
+
 def _links(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(lambda h: [dict(zip(("href", "anchor", "before", "after"), x, strict=True)) for x in links(h)])
@@ -121,9 +224,25 @@ def _crumbs(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(breadcrumb)
 
 
+def _any_crumbs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for html, url in batches:
+        yield pd.Series([breadcrumb(h, u) for h, u in zip(html, url, strict=True)], dtype=object)
+
+
+def _bodies(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame([title_and_body(h) for h in batch], columns=["title", "body", "n_blocks", "n_kept"])
+
+
 def link_signatures(html) -> Column:
     return F.pandas_udf(_links, LINKS)(html)
 
 
-def breadcrumbs(html) -> Column:
-    return F.pandas_udf(_crumbs, "array<string>")(html)
+def breadcrumbs(html, url=None) -> Column:
+    """Links of a page's trail: one that is named so, else, given the URL, links that lead to the pages above it."""
+    return F.pandas_udf(_crumbs, "array<string>")(html) if url is None else F.pandas_udf(_any_crumbs, "array<string>")(html, url)
+
+
+def titles_and_bodies(html) -> Column:
+    """struct<title, body, n_blocks, n_kept>."""
+    return F.pandas_udf(_bodies, PAGE)(html)

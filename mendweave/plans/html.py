@@ -6,7 +6,7 @@ from mendweave.functions import html as H
 from mendweave.functions import urls as U
 from mendweave.operators import prep
 
-from .common import TITLES, URLS, F, literal, query, table, values_sql
+from .common import TITLES, URLS, F, literal, query, table
 
 _DECODE = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 _SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
@@ -22,6 +22,10 @@ LINKS = rf"""l AS (
 )"""
 
 
+#: The title that counts: that of an archive's own pages is none.
+_shown_title = f"CASE WHEN {TITLE} LIKE '%Wayback Machine%' THEN '' ELSE {TITLE} END"
+
+
 def pages(spark, d):
     return table(spark, d, "pages")
 
@@ -79,32 +83,6 @@ def html_lang(spark, d):
     return pages(spark, d).groupBy(H.lang("html").alias("lang")).agg(F.count("*").alias("n"))
 
 
-_SAMPLES = [
-    ("http://a.com/1", '<html lang="en-GB"><head><base href="http://a.com/d/"><link rel="canonical" href="http://a.com/one"></head><body><time datetime="2019-05-06T10:00">May</time></body></html>', "http://a.com/one", "http://a.com/d/", None, "2019-05-06"),
-    ("http://a.com/2", '<html><body><p class="impatient"><a href="http://b.com/two">Impatient?</a></p></body></html>', None, None, "http://b.com/two", None),
-    ("http://a.com/3", "<p>nothing here</p>", None, None, None, None),
-]
-
-
-@query("html_canonical", f"SELECT url, canonical, base, redirect, published::VARCHAR AS published FROM {values_sql(_SAMPLES, 'url, html, canonical, base, redirect, published')}")
-def html_canonical(spark, d):
-    own = literal(spark, _SAMPLES, "url string, html string, c string, b string, r string, p string")
-    return own.select("url", H.canonical("html").alias("canonical"), H.base("html").alias("base"), H.archive_redirect("html").alias("redirect"), H.publish_date("html").cast("string").alias("published"))
-
-
-_CRUMBS = [
-    ("a", '<ul class="breadcrumb"><li><a href="/">Home</a></li><li><a href="/news/">News</a></li></ul><p><a href="/x">x</a></p>', "/ /news/"),
-    ("b", '<div id="wm-ipp-base"><a href="/w">archive</a></div><div id="main-breadcrumbs"><a href="/s/">S</a></div>', "/s/"),
-    ("c", "<p>none</p>", ""),
-]
-
-
-@query("html_breadcrumb", f"SELECT id, links FROM {values_sql(_CRUMBS, 'id, html, links')}")
-def html_breadcrumb(spark, d):
-    own = literal(spark, _CRUMBS, "id string, html string, l string")
-    return own.select("id", F.array_join(F.transform(H.breadcrumb(H.without_toolbar("html")), lambda x: x["href"]), " ").alias("links"))
-
-
 @query("prep_group", f"WITH {URLS} SELECT host || '|' || lower(dir) AS netloc_dir, count(DISTINCT url) AS n_urls FROM (SELECT *, regexp_replace(host, '^[^.]*www[^.]*\\.', '') AS h2 FROM s) GROUP BY h2, host || '|' || lower(dir)".replace("host || '|' || lower(dir)", "h2 || '|' || lower(dir)"))
 def prep_group(spark, d):
     return prep.grouped(pages(spark, d).select("url")).groupBy("netloc_dir").agg(F.count("*").alias("n_urls"))

@@ -7,7 +7,7 @@ from mendweave.functions import text as X
 from mendweave.functions import urls as U
 from mendweave.operators import similarity as S
 
-from .common import URLS, F, Window, literal, query, table, values_sql
+from .common import URLS, F, Window, query, table
 from .html import TITLE
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -241,15 +241,6 @@ def text_language_profile(spark, d):
     return docs.select("doc_id", "lang").join(guess, "doc_id").groupBy("lang", "guess").agg(F.count("*").alias("n"))
 
 
-_STEMS = [("connections", "connect"), ("running", "run"), ("happily", "happili"), ("relational", "relat"), ("skies", "sky"), ("agreed", "agre"), ("hoping", "hope"), ("generously", "generous"), ("national", "nation"), ("cats", "cat")]
-
-
-@query("text_stems", f"SELECT word, stem FROM {values_sql(_STEMS, 'word, stem')}")
-def text_stems(spark, d):
-    own = literal(spark, _STEMS, "word string, s string")
-    return own.select("word", X.stems(F.array("word"))[0].alias("stem"))
-
-
 _RAW = "CASE event_id % 4 WHEN 0 THEN {0} WHEN 1 THEN left({0}, 8) WHEN 2 THEN left({0}, 4) ELSE event_type END"
 
 
@@ -276,3 +267,10 @@ def text_complement(spark, d):
     half = F.array_join(F.slice("w", F.lit(1), F.floor(F.size("w") / 2).cast("int")), " ")
     own = own.select("page_id", F.array_join("w", " ").alias("whole"), half.alias("part"))
     return own.select("page_id", X.complement("whole", "part").alias("rest"))
+
+
+@query("text_stems")
+def text_stems(spark, d):
+    """The stems of the words of English documents, and how many words share each."""
+    terms = documents(spark, d).where("lang = 'en'").select(F.explode(X.words("text")).alias("word")).distinct()
+    return terms.select("word", X.stems(F.array("word"))[0].alias("stem")).groupBy("stem").agg(F.count("*").alias("n"), F.min("word").alias("first"))
