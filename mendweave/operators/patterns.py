@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mendweave.functions import urls as U
+from mendweave.operators.neighbors import ancestors
 
 
 def parts(url) -> Column:
@@ -47,9 +48,10 @@ def index(urls: DataFrame, id_col: str, url: str = "url", max_diff: int = 1) ->
 def groups(indexed: DataFrame, id_col: str, least: int = 2) -> DataFrame:
     """(pattern, n, first, last) of patterns with at least so many URLs; of patterns with the same URLs the first stays.
 
-    Two sets of ids count as the same if their sizes, ends and hash sums agree; no set is gathered in one row.
+    Two sets of ids count as the same if their sizes, their ends and two sums of their hashes agree, 128 bits; no set is
+    gathered in one row.
     """
-    digest = F.bit_xor(F.xxhash64(id_col))
+    digest = F.struct(F.bit_xor(F.xxhash64(id_col)), F.sum(F.xxhash64(F.lit(1), id_col).cast("decimal(38,0)")))
     found = indexed.groupBy("pattern").agg(F.countDistinct(id_col).alias("n"), F.min(id_col).alias("first"), F.max(id_col).alias("last"), digest.alias("x"))
     return found.where(F.col("n") >= least).groupBy("n", "first", "last", "x").agg(F.min("pattern").alias("pattern")).select("pattern", "n", "first", "last")
 
@@ -74,3 +76,22 @@ def unique_tokens(urls: DataFrame, id_col: str, url: str = "url") -> DataFrame:
     kept = own.join(counts, ["host", "token"]).where(U.good_token("token"))
     order = F.array_sort(F.collect_list(F.struct((-F.length("token")).alias("l"), "token")))
     return kept.groupBy(id_col).agg(F.array_join(F.transform(order, lambda x: x["token"]), " ").alias("tokens"))
+
+
+def redirected(targets: DataFrame, redirects: DataFrame, id_col: str, url: str = "url", levels: int = 2, least: int = 2, max_diff: int = 2) -> DataFrame:
+    """(id, level, pattern, n): patterns of a target that redirecting URLs near it share, ``least`` at least and with its extension.
+
+    Near is below the target's directory, or, only if no other URL redirects there, below the one above it, and so on for
+    ``levels`` directories. The directories are probed level by level by the first and last URL of each, so that no pair of a
+    target and a redirect is made before their patterns meet.
+    """
+    own = redirects.select(F.col(url).alias("__r"), U.match_key(url).alias("__rk")).dropDuplicates(["__rk"])
+    below = own.select("__rk", F.explode(ancestors(F.col("__r"), 99)).alias("a")).select("__rk", F.col("a.dir").alias("dir"))
+    ends = below.groupBy("dir").agg(F.min("__rk").alias("lo"), F.max("__rk").alias("hi"))
+    t = targets.select(F.col(id_col), F.col(url), U.match_key(url).alias("__key"), F.explode(ancestors(F.col(url), levels)).alias("a")).select(id_col, url, "__key", "a.level", "a.dir")
+    there = t.join(ends, "dir").where((F.col("lo") != F.col("__key")) | (F.col("hi") != F.col("__key")))
+    level = there.groupBy(id_col).agg(F.min(F.struct("level", "dir", "__key")).alias("x")).select(id_col, "x.*")
+    mine = targets.select(F.col(id_col), U.extension(U.path(url)).alias("ext"), F.explode(generate(url, max_diff)).alias("pattern")).join(level, id_col)
+    theirs = own.select("__rk", U.extension(U.path(F.col("__r"))).alias("ext"), F.transform(ancestors(F.col("__r"), 99), lambda a: a["dir"]).alias("dirs"), F.explode(generate(F.col("__r"), max_diff)).alias("pattern"))
+    met = mine.join(theirs, ["pattern", "ext"]).where(F.array_contains("dirs", F.col("dir")) & (F.col("__rk") != F.col("__key")))
+    return met.groupBy(id_col, "level", "pattern").agg(F.countDistinct("__rk").alias("n")).where(F.col("n") >= least)

@@ -126,3 +126,46 @@ def strip_common_parts(pages: DataFrame, id_col: str, site: str, title: str, lea
     kept = parts.join(common, [site, "part"]).where(F.col("n") < least)
     own = kept.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]).alias("parts"))
     return pages.select(id_col, title).join(own, id_col, "left").select(id_col, F.coalesce(F.array_join("parts", " "), F.col(title)).alias("unique_title"))
+
+
+def unique_titles(pages: DataFrame, id_col: str, site: str, title: str, key: str, text: str) -> DataFrame:
+    """(id, unique): no other URL of the site has the title with another text. A page without a title is not unique.
+
+    Counted, not compared: of the pages with a site's title those of another URL and another text are all, less those of the
+    same URL, less those of the same text, and those of both once more.
+    """
+    own = pages.select(F.col(id_col), F.col(site).alias("__s"), F.col(title).alias("__t"), F.col(key).alias("__k"), F.md5(F.col(text).cast("binary")).alias("__x"))
+    by = lambda name, *more: own.groupBy("__s", "__t", *more).agg(F.count("*").alias(name))
+    met = own.join(by("n"), ["__s", "__t"]).join(by("nk", "__k"), ["__s", "__t", "__k"]).join(by("nx", "__x"), ["__s", "__t", "__x"]).join(by("nb", "__k", "__x"), ["__s", "__t", "__k", "__x"])
+    return met.select(id_col, ((F.col("__t") != "") & (F.col("n") - F.col("nk") - F.col("nx") + F.col("nb") == 0)).alias("unique"))
+
+
+def title_similar(targets: DataFrame, pages: DataFrame, id_col: str, site: str, title: str) -> DataFrame:
+    """(query, doc, cosine) of titles within a site where the words of one hold all of the other's.
+
+    ``pages``: (id, site, title, unique), titles without the parts that the site shares; ``targets`` are some of its ids. Titles
+    that are not unique are compared with none.
+    """
+    fair = pages.where(F.col("unique")).select(F.col(id_col).alias("__id"), F.col(site).alias("__site"), X.words(title).alias("__w"))
+    terms = fair.select("__id", F.explode("__w").alias("term")).groupBy("__id", "term").agg(F.count("*").alias("tf"))
+    w = weights(terms, idf(terms, pages.count()), "__id").select("__id", "term", "w")
+    each = w.join(fair.select("__id", "__site", F.size(F.array_distinct("__w")).alias("__n")), "__id")
+    q = each.join(targets.select(F.col(id_col).alias("__id")), "__id", "left_semi").select(F.col("__id").alias("query"), "__site", "term", F.col("w").alias("a"), F.col("__n").alias("na"))
+    d = each.select(F.col("__id").alias("doc"), "__site", "term", F.col("w").alias("b"), F.col("__n").alias("nb"))
+    met = q.join(d, ["__site", "term"]).where("query <> doc").groupBy("query", "doc", "na", "nb").agg(F.count("*").alias("k"), F.sum(F.col("a") * F.col("b")).alias("cosine"))
+    return met.where("k = na OR k = nb").select("query", "doc", "cosine")
+
+
+def similar(title: DataFrame, content: DataFrame, threshold: float = THRESHOLD, order: tuple[str, ...] = ("title", "content"), strict: bool = True) -> DataFrame:
+    """(query, doc, type, score, rank): the document that titles tell apart and the one that contents do, in the given order.
+
+    Both hold (query, doc, cosine). One way tells a document apart if it alone reaches the threshold; unless ``strict``, if it is
+    the best that does.
+    """
+    found = {"title": title, "content": content}
+    both = None
+    for k, kind in enumerate(order):
+        best = separable(found[kind], threshold=threshold, strict=strict).select("query", "doc", F.lit(kind).alias("type"), F.round("top1", 9).alias("score"), F.lit(k).alias("__o"))
+        both = best if both is None else both.union(best)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("__o"))
+    return both.withColumn("rank", rank.cast("bigint")).drop("__o")

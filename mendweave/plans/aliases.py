@@ -13,7 +13,7 @@ from .common import KEY, PAIRS, URLS, F, Window, query, table
 from .html import TEXT, TITLE
 from .neighbors import AROUND, near, pages
 from .snapshots import SNAPS, snaps
-from .texts import _TI, titles
+from .texts import _PARTS, _TI, titles
 from .urls import next_on_host
 
 _SITE = "array_to_string(string_split(host, '.')[-2:], '.')"
@@ -315,3 +315,50 @@ def maps_merged(spark, d):
 def score_sums(spark, d):
     own = table(spark, d, "lineitem")
     return own.groupBy("l_returnflag").agg(F.round(F.sum(A.weighted_sum("l_discount", "l_tax")), 4).alias("weighted"), F.round(F.sum(A.estimated("l_discount", "l_tax")), 4).alias("estimated"))
+
+
+#: Titles without shared parts where unique, compared if one holds the other's words; contents within a host.
+_SIMILAR = rf"""{_TI}, tx AS (SELECT page_id, {TEXT} AS text FROM pages), keyed AS (SELECT t.page_id, t.host, title, text, {KEY} AS mk FROM t JOIN s USING (page_id) JOIN tx USING (page_id)),
+uq AS (SELECT a.page_id, a.host, a.title, a.title <> '' AND NOT EXISTS (SELECT 1 FROM keyed b WHERE b.host = a.host AND b.title = a.title AND b.mk <> a.mk AND b.text <> a.text) AS uniq FROM keyed a),
+q0 AS (SELECT page_id, host, title, {_PARTS} AS parts FROM t), p0 AS (SELECT page_id, host, unnest(parts) AS part, unnest(range(0, len(parts))) AS pos FROM q0),
+c0 AS (SELECT host, part FROM p0 GROUP BY 1, 2 HAVING count(DISTINCT page_id) < 2), o0 AS (SELECT page_id, string_agg(part, ' ' ORDER BY pos, part) AS u FROM p0 JOIN c0 USING (host, part) GROUP BY 1),
+fa AS (SELECT page_id, host, regexp_extract_all(lower(replace(coalesce(u, title), '_', ' ')), '[\p{{L}}\p{{N}}_]+') AS w FROM uq LEFT JOIN o0 USING (page_id) WHERE uniq),
+tf0 AS (SELECT page_id, host, term, count(*) AS tf FROM (SELECT page_id, host, unnest(w) AS term FROM fa) GROUP BY 1, 2, 3), df0 AS (SELECT term, ln((1.0 + (SELECT count(*) FROM pages)) / (1 + count(*))) + 1 AS idf FROM tf0 GROUP BY 1),
+w0 AS (SELECT page_id, host, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY page_id)) AS w, count(*) OVER (PARTITION BY page_id) AS n FROM tf0 JOIN df0 USING (term)),
+ts AS (SELECT a.page_id AS query, b.page_id AS doc, sum(a.w * b.w) AS c FROM w0 a JOIN w0 b ON a.host = b.host AND a.term = b.term AND a.page_id <> b.page_id WHERE a.page_id % 50 = 0 GROUP BY a.page_id, b.page_id, a.n, b.n HAVING count(*) = a.n OR count(*) = b.n),
+tok AS (SELECT page_id, unnest(regexp_extract_all(lower(replace(text, '_', ' ')), '[\p{{L}}\p{{N}}_]+')) AS term FROM tx), tf AS (SELECT page_id, term, count(*) AS tf FROM tok WHERE term NOT IN ({_STOP}) GROUP BY 1, 2),
+df AS (SELECT term, ln((1.0 + (SELECT count(*) FROM pages)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY 1), w AS (SELECT page_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY page_id)) AS w FROM tf JOIN df USING (term)),
+cc AS (SELECT a.page_id AS query, b.page_id AS doc, sum(a.w * b.w) AS c FROM w a JOIN w b USING (term) JOIN t x ON x.page_id = a.page_id JOIN t y ON y.page_id = b.page_id WHERE a.page_id <> b.page_id AND x.host = y.host AND a.page_id % 50 = 0 GROUP BY 1, 2),
+al AS (SELECT 0 AS o, 'title' AS type, * FROM ts UNION ALL SELECT 1, 'content', * FROM cc), r AS (SELECT *, row_number() OVER (PARTITION BY o, query ORDER BY round(c, 9) DESC, doc) AS k FROM al),
+two AS (SELECT o, type, query, max(CASE WHEN k = 1 THEN doc END) AS doc, max(CASE WHEN k = 1 THEN c END) AS t1, coalesce(max(CASE WHEN k = 2 THEN c END), 0) AS t2 FROM r WHERE k <= 2 GROUP BY 1, 2, 3)"""
+_AGREE = "sep AS (SELECT * FROM two WHERE t1 >= {0} AND t2 < {0})"
+
+
+def title_and_content(spark, d):
+    """Similarities of the targets' titles and contents with those of the pages of their hosts."""
+    own = table(spark, d, "pages").select("page_id", "url", U.host("url").alias("host"), H.title("html").alias("title"), H.text("html").alias("text"))
+    unique = S.unique_titles(own.withColumn("key", U.match_key("url")), "page_id", "host", "title", "key", "text")
+    bare = S.strip_common_parts(own.select("page_id", "host", "title"), "page_id", "host", "title")
+    marked = own.select("page_id", "host").join(unique, "page_id").join(bare, "page_id")
+    hosts = own.select("page_id", "host")
+    q, c = hosts.select(F.col("page_id").alias("query"), "host"), hosts.select(F.col("page_id").alias("doc"), "host")
+    near = _content_pairs(spark, d).join(q, "query").join(c, ["doc", "host"]).select("query", "doc", "cosine")
+    return S.title_similar(own.where("page_id % 50 = 0").select("page_id"), marked, "page_id", "host", "unique_title"), near
+
+
+@query("similar_title", f"WITH {_SIMILAR} SELECT query, doc, round(c, 6) AS cosine FROM ts")
+def similar_title(spark, d):
+    """Titles that are unique on their host, without the parts that the host shares, where one holds all words of the other."""
+    return title_and_content(spark, d)[0].select("query", "doc", F.round("cosine", 6).alias("cosine"))
+
+
+@query("similar_verdict", f"WITH {_SIMILAR}, {_AGREE.format(0.8)} SELECT query, doc, type, round(t1, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY o) AS rank FROM sep")
+def similar_verdict(spark, d):
+    """The page that a target's title tells apart, then the one that its content does."""
+    return S.similar(*title_and_content(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("similar_loose", f"WITH {_SIMILAR}, sep AS (SELECT * FROM two WHERE t1 >= 0.3) SELECT query, doc, type, round(t1, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY o DESC) AS rank FROM sep")
+def similar_loose(spark, d):
+    """The same by contents first, from 0.3 and whatever the second best is, as candidates of a crowded cluster are confirmed."""
+    return S.similar(*title_and_content(spark, d), threshold=0.3, order=("content", "title"), strict=False).withColumn("score", F.round("score", 6))

@@ -6,7 +6,9 @@ from mendweave.operators import patterns as P
 from mendweave.operators import verify as V
 
 from .common import URLS, F, query, table, written
+from .html import _shown_title
 from .neighbors import AROUND, near, pages
+from .redirects import LOOKS, looks, redirecting
 
 _CLS = "CASE WHEN regexp_matches({0}, '[A-Za-z]') THEN 'A' ELSE '' END || CASE WHEN regexp_matches({0}, '[0-9]') THEN 'N' ELSE '' END"
 _PATS = rf"""{URLS}, q AS (SELECT page_id, url, host, bare, unnest(list_concat(segs, pairs)) AS x, unnest(range(0, len(segs) + len(pairs))) AS j, list_concat(segs, pairs) AS parts FROM s),
@@ -151,3 +153,39 @@ def verify_hints(spark, d):
     worth = F.create_map(*[F.lit(x) for kv in V.HINTS.items() for x in kv])
     own = V.drop_multicast(ingested(spark, d)).select(U.bare_host("cand").alias("host"), "method").distinct()
     return own.groupBy("host").agg(F.sum(F.coalesce(F.try_element_at(worth, F.col("method")), F.lit(0.0))).alias("hint"))
+
+
+_TWICE = """two AS (SELECT DISTINCT a.page_id, a.bare || '|' || array_to_string(CASE WHEN a.j = b.j THEN list_concat(list_concat(a.parts[1:a.j], [a.wild]), a.parts[a.j + 2:])
+  ELSE list_concat(list_concat(list_concat(list_concat(a.parts[1:a.j], [a.wild]), a.parts[a.j + 2:b.j]), [b.wild]), a.parts[b.j + 2:]) END, '|') AS pattern FROM wq a JOIN wq b ON a.page_id = b.page_id AND a.j <= b.j)"""
+
+
+_UPWARD = r"list_transform(range(0, len(ds) + 1), lambda k: regexp_replace(host, '^[^.]*www[^.]*\.', '') || '|' || array_to_string(ds[1:len(ds) - k], '/'))"
+
+
+@query(
+    "pattern_redirected",
+    rf"""WITH {LOOKS}, {_PATS.removeprefix(URLS + ', ')}, {_TWICE},
+dd AS (SELECT page_id, url, mk, ext, {_UPWARD} AS dirs FROM (SELECT *, list_filter(string_split(lower(dir), '/'), lambda x: x <> '') AS ds FROM o)),
+re AS (SELECT mk, min(page_id) AS page_id FROM dd JOIN la USING (url) GROUP BY 1), rd AS (SELECT dd.* FROM re JOIN dd USING (page_id)),
+pb AS (SELECT t.page_id, min(lv) AS level FROM (SELECT page_id, mk, dirs, unnest(range(0, least(2, len(dirs)))) AS lv FROM dd WHERE page_id % 50 = 0) t JOIN rd ON list_contains(rd.dirs, t.dirs[lv + 1]) AND rd.mk <> t.mk GROUP BY 1)
+SELECT t.page_id, level, a.pattern, count(DISTINCT rd.mk) AS n FROM pb JOIN dd t USING (page_id) JOIN two a ON a.page_id = t.page_id JOIN two b ON b.pattern = a.pattern JOIN rd ON rd.page_id = b.page_id
+WHERE rd.ext = t.ext AND rd.mk <> t.mk AND list_contains(rd.dirs, t.dirs[level + 1]) GROUP BY 1, 2, 3 HAVING count(DISTINCT rd.mk) >= 2""",
+)
+def pattern_redirected(spark, d):
+    """Patterns that a target (ids divisible by 50) shares with redirecting URLs of its directory, or of the one above."""
+    moved = written(redirecting(looks(spark, d)))
+    return P.redirected(pages(spark, d).where("page_id % 50 = 0"), moved, "page_id").withColumn("level", F.col("level").cast("bigint"))
+
+
+@query("verify_rematch", f"WITH {_RULES}, rt AS (SELECT page_id, cand_id, host, rule, nurl, ncand, method, count(DISTINCT ncand) OVER (PARTITION BY host, rule, nurl) AS fan, ct.c IS NOT NULL AS ok FROM ru LEFT JOIN (SELECT a.page_id AS x, b.page_id AS y, 1 AS c FROM titled a JOIN titled b ON a.title = b.title AND a.host = b.host AND a.page_id <> b.page_id WHERE a.title <> '') ct ON x = page_id AND y = cand_id), go AS (SELECT *, bool_or(ok) OVER (PARTITION BY host, rule, nurl) AS good FROM rt) SELECT page_id, cand_id, CASE WHEN fan > 1 AND ok THEN 'title' ELSE method END AS method FROM go WHERE fan <= 1 OR NOT good OR ok".replace("SELECT page_id, cand_id, CASE WHEN", "SELECT page_id, cand_id, CASE WHEN", 1).replace(f"WITH {_RULES}", f"WITH {_RULES}, titled AS (SELECT page_id, host, {_shown_title} AS title FROM s)", 1))
+def verify_rematch(spark, d):
+    """Candidates after a second look where a cluster has several for a URL: those with the same title stay, if there are any."""
+    from mendweave.functions import html as H
+    from mendweave.functions import urls as U
+
+    own = ruled(spark, d)
+    asked = V.crowded(own, 1).join(own.select("nurl", "ncand", "url", "cand").distinct(), ["nurl", "ncand"])
+    titles = table(spark, d, "pages").select("url", U.host("url").alias("host"), H.title("html").alias("title")).where("title <> ''")
+    other = titles.select(F.col("url").alias("cand"), "host", "title")
+    same = asked.join(titles, "url").join(other, ["cand", "host", "title"]).select("nurl", "ncand", F.lit("title").alias("type"))
+    return V.rematch(own, same, 1).select("page_id", "cand_id", "method")
