@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from mendweave.functions import urls as U
+from mendweave.session import written
 
 #: Steps of a search, and nodes of its frontier that stay after each.
 DEPTH, TRIM = 4, 10
@@ -62,3 +63,36 @@ def guesses(targets: DataFrame, pages: DataFrame, id_col: str, url: str = "url")
 def state(linked: Column, dropped: Column, matched: Column, works: Column) -> Column:
     """What a backlink tells: the first step that fails, or the alias that was found."""
     return F.when(~linked, "NotLinked").when(~dropped, "NoDrop").when(~matched, "NoMatch").when(~works, "Broken").otherwise("Found")
+
+
+def find_paths(edges: DataFrame, targets: DataFrame, starts: DataFrame, likeness: DataFrame | None = None, depth: int = DEPTH, trim: int = 2 * TRIM) -> DataFrame:
+    """(target, path, length, priority): for each target the way along links from its start that a search finds first.
+
+    ``edges``: (src, dst, text), URLs and the text of the link; ``targets``: (target, start), ``starts`` may be shared. A node's
+    priority is its distance from the target in the site's tree, plus the steps so far, less how much the last link's text is like
+    the target (``likeness``: target, text, score). After each step the ``trim`` best nodes of a target that it has not met go on,
+    until one is the target; then only the others go on. Steps are a loop over written frontiers, and what was met is kept apart,
+    so a plan never holds more than one step.
+    """
+    own = edges.select("src", "dst", "text")
+    front = written(targets.join(starts, "target").select("target", F.col("start").alias("node"), F.array("start").alias("path"), F.lit(0.0).alias("priority")))
+    same = U.match_key("node") == U.match_key("target")
+    found, met = front.where(same), front.select("target", "node")
+    front = front.where(~same)
+    for step in range(1, depth + 1):
+        reached = front.join(own, front["node"] == own["src"]).select("target", "path", F.col("dst").alias("node"), "text")
+        reached = reached.join(met, ["target", "node"], "left_anti")
+        if likeness is not None:
+            reached = reached.join(likeness, ["target", "text"], "left")
+        alike = F.coalesce("score", F.lit(0.0)) if likeness is not None else F.lit(0.0)
+        scored = reached.withColumn("priority", F.round(U.tree_diff("target", "node") + step - alike, 9))
+        best = scored.groupBy("target", "node").agg(F.min(F.struct("priority", "path")).alias("b"))
+        rank = F.row_number().over(Window.partitionBy("target").orderBy(same.cast("int").desc(), "b.priority", "node"))
+        kept = best.withColumn("k", rank).where(F.col("k") <= trim).select("target", "node", F.concat("b.path", F.array("node")).alias("path"), "b.priority")
+        kept = written(kept)
+        hit = kept.where(same)
+        found, met = found.unionByName(hit), written(met.unionByName(kept.select("target", "node")))
+        front = kept.join(hit.select("target"), "target", "left_anti")
+        if front.isEmpty():
+            break
+    return found.groupBy("target").agg(F.min(F.struct(F.size("path").alias("n"), "priority", "path")).alias("b")).select("target", "b.path", (F.col("b.n") - 1).cast("bigint").alias("length"), "b.priority")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from mendweave.operators import links as L
 
-from .common import PAIRS, F, query, table, written
-from .html import _DECODE, _SQUEEZE
+from .common import PAIRS, URLS, F, query, table, written
+from .html import _DECODE, _SQUEEZE, LINKS
 from .urls import next_on_host
 
 _ITEM = _SQUEEZE.format(_DECODE.format("regexp_extract({0}, '>([^<>]*)</a>', 1)"))
@@ -64,3 +64,42 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY page_id, id2, link ORDER BY sco
 def link_likely(spark, d):
     """The links of the other version that are looked at for each link, three quarters by the anchor and a quarter by what is beside it."""
     return L.likely_links(matched(spark, d), "page_id", "id2").withColumn("score", F.round("score", 6))
+
+
+def ways(spark, d):
+    """Links between URLs of a host and back along them, with their texts."""
+    from mendweave.functions import html as H
+    from mendweave.functions import urls as U
+
+    own = table(spark, d, "pages").select("url", F.explode(H.links("html")).alias("l"))
+    to = F.concat(F.lit("http://"), U.host("url"), U.path(U.resolve("url", "l.href")))
+    forth = own.select(F.col("url").alias("src"), to.alias("dst"), F.col("l.anchor").alias("text"))
+    return written(forth.unionByName(forth.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "text")).distinct())
+
+
+def likeness(spark, d, edges):
+    """(target, text, score): how much a link's text is like the title of a target (ids divisible by 50)."""
+    from mendweave.functions import html as H
+
+    titles = table(spark, d, "pages").where("page_id % 50 = 0").select(F.col("url").alias("target"), H.title("html").alias("title"))
+    w = written(L.text_weights(edges.select("text").union(titles.select(F.col("title").alias("text"))).distinct()))
+    a = titles.join(w.select(F.col("text").alias("title"), "term", F.col("w").alias("a")), "title").select("target", "term", "a")
+    return a.join(w.select("text", "term", F.col("w").alias("b")), "term").groupBy("target", "text").agg((L.ANCHOR * F.sum(F.col("a") * F.col("b"))).alias("score"))
+
+
+_WAYS = rf"""{LINKS}, {URLS}, fw AS (SELECT DISTINCT url AS src, 'http://' || host || CASE WHEN starts_with(href, '/') THEN regexp_extract(href, '^[^?#]*', 0) ELSE regexp_extract(href, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) END AS dst FROM l JOIN s USING (page_id)),
+bw AS (SELECT src, dst FROM fw UNION SELECT dst, src FROM fw), st AS (SELECT a.url AS target, arg_min(b.url, b.page_id) AS start FROM s a JOIN s b ON a.host = b.host WHERE a.page_id % 50 = 0 GROUP BY 1)"""
+
+
+@query("link_paths", f"WITH RECURSIVE {_WAYS}, r AS (SELECT target, start AS node, 0 AS depth FROM st UNION SELECT r.target, bw.dst, r.depth + 1 FROM r JOIN bw ON bw.src = r.node WHERE r.depth < 4) SELECT target, min(depth)::BIGINT AS length FROM r WHERE node = target GROUP BY 1")
+def link_paths(spark, d):
+    """How many links lead from the first page of its host to each target (ids divisible by 50), along links and back."""
+    from mendweave.functions import urls as U
+    from mendweave.operators import graph as G
+
+    edges = ways(spark, d)
+    pages = table(spark, d, "pages").select("page_id", "url", U.host("url").alias("host"))
+    first = pages.groupBy("host").agg(F.min_by("url", "page_id").alias("start"))
+    targets = pages.where("page_id % 50 = 0").select(F.col("url").alias("target"), "host")
+    starts = targets.join(first, "host").select("target", "start")
+    return G.find_paths(edges, targets.select("target"), starts, likeness(spark, d, edges), trim=200).select("target", "length")
