@@ -20,12 +20,9 @@ def share_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{ROOT}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else ROOT
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read again: for frames that a plan reads several times.
-
-    A folder of this machine is made only if the session names none and runs all its tasks here, as in tests.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. One is made on this machine only if the session names none and runs all its
+    tasks here, as in tests; on a cluster it would be lost on the others, so that is an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,4 +32,10 @@ def written(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="mendweave-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: for what is read several times, or must survive a lost executor."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
