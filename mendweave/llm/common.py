@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import re
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendweave.session import share_path as share_path
+from mendweave.session import shared_dir as shared_dir
+from mendweave.session import written
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -29,25 +27,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is set here only if the session names none and all its tasks run in
-    this process, as in tests; on a cluster a folder of this machine would be lost on the others, so that is an error."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not re.fullmatch(r"local(\[.*\])?", sc.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            named = tempfile.mkdtemp(prefix="mendweave-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again, so that a lost executor costs no earlier step."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: Written to the shared folder and read again, so that a lost executor costs no earlier step.
+saved = written
 
 
 def remainder(id_col: str, divisor: int):

@@ -20,16 +20,15 @@ from pyspark.sql import functions as F
 
 from .common import carried, field, joined, pieces, read, remainder, run_sums, share_path, strings, tidied
 
-#: Trigrams are hashed to 2**BITS counters for each language: the bound of the model's size.
+#: Trigrams are hashed to 2**BITS counters for each language. Those that a language has are kept, so the model's size is that of
+#: the languages' trigrams.
 BITS = 18
-#: Languages that are learned at most, those with most texts: a column of many values would else make a model without bound.
-LANGUAGES = 128
 #: Added to each counter.
 SMOOTH = 0.02
-#: Steps of expectation-maximisation at most.
-STEPS = 25
-#: Bytes of text that are judged at a time.
-CHUNK = 1 << 20
+#: Steps of expectation-maximisation at most, and those after which languages with less than LEAST of a text are left out of it.
+STEPS, FIRST_STEPS, LEAST = 25, 5, 1e-3
+#: Bytes of text that are judged at a time; fewer where languages are many. Likelihoods that are looked up at a time.
+CHUNK, CELLS = 1 << 20, 1 << 22
 #: Part of a word's probability that any language leaves to unknown words.
 FLOOR = 1e-4
 
@@ -95,16 +94,42 @@ def _counter(langs: list[str]):
 
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict:
-    """The languages, sorted, and an array [2**BITS, languages] of log probabilities of trigrams."""
+    """The languages, sorted, and their trigrams: for slot i the languages ``lang`` and log probabilities ``logp`` from first[i] to
+    first[i + 1]; ``rest`` is a language's log probability of a trigram that it lacks.
+
+    The driver gets a row for each trigram of each language, and the model is as large.
+    """
     share_path(train.sparkSession)
     known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    often = known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(LANGUAGES)
-    langs = sorted(r["l"] for r in often.collect())
-    table = np.full((1 << BITS, max(1, len(langs))), SMOOTH)
-    if langs:
-        counts = known.mapInArrow(tidied(_counter(langs)), "lang int, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most languages * 2**BITS rows
-        np.add.at(table, (np.asarray(counts["slot"]), np.asarray(counts["lang"])), np.asarray(counts["n"]))
-    return {"langs": langs, "logp": np.log(table / table.sum(0)).astype(np.float32)}
+    langs = sorted(r["l"] for r in known.select("l").distinct().collect())
+    if not langs:
+        return {"langs": [], "first": np.zeros((1 << BITS) + 1, np.int64), "lang": np.zeros(0, np.int32), "logp": np.zeros(0, np.float32), "rest": np.zeros(0, np.float32)}
+    counts = known.mapInArrow(tidied(_counter(langs)), "lang int, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    slot, lang, n = (counts[c].to_numpy() for c in ("slot", "lang", "n"))
+    order = np.lexsort((lang, slot))
+    slot, lang, n = slot[order], lang[order], n[order]
+    total = np.log(SMOOTH * (1 << BITS) + np.bincount(lang, n, len(langs)))
+    first = np.searchsorted(slot, np.arange((1 << BITS) + 1))
+    return {"langs": langs, "first": first, "lang": lang.astype(np.int32), "logp": (np.log(n + SMOOTH) - total[lang]).astype(np.float32), "rest": (np.log(SMOOTH) - total).astype(np.float32)}
+
+
+def word_logs(model: dict, slots: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Log probability [words, languages] of each word's trigrams, slots[bounds[i]:bounds[i + 1]]."""
+    n = len(bounds) - 1
+    out = np.empty((n, len(model["langs"])), np.float32)
+    step = max(1, CELLS // len(model["langs"]))
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + step, side="right")) - 1)
+        own, back = np.unique(slots[bounds[lo] : bounds[hi]], return_inverse=True)
+        table = np.tile(model["rest"], (len(own), 1))
+        size = model["first"][own + 1] - model["first"][own]
+        row = np.repeat(np.arange(len(own)), size)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(model["first"][own], size)
+        table[row, model["lang"][at]] = model["logp"][at]
+        out[lo:hi] = np.add.reduceat(table[back], bounds[lo:hi] - bounds[lo], axis=0)
+        lo = hi
+    return out
 
 
 def _em(like: np.ndarray, docs: np.ndarray, start: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
@@ -130,11 +155,27 @@ def _em(like: np.ndarray, docs: np.ndarray, start: np.ndarray, steps: int = STEP
     return mix, gained
 
 
+def _part(like: np.ndarray, docs: np.ndarray, which: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the documents ``which`` the words' likelihoods under each one's own ``columns``, and their bounds."""
+    n = np.diff(docs)[which]
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    rows = np.repeat(docs[which] - bounds[:-1], n) + np.arange(bounds[-1])
+    return like[rows[:, None], np.repeat(columns, n, axis=0)], bounds
+
+
+def _alike(counts: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of equal powers of two, so that few of a group's documents have far fewer languages than another."""
+    level = np.ceil(np.log2(np.maximum(counts, 1))).astype(int)
+    for x in np.unique(level):
+        yield np.flatnonzero(level == x)
+
+
 def infer(like: np.ndarray, docs: np.ndarray, languages: int) -> np.ndarray:
     """Proportions [documents, languages]: of the sets made by the k largest proportions, the best by penalised likelihood.
 
     like: each word's likelihood under each language, scaled to a largest value of 1. The penalty is half the log
     of the number of words for each further language, as in the Bayesian information criterion, plus log(languages).
+    A language is added as long as that pays.
     """
     n = len(docs) - 1
     logs = run_sums(np.log(like), docs)
@@ -145,39 +186,51 @@ def infer(like: np.ndarray, docs: np.ndarray, languages: int) -> np.ndarray:
         return out
     size = np.diff(docs)
     penalty = 0.5 * np.log(np.maximum(size, 2)) + np.log(languages)
-    full, gained = _em(like, docs, np.full((n, languages), 1 / languages))
     score = logs.max(1)
-    # the mixture of all languages bounds the likelihood of any set, so most documents need no search
-    open_ = np.flatnonzero((gained - score > penalty) & (size > 0))
+    # no set gives a word more than its best language does, so what is left to gain is known
+    open_ = np.flatnonzero((-score > penalty) & (size > 0))
+    if not len(open_):
+        return out
+    every = np.tile(np.arange(languages), (len(open_), 1))
+    full, gained = _em(*_part(like, docs, open_, every), np.full((len(open_), languages), 1 / languages), min(FIRST_STEPS, STEPS))
+    left = (full > LEAST).sum(1)
+    for group in _alike(left):
+        columns = np.argsort(-full[group], axis=1, kind="stable")[:, : left[group].max()]
+        start = np.take_along_axis(full[group], columns, axis=1)
+        mix, gained[group] = _em(*_part(like, docs, open_[group], columns), start / start.sum(1, keepdims=True), STEPS - FIRST_STEPS)
+        full[group] = 0
+        full[group[:, None], columns] = mix
+    order = np.argsort(-full, axis=1, kind="stable")
+    pays = np.flatnonzero(gained - score[open_] > penalty[open_])
     for k in range(2, languages + 1):
-        if not len(open_):
+        # the mixture of all languages bounds the likelihood of any set
+        pays = pays[(full[pays, order[pays, k - 1]] > 0) & (gained[pays] - (k - 1) * penalty[open_[pays]] > score[open_[pays]])]
+        if not len(pays):
             break
-        order = np.argsort(-full[open_], axis=1, kind="stable")[:, :k]
-        start = np.zeros((len(open_), languages))
-        np.put_along_axis(start, order, 1 / k, axis=1)
-        counts = size[open_]
-        bounds = np.concatenate(([0], np.cumsum(counts)))
-        rows = np.repeat(docs[open_] - bounds[:-1], counts) + np.arange(bounds[-1])
-        mix, got = _em(like[rows], bounds, start)
-        value = got - (k - 1) * penalty[open_]
-        better = value > score[open_]
-        out[open_[better]] = mix[better]
-        score[open_[better]] = value[better]
+        own = open_[pays]
+        mix, got = _em(*_part(like, docs, own, order[pays, :k]), np.full((len(pays), k), 1 / k))
+        value = got - (k - 1) * penalty[own]
+        better = value > score[own]
+        out[own[better]] = 0
+        out[own[better, None], order[pays[better], :k]] = mix[better]
+        score[own[better]] = value[better]
+        pays = pays[better]
     return out
 
 
 def _scorer(model, columns: list[str], text_col: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, logp = model.value["langs"], model.value["logp"]
+        langs = model.value["langs"]
+        chunk = max(1 << 14, CHUNK * 16 // max(16, len(langs)))
         for batch in batches:
             data, offsets = strings(batch.column(text_col))
             mixes = np.zeros((batch.num_rows, max(1, len(langs))))
             evidence = np.zeros(batch.num_rows)
-            for lo, hi in pieces(offsets, CHUNK):
+            for lo, hi in pieces(offsets, chunk):
                 slots, bounds, docs = _words(data, offsets, lo, hi)
                 if len(bounds) < 2 or not langs:
                     continue
-                each = np.add.reduceat(logp[slots], bounds[:-1], axis=0).astype(np.float64)
+                each = word_logs(model.value, slots, bounds).astype(np.float64)
                 like = np.exp(np.maximum(each - each.max(1, keepdims=True), np.log(FLOOR)))
                 mixes[lo:hi] = infer(like, docs, len(langs))
                 evidence[lo:hi] = run_sums(each.max(1), docs) / np.maximum(1, np.diff(bounds[docs]))
@@ -198,7 +251,7 @@ def identify(docs: DataFrame, train: DataFrame, carry: list[str], text_col: str
     """``docs``' ``carry`` columns, lang_pred, score (the proportion of lang_pred), languages (the chosen set, largest
     first) and gram_logp (mean log probability of a trigram in its word's best language)."""
     spark, carry = docs.sparkSession, carried(carry, "lang_pred", "score", "languages", "gram_logp")
-    model = spark.sparkContext.broadcast(fit(train, text_col, lang_col))  # 4 * languages * 2**BITS bytes
+    model = spark.sparkContext.broadcast(fit(train, text_col, lang_col))  # 8 bytes for each trigram of each language
     source = docs.select(*dict.fromkeys([*carry, text_col]), F.col(text_col).rlike(r"\p{L}").alias("__letter"))
     schema = ", ".join([*(field(docs, c) for c in carry), "lang_pred string", "score double", "languages array<string>", "gram_logp double"])
     return source.mapInArrow(tidied(_scorer(model, carry, text_col)), schema)

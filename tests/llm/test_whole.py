@@ -174,3 +174,36 @@ def test_pipeline_from_end_to_end(spark, tmp_path):
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == want
     assert len({r["sequence_id"] for r in packed}) == -(-sum(want.values()) // 4096)
+
+
+def test_many_languages(spark):
+    """Two hundred languages: the rarest is learned too, mixtures of several are told, and likelihoods are looked up in parts."""
+    from mendweave.llm import language_mix
+
+    rng = random.Random(12)
+    names = [f"l{k:03d}" for k in range(200)]
+    vocabulary = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 7))) for _ in range(40)] for x in names}
+    prose = lambda x, n: " ".join(rng.choice(vocabulary[x]) for _ in range(n))
+    train = spark.createDataFrame([(prose(x, 150), x) for i, x in enumerate(names) for _ in range(1 if i % 7 else 3)], "text string, lang string")
+    docs = [(i, prose(x, 60)) for i, x in enumerate(names)] + [(1000, prose("l003", 120) + " " + prose("l150", 80)), (1001, " ".join(prose(x, 60) for x in names[:5]))]
+    rows = {r["doc_id"]: r for r in language_mix.identify(spark.createDataFrame(docs, "doc_id bigint, text string"), train, ["doc_id"]).collect()}
+    assert [rows[i]["lang_pred"] for i in range(200)] == names
+    assert rows[1000]["languages"] == ["l003", "l150"] and abs(rows[1000]["score"] - 0.6) < 0.1
+    assert sorted(rows[1001]["languages"][:5]) == names[:5]
+
+
+def test_word_logs_in_parts(monkeypatch):
+    import numpy as np
+
+    from mendweave.llm import language_mix
+
+    rng = np.random.default_rng(3)
+    table = np.where(rng.random((1 << language_mix.BITS, 3)) < 1e-3, rng.normal(-3, 1, (1 << language_mix.BITS, 3)), np.nan).astype(np.float32)
+    slot, lang = np.nonzero(~np.isnan(table))
+    model = {"langs": ["a", "b", "c"], "first": np.searchsorted(slot, np.arange((1 << language_mix.BITS) + 1)), "lang": lang.astype(np.int32), "logp": table[slot, lang], "rest": np.array([-9, -8, -7], np.float32)}
+    slots = np.where(rng.random(500) < 0.5, slot[rng.integers(0, len(slot), 500)], rng.integers(0, 1 << language_mix.BITS, 500))
+    bounds = np.concatenate(([0], np.sort(rng.choice(np.arange(1, 500), 80, replace=False)), [500]))
+    want = np.add.reduceat(np.where(np.isnan(table[slots]), model["rest"], table[slots]), bounds[:-1], axis=0)
+    for cells in (1, 30, 1 << 22):
+        monkeypatch.setattr(language_mix, "CELLS", cells)
+        assert np.allclose(language_mix.word_logs(model, slots, bounds), want, atol=1e-3)
