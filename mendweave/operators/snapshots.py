@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mendweave.functions import urls as U
+
 #: How a snapshot is chosen for a wanted time.
 POLICIES = ("closest", "later", "earlier", "latest", "earliest")
 
@@ -93,3 +95,40 @@ def redirects_back(snaps: DataFrame, key: str, ts: str, status: str, days: int =
 def shared_targets(chains: DataFrame, url: str, neighbor: str, targets: str, near_targets: str) -> DataFrame:
     """Redirects of a URL that a neighbour leads to as well: then the target is a catch-all, not a replacement."""
     return chains.select(url, neighbor, F.arrays_overlap(targets, near_targets).alias("shared"))
+
+
+def url_key(url) -> Column:
+    """The form by which snapshot indexes sort URLs, here host, path and query, without scheme and www."""
+    return U.norm(url, ignore_scheme=True, trim_www=True)
+
+
+def under_prefixes(rows: DataFrame, prefixes: DataFrame, key: str = "key", prefix: str = "prefix") -> DataFrame:
+    """``rows`` with each of the prefixes that their key begins with: one scan for all prefixes.
+
+    A prefix falls into the bin of its beginning whose length is the largest power of two in its own. Rows enter the bins of
+    those lengths, which are few, and meet the prefixes by equal bins, so a row is compared with prefixes that begin like it only.
+    """
+    own = prefixes.select(prefix).distinct().withColumn("__n", F.pow(F.lit(2), F.floor(F.log2(F.length(prefix)))).cast("int"))
+    own = own.where(F.length(prefix) > 0).withColumn("__bin", F.expr(f"left({prefix}, __n)"))
+    sizes = sorted(r["__n"] for r in own.select("__n").distinct().collect())  # as many as a length has doublings
+    if not sizes:
+        return rows.limit(0).withColumn(prefix, F.lit(""))
+    each = rows.withColumn("__n", F.explode(F.array(*map(F.lit, sizes)))).where(F.length(key) >= F.col("__n")).withColumn("__bin", F.expr(f"left({key}, __n)"))
+    return each.join(own, ["__n", "__bin"]).where(F.startswith(F.col(key), F.col(prefix))).drop("__n", "__bin")
+
+
+def bucket(key, buckets: int) -> Column:
+    """The part of a written index that a key's host lies in."""
+    return F.pmod(F.crc32(F.regexp_extract(key, "^([^/?]*)", 1)), F.lit(buckets)).cast("int")
+
+
+def write_index(snaps: DataFrame, folder: str, buckets: int = 64, key: str = "key") -> None:
+    """A snapshot index as files parted by host and sorted by key within."""
+    own = snaps.withColumn("bucket", bucket(F.col(key), buckets))
+    own.repartition(buckets, "bucket").sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(folder)
+
+
+def scan_index(spark, folder: str, prefixes: DataFrame, buckets: int = 64, key: str = "key", prefix: str = "prefix") -> DataFrame:
+    """The rows of a written index below the prefixes, which hold whole hosts; parts without one of their hosts are not read."""
+    wanted = sorted(r["b"] for r in prefixes.select(bucket(F.col(prefix), buckets).alias("b")).distinct().collect())  # ``buckets`` at most
+    return under_prefixes(spark.read.parquet(folder).where(F.col("bucket").isin(wanted)), prefixes, key, prefix)

@@ -264,3 +264,26 @@ def search_canonical(spark, d):
     own = finals(spark, d)
     alive = own.select(U.match_key("url").alias("key"), (~F.coalesce("status", F.lit("")).startswith("4")).alias("alive"))
     return Q.working(Q.canonical_alias(own), alive)
+
+
+_GOODTOK = r"((regexp_matches(w, '^[0-9]{1,18}$') AND TRY_CAST(w AS BIGINT) > 2050) OR (NOT regexp_matches(w, '^[0-9]{1,18}$') AND len(string_split_regex(w, '[^\p{L}\p{N}]+')) > 1) OR length(w) > 5)"
+
+
+@query(
+    "infer_outcomes",
+    f"""WITH {LOOKS}, {_FINAL}, ti AS (SELECT page_id, {_shown_title} AS title, host, segs FROM s), st AS (SELECT mk, bool_or(coalesce(status, '') NOT LIKE '4%') AS alive FROM pg GROUP BY 1),
+tk AS (SELECT page_id, unnest(list_transform(segs, lambda x: lower(x))) AS w FROM ti), tm AS (SELECT DISTINCT tk.page_id, k.id2 FROM tk JOIN k USING (page_id) JOIN ti b ON b.page_id = k.id2 WHERE list_contains(regexp_extract_all(lower(replace(b.title, '_', ' ')), '[\\p{{L}}\\p{{N}}_]+'), w) AND {_GOODTOK})
+SELECT px.aurl AS url, b.url AS cand, CASE WHEN NOT coalesce(st.alive, false) OR (o2.path IN ('', '/') AND o2.query = '') THEN 'none' WHEN x.title = '' THEN 'nocomp_check' WHEN x.title = y.title THEN 'title' WHEN j >= 0.8 THEN 'content' WHEN tm.page_id IS NOT NULL THEN 'token' ELSE 'none' END AS outcome
+FROM px JOIN pg b ON b.page_id = px.id2 JOIN o o2 ON o2.page_id = px.id2 JOIN ti x ON x.page_id = px.page_id JOIN ti y ON y.page_id = px.id2 LEFT JOIN st ON st.mk = px.bk LEFT JOIN tm ON tm.page_id = px.page_id AND tm.id2 = px.id2""",
+)
+def infer_outcomes(spark, d):
+    """What speaks for an alias that was only inferred; here the next page of the host is taken as each page's."""
+    from mendweave.operators import verify as V2
+
+    own, met = compared(spark, d)
+    titles = table(spark, d, "pages").select("url", H.title("html").alias("title"))
+    pairs = written(met.select("url", F.col("url2").alias("cand"), "jaccard").join(titles, "url").join(titles.select(F.col("url").alias("cand"), F.col("title").alias("cand_title")), "cand"))
+    alive = own.select(U.match_key("url").alias("key"), (~F.coalesce("status", F.lit("")).startswith("4")).alias("alive"))
+    words = X.words("cand_title")
+    token = pairs.where(F.exists(U.segments(F.lower(U.path("url"))), lambda t: F.array_contains(words, t) & U.good_token(t)))
+    return V2.inferred_outcome(pairs, alive, titles.where("title <> ''"), pairs.where("title <> '' AND title = cand_title"), pairs.where("jaccard >= 0.8"), token)

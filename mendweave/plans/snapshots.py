@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from mendweave.operators import snapshots as N
 
-from .common import F, Window, query, table
+from .common import URLS, F, query, table
 
 _STATUS = "CASE event_type WHEN 'view' THEN '200' WHEN 'purchase' THEN '200' WHEN 'click' THEN '301' WHEN 'signup' THEN '302' ELSE '404' END"
 SNAPS = f"sn AS (SELECT event_id, user_id, ts, value, {_STATUS} AS status FROM events)"
@@ -136,3 +136,20 @@ def snap_year_urls(spark, d):
 def snap_median_ts(spark, d):
     us = F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col("ts"))
     return snaps(spark, d).groupBy("user_id").agg(F.round(F.percentile(us / 1e6, 0.5), 3).alias("median"))
+
+
+@query("snap_prefixes", rf"""WITH {URLS}, {SNAPS}, n AS (SELECT page_id, bare || CASE WHEN lower(path) IN ('', '/') THEN '/' ELSE lower(path) END || CASE WHEN query = '' THEN '' WHEN len(pairs) > 0 THEN '?' || array_to_string(list_sort(list_transform(pairs, lambda x: lower(x))), '&') ELSE '?' || lower(query) END AS key, bare || lower(dir) AS section FROM s),
+nn AS (SELECT *, row_number() OVER (ORDER BY page_id) - 1 AS nth FROM n), se AS (SELECT nn.*, sn.status FROM sn JOIN nn ON nn.nth = sn.event_id % (SELECT count(*) FROM pages)),
+px AS (SELECT DISTINCT section AS prefix FROM n WHERE page_id % 50 = 0 UNION SELECT DISTINCT bare FROM s WHERE page_id % 50 = 0)
+SELECT prefix, count(*) AS n, count(DISTINCT key) AS urls, count(*) FILTER (status LIKE '2%') AS good FROM se JOIN px ON starts_with(se.key, px.prefix) GROUP BY 1""")
+def snap_prefixes(spark, d):
+    """Snapshots below the sections and hosts of the targets (ids divisible by 50), found in one scan; an event is a look at a page."""
+    from mendweave.functions import urls as U
+
+    from .redirects import looks
+
+    seen = looks(spark, d).select(N.url_key("url").alias("key"), "status")
+    own = table(spark, d, "pages").where("page_id % 50 = 0")
+    prefixes = own.select(F.concat(U.bare_host("url"), F.lower(U.nondigit_dir(U.path("url")))).alias("prefix")).union(own.select(U.bare_host("url")))
+    found = N.under_prefixes(seen, prefixes)
+    return found.groupBy("prefix").agg(F.count("*").alias("n"), F.countDistinct("key").alias("urls"), F.count_if(F.col("status").startswith("2")).alias("good"))

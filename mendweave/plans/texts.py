@@ -7,9 +7,12 @@ from mendweave.functions import text as X
 from mendweave.functions import urls as U
 from mendweave.operators import similarity as S
 
-from .common import URLS, F, Window, query, table
+from .common import URLS, F, Window, query, table, written
 from .html import TITLE
 
+#: Phrases of known passages that are sent to all executors at most, some 100 bytes each.
+BROADCAST_PHRASES = 500_000
+
 _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _WORDS = r"regexp_extract_all(lower(replace(text, '_', ' ')), '[\p{L}\p{N}_]+')"
 TERMS = f"""tok AS (SELECT doc_id, unnest({_WORDS}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term NOT IN ({_STOP}) GROUP BY 1, 2),
@@ -131,13 +134,19 @@ _PLAIN = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 @query("benchmark_hits", f"WITH {_grams('documents', 'doc_id', 8, _PLAIN)}, {_grams('benchmark', 'item_id', 8, _PLAIN)} SELECT doc_id, item_id, count(*) AS n FROM g_doc_id JOIN g_item_id USING (g) WHERE len(string_split(g, ' ')) = 8 GROUP BY 1, 2")
 def benchmark_hits(spark, d):
-    """Shared eight-word phrases of documents and known passages."""
+    """Shared eight-word phrases of documents and known passages.
+
+    Phrases meet by a hash, and count if they are equal. The passages' phrases are broadcast if they are few.
+    """
 
     def grams(df, key):
         w = df.select(key, F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1).alias("w")).where("size(w) >= 8")
-        return w.select(key, F.explode(X.shingles(F.col("w"), 8)).alias("g"))
+        return w.select(key, F.explode(X.shingles(F.col("w"), 8)).alias("g")).withColumn("h", F.xxhash64("g"))
 
-    return grams(documents(spark, d), "doc_id").join(grams(table(spark, d, "benchmark"), "item_id"), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
+    known = written(grams(table(spark, d, "benchmark"), "item_id").withColumnRenamed("g", "k"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_PHRASES else known
+    met = grams(documents(spark, d), "doc_id").join(known, "h").where("g = k")
+    return met.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
 
 
 _TI = rf"""{URLS}, t AS (SELECT page_id, host, CASE WHEN {TITLE} LIKE '%Wayback Machine%' THEN '' ELSE {TITLE} END AS title FROM s)"""

@@ -20,6 +20,19 @@ def share_path(spark: SparkSession) -> None:
         env["PYTHONPATH"] = f"{ROOT}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else ROOT
 
 
+#: Bytes up to which a table of texts is dealt over all cores, and from which that is worth a shuffle.
+SMALL, TINY = 32 << 20, 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table as it was read, dealt over all cores: often it is one file with one row group, which one task would work on.
+
+    The size is that of its files. A larger one has as many row groups as tasks can use, and is left as it is.
+    """
+    size, sc = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), df.sparkSession.sparkContext
+    return df.repartition(sc.defaultParallelism) if TINY < size <= SMALL and sc.defaultParallelism > 1 else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. One is made on this machine only if the session names none and runs all its
     tasks here, as in tests; on a cluster it would be lost on the others, so that is an error."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mendweave.session import share_path
+from mendweave.session import share_path, spread
 
 #: What a job file holds: groups of dead URLs.
 JOB = T.StructType([T.StructField("netloc_dir", T.StringType()), T.StructField("urls", T.ArrayType(T.StringType()))])
@@ -14,9 +14,14 @@ JOB = T.StructType([T.StructField("netloc_dir", T.StringType()), T.StructField("
 CDX = T.StructType([T.StructField(c, T.StringType()) for c in ("url", "ts", "statuscode", "mimetype")])
 
 
+#: Tables of long texts: what is done with a row costs far more than to move it.
+TEXTS = ("documents", "pages")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     share_path(spark)
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def jobs(spark: SparkSession, file: str) -> DataFrame:
@@ -31,9 +36,8 @@ def cdx(spark: SparkSession, file: str, sep: str = " ") -> DataFrame:
 
 def sheet(spark: SparkSession, file: str) -> DataFrame:
     """A CSV sheet whose first line names the columns; all are strings, an empty cell is null."""
-    head = spark.read.text(file).first()[0].split(",")
-    schema = T.StructType([T.StructField(c.strip(), T.StringType()) for c in head])
-    return spark.read.schema(schema).csv(file, header=True)
+    rows = spark.read.csv(file, header=True)  # the reader splits and unquotes the names; without a schema all are strings
+    return rows.toDF(*(c.strip() for c in rows.columns))
 
 
 def write_results(found: DataFrame, folder: str) -> None:
