@@ -21,7 +21,7 @@ def share_path(spark: SparkSession) -> None:
 
 
 #: Bytes up to which a table of texts is dealt over all cores, and from which that is worth a shuffle.
-SMALL, TINY = 32 << 20, 1 << 20
+SMALL, TINY = 20 << 20, 1 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
