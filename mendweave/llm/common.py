@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from mendweave.session import share_path as share_path
 from mendweave.session import shared_dir as shared_dir
-from mendweave.session import written
+from mendweave.session import spread, written
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -24,7 +24,8 @@ SAMPLE_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    rows = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return spread(rows) if table in ("documents", "pages") else rows
 
 
 #: Written to the shared folder and read again, so that a lost executor costs no earlier step.
