@@ -71,7 +71,7 @@ def perturb(url) -> Column:
 
     Letters and digits are shifted by an amount taken from a hash of the URL, so the form stays.
     """
-    k = F.pmod(F.xxhash64(url), F.lit(7)) + 3
+    k = F.pmod(F.conv(F.left(F.md5(F.col(url).cast("binary")), F.lit(8)), 16, 10).cast("bigint"), F.lit(7)) + 3
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     turned = lambda s: F.concat(F.substr(F.lit(s), (k + 1).cast("int")), F.left(F.lit(s), k.cast("int")))
     leaf = U.filename(U.path(url))

@@ -18,7 +18,15 @@ def robots_allowed(spark, d):
     return V.allowed(own.select("url"), rules)
 
 
-@query("url_perturb")
+_TURN = "substr('{0}', k::INT + 1) || left('{0}', k::INT)"
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+@query(
+    "url_perturb",
+    f"""WITH {URLS}, h AS (SELECT *, ('0x' || left(md5(url), 8))::BIGINT % 7 + 3 AS k FROM s)
+SELECT page_id, url, scheme || '://' || host || regexp_replace(path, '[^/]*/?$', '') || translate(leaf, '{_LOWER}{_UPPER}{_DIGITS}', {_TURN.format(_LOWER)} || {_TURN.format(_UPPER)} || {_TURN.format(_DIGITS)}) AS sibling FROM h""",
+)
 def url_perturb(spark, d):
     return table(spark, d, "pages").select("page_id", "url", V.perturb("url").alias("sibling"))
 
