@@ -7,9 +7,10 @@ from mendweave.functions import urls as U
 from mendweave.operators import graph as G
 from mendweave.operators import infer as I
 from mendweave.operators import programs as P
+from mendweave.operators import vectors as N
 from mendweave.streaming import events as E
 
-from .common import URLS, F, Window, query, table, written
+from .common import URLS, F, query, table, written
 from .html import LINKS, TITLE
 from .patterns import CANDS, ingested
 
@@ -131,17 +132,9 @@ def infer_fanin(spark, d):
 
 @query("vec_cosine", "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0), c AS (SELECT q.vec_id AS query, e.vec_id AS doc, list_cosine_similarity(q.v, e.v) AS c FROM q JOIN e ON q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, doc) AS k FROM c) SELECT query, doc, round(c, 6) AS cosine FROM r WHERE k <= 3")
 def vec_cosine(spark, d):
-    """The three nearest vectors of the queries (ids divisible by 50). All vectors meet the queries of one bucket at a time;
-    each bucket keeps its best three, so little is sorted in the end."""
-    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    unit = e.select("vec_id", "v", F.sqrt(dot("v", "v")).alias("n"))
-    q = unit.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-    buckets = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    met = q.withColumn("part", buckets).join(unit.withColumn("part", F.pmod("vec_id", F.lit(8)).cast("int")), "part").where("query <> vec_id")
-    scored = met.select("query", F.col("vec_id").alias("doc"), (dot("qv", "v") / (F.col("qn") * F.col("n"))).alias("cosine"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("cosine", 9)), "doc"))
-    return scored.withColumn("k", rank).where("k <= 3").select("query", "doc", F.round("cosine", 6).alias("cosine"))
+    """The three nearest vectors of the queries (ids divisible by 50)."""
+    e = table(spark, d, "embeddings")
+    return N.nearest(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 3).select("query", "doc", F.round("cosine", 6).alias("cosine"))
 
 
 def events(spark, d):
