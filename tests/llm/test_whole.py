@@ -207,3 +207,30 @@ def test_word_logs_in_parts(monkeypatch):
     for cells in (1, 30, 1 << 22):
         monkeypatch.setattr(language_mix, "CELLS", cells)
         assert np.allclose(language_mix.word_logs(model, slots, bounds), want, atol=1e-3)
+
+
+def test_simhash_components_of_documents(spark):
+    """The query's fingerprints and components on whole tables, against all pairs."""
+    import xxhash
+
+    from mendweave.llm import simhash
+    from tests.conftest import SMALL
+
+    def plain(text):
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        parts = [b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        hashes = [xxhash.xxh64_intdigest(p, 42) for p in parts]
+        return sum(1 << bit for bit in range(64) if 2 * sum(h >> bit & 1 for h in hashes) > len(hashes))
+
+    docs = {r["doc_id"]: plain(r["text"]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    label = {i: i for i in docs}
+    pairs = [(i, j) for i in docs for j in docs if i < j and (docs[i] ^ docs[j]).bit_count() <= 2]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            low = min(label[i], label[j])
+            changed |= (label[i], label[j]) != (low, low)
+            label[i] = label[j] = low
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op9_simhash(spark, SMALL).collect()}
+    assert got == {i: (f"{docs[i]:016x}", label[i]) for i in docs}
