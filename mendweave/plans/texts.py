@@ -5,6 +5,7 @@ from __future__ import annotations
 from mendweave.functions import html as H
 from mendweave.functions import text as X
 from mendweave.functions import urls as U
+from mendweave.operators import ordered
 from mendweave.operators import similarity as S
 
 from .common import URLS, F, Window, query, table, written
@@ -226,8 +227,8 @@ def cand_match_order(spark, d):
     w = weighted(spark, d)
     best = S.separable(S.cosine(w.where("doc_id % 50 = 0"), w, "doc_id"), threshold=0.0, strict=False)
     kind = F.when(F.col("top2") < 0.5, "content").otherwise("fuzzy")
-    one = Window.orderBy("type", F.desc(F.round("top1", 9)), "query")  # a row a query
-    return best.withColumn("type", kind).select("query", "doc", "type", F.row_number().over(one).cast("bigint").alias("pos"))
+    own = best.select("query", "doc", kind.alias("type"), (-F.round("top1", 9)).alias("less"))
+    return ordered.ranked(own, "type", "less", "query").select("query", "doc", "type", (F.col("rank") + 1).alias("pos"))
 
 
 _LANGS = ("de", "en", "es", "fr")
