@@ -5,9 +5,13 @@ Each function takes a DataFrame, streaming or not: a batch gives the same rows t
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from mendweave.operators import ordered, programs
 
 EVENTS = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
@@ -64,3 +68,55 @@ def keep_table(events: DataFrame, path: str, checkpoint: str):
         newest.write.mode("overwrite").parquet(f"{path}/{number}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def expired(events: DataFrame, ttl: str = "30 days", delay: str = "1 hour") -> DataFrame:
+    """(user_id, ts): when what was fetched for a user ceased to be valid, as no event renewed it for the time ``ttl``.
+
+    In a stream each user's last event is kept as state, and a timer goes off once the watermark passes its end; a batch gives
+    all that end before a later event, and those that end before the table's last event less the delay.
+    """
+    long = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    if not events.isStreaming:
+        end = events.agg((F.max("ts") - F.expr(f"INTERVAL {delay}")).alias("__end"))
+        after = ordered.followed(events.select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], {"next": "ts"})
+        stop = F.col("ts") + F.expr(f"INTERVAL {long} MILLISECONDS")
+        return after.crossJoin(F.broadcast(end)).where((stop < F.col("next")) | (F.col("next").isNull() & (stop < F.col("__end")))).select("user_id", stop.alias("ts"))  # the end is one row
+
+    def step(key, batches, state):
+        last, out = (state.get[0] if state.exists else None), []
+        if state.hasTimedOut:
+            out.append(last + long)
+            state.remove()
+        else:
+            for now in sorted(int(t.value // 1_000_000) for b in batches for t in b["ts"]):
+                if last is not None and last + long < now:
+                    out.append(last + long)
+                last = now if last is None else max(last, now)
+            if last + long > state.getCurrentWatermarkMs():
+                state.update((last,))
+                state.setTimeoutTimestamp(last + long)
+            else:
+                out.append(last + long)
+                if state.exists:
+                    state.remove()
+        yield pd.DataFrame({"user_id": [key[0]] * len(out), "ts": pd.to_datetime(out, unit="ms")})
+
+    own = events.withWatermark("ts", delay).select("user_id", "ts")
+    return own.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, ts timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def keep_aliases(rows: DataFrame, path: str, checkpoint: str):
+    """Aliases inferred as examples and targets (cluster, url, title, alias) come in: each micro-batch advances the state of the one
+    before it, so that only the clusters that it touches are inferred again.
+
+    States lie in folders named by the batch, so a batch that runs again after a loss writes the same state anew.
+    """
+    spark = rows.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> None:
+        state = programs.load(spark, f"{path}/{number - 1}") if number else programs.started(spark)
+        after = programs.advance(state, batch.where("alias IS NOT NULL"), batch.where("alias IS NULL").drop("alias"))
+        programs.save(after, f"{path}/{number}")
+
+    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

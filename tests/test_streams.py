@@ -47,3 +47,32 @@ def test_table_is_kept(spark, folder, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "t" / "0")).select("user_id", "event_id").collect()))
     want = sorted(map(tuple, E.latest(spark.read.schema(E.EVENTS).parquet(folder)).select("user_id", "event_id").collect()))
     assert got == want
+
+
+def test_expiry(spark, tmp_path):
+    """Timers and later events both end what is not renewed; files come one by one, each with later events."""
+    base = 1_700_000_000
+    days = [(1, 0), (1, 2), (1, 9), (2, 1), (2, 30), (3, 3), (3, 5), (3, 6), (1, 31), (4, 40), (3, 41), (5, 60), (5, 61), (4, 75)]
+    days.sort(key=lambda x: x[1])
+    for k in range(0, len(days), 3):
+        rows = [(i, base + d * 86400, u, "view", 1.0, "{}") for i, (u, d) in enumerate(days[k : k + 3], k)]
+        spark.createDataFrame(rows, "event_id bigint, s bigint, user_id bigint, event_type string, value double, props string").select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seconds = lambda rows: sorted((u, (int(t.timestamp()) - base) / 86400) for u, t in rows)
+    batch = seconds(E.expired(spark.read.schema(E.EVENTS).parquet(str(tmp_path / "in")), "5 days").collect())
+    assert batch == [(1, 7.0), (1, 14.0), (1, 36.0), (2, 6.0), (2, 35.0), (3, 11.0), (3, 46.0), (4, 45.0), (5, 66.0)]
+    got = seconds(drain(E.expired(E.source(spark, str(tmp_path / "in")), "5 days"), "append", "out_expired"))
+    assert set(got) <= set(batch) and {x for x in batch if x[1] < 60} <= set(got) and len(got) == len(set(got))
+
+
+def test_aliases_are_kept(spark, tmp_path):
+    """A stream of examples and targets ends with the aliases that a batch gives."""
+    from mendweave.operators import programs as P
+
+    schema = "cluster string, url string, title string, alias string"
+    parts = [[("c", f"http://o.com/{k}", f"Title {k}", f"http://n.com/t/{k}" if k % 3 else None) for k in range(n, n + 4)] for n in (0, 4, 8)]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    E.keep_aliases(stream, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(300)
+    got = {(r["url"], r["inferred"]) for r in P.load(spark, str(tmp_path / "t" / "2")).inferred.collect()}
+    assert got == {(f"http://o.com/{k}", f"http://n.com/t/{k}") for k in range(0, 12, 3)}
