@@ -354,3 +354,17 @@ def resolve(base, link) -> Column:
         .when(l.startswith("#"), F.concat(F.regexp_replace(b, r"#.*$", ""), l))
         .otherwise(relative)
     )
+
+
+def plain_scheme(url) -> Column:
+    """The URL with ``http`` for ``https``, and with it where it has none."""
+    u = _c(url)
+    return F.when(u.rlike("^https?://"), F.regexp_replace(u, "^https://", "http://")).otherwise(F.concat(F.lit("http://"), F.regexp_replace(u, "^//", "")))
+
+
+def archive_join(base, link) -> Column:
+    """A link of an archived page, as an archive URL of the same time; one that leads out of the archive's own pages stays as it is."""
+    b, l = _c(base), F.trim(_c(link))
+    own = F.regexp_extract(l, r"^(?:https?://web\.archive\.org)?(/web/[0-9]+[a-z_]*/.*)$", 1)
+    joined = archive_url(resolve(strip_archive(b), l), archive_ts(b))
+    return F.when(own != "", F.concat(F.lit("http://web.archive.org"), own)).when(b.rlike(ARCHIVE), joined).otherwise(resolve(b, l))

@@ -59,8 +59,13 @@ def real_hops(hops) -> Column:
     return F.filter(hops, lambda u, i: (i == 0) | (bare(u) != bare(F.get(hops, i - 1))))
 
 
-def allowed(urls: DataFrame, robots: DataFrame, url: str = "url") -> DataFrame:
-    """With allowed: no rule (host, disallow) of the URL's host is the beginning of its path."""
+def allowed(urls: DataFrame, robots: DataFrame, url: str = "url", answers: DataFrame | None = None) -> DataFrame:
+    """With allowed: no rule (host, disallow) of the URL's host is the beginning of its path.
+
+    Given the answers (host, status) to the hosts' robots files, rules of those that failed, with 400 or more, do not count.
+    """
+    if answers is not None:
+        robots = robots.join(answers.where(F.col("status").cast("int") >= 400).select("host").distinct(), "host", "left_anti")
     own = urls.withColumn("__h", U.host(url)).withColumn("__p", U.path(url))
     hit = own.join(robots, (F.col("__h") == F.col("host")) & F.startswith("__p", F.col("disallow")) & (F.col("disallow") != ""), "left_semi").select(url).distinct().withColumn("__no", F.lit(True))
     return urls.join(hit, url, "left").withColumn("allowed", F.col("__no").isNull()).drop("__no")

@@ -56,13 +56,20 @@ def groups(indexed: DataFrame, id_col: str, least: int = 2) -> DataFrame:
     return found.where(F.col("n") >= least).groupBy("n", "first", "last", "x").agg(F.min("pattern").alias("pattern")).select("pattern", "n", "first", "last")
 
 
-def match(indexed: DataFrame, queries: DataFrame, id_col: str, least: int = 2) -> DataFrame:
-    """(query, pattern, n): the patterns of the queries that so many other URLs share."""
-    q = queries.select(F.col(id_col).alias("query"), "pattern")
-    met = q.join(indexed.select(F.col(id_col).alias("other"), "pattern"), "pattern").where("query <> other")
+def match(indexed: DataFrame, queries: DataFrame, id_col: str, least: int = 2, ext: str | None = None) -> DataFrame:
+    """(query, pattern, n): the patterns of the queries that so many other URLs share; given the column ``ext``, those with the same
+    extension."""
+    same = ["pattern"] if ext is None else ["pattern", ext]
+    q = queries.select(F.col(id_col).alias("query"), *same)
+    met = q.join(indexed.select(F.col(id_col).alias("other"), *same), same).where("query <> other")
     return met.groupBy("query", "pattern").agg(F.countDistinct("other").alias("n")).where(F.col("n") >= least)
 
 
+def popped(indexed: DataFrame, matches: DataFrame) -> DataFrame:
+    """The index without the patterns that were matched."""
+    return indexed.join(matches.select("pattern").distinct(), "pattern", "left_anti")
+
+
 def value_counts(urls: DataFrame, url: str = "url") -> DataFrame:
     """(section, value, n): query values within a section of a site."""
     own = urls.select(U.netloc_dir(url).alias("section"), F.explode(U.query_values(U.query(url))).alias("value"))

@@ -13,9 +13,9 @@ from mendweave.operators import liveness as V
 from mendweave.operators import redirects as R
 from mendweave.operators import search as Q
 
-from .common import KEY, PAIRS, URLS, F, query, table, written
+from .common import PAIRS, URLS, F, Window, query, table, written
 from .finder import _HITS, searched
-from .html import _DECODE, _NOSCRIPT, _SQUEEZE, TEXT, TITLE, _shown_title
+from .html import _DECODE, _NOSCRIPT, _SQUEEZE, LINKS, TEXT, TITLE, _shown_title
 from .redirects import LOOKS, looks
 from .urls import next_on_host
 
@@ -287,3 +287,44 @@ def infer_outcomes(spark, d):
     words = X.words("cand_title")
     token = pairs.where(F.exists(U.segments(F.lower(U.path("url"))), lambda t: F.array_contains(words, t) & U.good_token(t)))
     return V2.inferred_outcome(pairs, alive, titles.where("title <> ''"), pairs.where("title <> '' AND title = cand_title"), pairs.where("jaccard >= 0.8"), token)
+
+
+# --- robots, samples and archive links --------------------------------------------------------------------------------------
+
+
+@query(
+    "robots_answered",
+    f"""WITH {LOOKS}, ro AS (SELECT DISTINCT host, '/' || segs[1] || '/' AS disallow FROM s WHERE query LIKE 'utm%' AND len(segs) > 0),
+an AS (SELECT host, arg_min(status, (ts, event_id)) AS status FROM vi JOIN o USING (url) GROUP BY 1), ok AS (SELECT ro.* FROM ro LEFT JOIN an USING (host) WHERE coalesce(status, '200') NOT LIKE '4%')
+SELECT url, NOT EXISTS (SELECT 1 FROM ok WHERE ok.host = s.host AND starts_with(s.path, ok.disallow)) AS allowed FROM s""",
+)
+def robots_answered(spark, d):
+    """Which pages may be fetched where hosts forbid the folders that feeds link to; the first look at a host tells whether its
+    robots file was there."""
+    urls = table(spark, d, "pages").select("url")
+    rules = urls.where(U.query("url").startswith("utm")).select(U.host("url").alias("host"), F.concat(F.lit("/"), F.get(U.segments(U.path("url")), 0), F.lit("/")).alias("disallow")).where("disallow IS NOT NULL").distinct()
+    answers = looks(spark, d).groupBy(U.host("url").alias("host")).agg(F.min_by("status", F.struct("ts", "event_id")).alias("status"))
+    return V.allowed(urls, rules, answers=answers)
+
+
+@query(
+    "cells_sampled",
+    f"""WITH {LOOKS}, c AS (SELECT DISTINCT o.host, strftime(ts, '%Y-%m') AS month, vi.url FROM vi JOIN o USING (url) WHERE status LIKE '2%'), r AS (SELECT *, count(*) OVER (PARTITION BY host, month) AS n, row_number() OVER (PARTITION BY host, month ORDER BY md5(url)) AS k FROM c)
+SELECT host, month, url, n FROM r WHERE n >= 3 AND k <= 2""",
+)
+def cells_sampled(spark, d):
+    """Two URLs of each host and month in which at least three worked, the same each time."""
+    own = looks(spark, d).where("status LIKE '2%'").select(U.host("url").alias("host"), F.date_format("ts", "yyyy-MM").alias("month"), "url").distinct()
+    cells = own.groupBy("host", "month").agg(F.count("*").alias("n")).where("n >= 3")
+    # a limit on a rank is applied before the shuffle too, so few rows of a cell meet
+    k = F.row_number().over(Window.partitionBy("host", "month").orderBy(F.md5(F.col("url").cast("binary"))))
+    first = own.withColumn("k", k).where("k <= 2").drop("k")
+    return first.join(cells, ["host", "month"]).select("host", "month", "url", "n")
+
+
+@query("url_archive_join", f"WITH {LINKS} SELECT DISTINCT page_id, 'http://web.archive.org/web/20200101000000/' || regexp_extract(url, '^[^:/?#]+://[^/?#]*', 0) || href AS joined, regexp_replace(url, '^https://', 'http://') AS plain FROM l JOIN pages USING (page_id)")
+def url_archive_join(spark, d):
+    """Links of pages as an archive keeps them, as archive URLs of the same time; and the pages' URLs with the plain scheme."""
+    own = table(spark, d, "pages").select("page_id", "url", F.explode(H.links("html")).alias("l"))
+    kept = U.archive_url("url", F.lit("20200101000000"))
+    return own.select("page_id", U.archive_join(kept, "l.href").alias("joined"), U.plain_scheme("url").alias("plain")).distinct()

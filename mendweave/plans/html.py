@@ -6,7 +6,7 @@ from mendweave.functions import html as H
 from mendweave.functions import urls as U
 from mendweave.operators import prep
 
-from .common import TITLES, URLS, F, literal, query, table
+from .common import URLS, F, literal, query, table
 
 _DECODE = "replace(replace(replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 _SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"

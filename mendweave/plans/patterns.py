@@ -40,6 +40,28 @@ def pattern_match(spark, d):
     return P.match(own, own.where("page_id % 50 = 0"), "page_id")
 
 
+_PATEXT = "pe AS (SELECT pat.*, s.ext FROM pat JOIN s USING (page_id)), mx AS (SELECT a.page_id AS query, a.pattern, count(DISTINCT b.page_id) AS n FROM pe a JOIN pe b ON a.pattern = b.pattern AND a.ext = b.ext AND a.page_id <> b.page_id WHERE a.page_id % 50 = 0 GROUP BY 1, 2 HAVING count(DISTINCT b.page_id) >= 2)"
+
+
+def _with_ext(spark, d):
+    from mendweave.functions import urls as U
+
+    own = P.index(pages(spark, d), "page_id").join(pages(spark, d).select("page_id", U.extension(U.path("url")).alias("ext")), "page_id")
+    return own, P.match(own, own.where("page_id % 50 = 0"), "page_id", ext="ext")
+
+
+@query("pattern_match_ext", f"WITH {_PATS}, {_PATEXT} SELECT query, pattern, n FROM mx")
+def pattern_match_ext(spark, d):
+    """The same among pages with the query's extension."""
+    return _with_ext(spark, d)[1]
+
+
+@query("pattern_popped", f"WITH {_PATS}, {_PATEXT} SELECT count(*) AS n, count(DISTINCT pattern) AS patterns FROM pat WHERE pattern NOT IN (SELECT pattern FROM mx)")
+def pattern_popped(spark, d):
+    """What is left of the index once the matched patterns are taken out."""
+    return P.popped(*_with_ext(spark, d)).agg(F.count("*").alias("n"), F.countDistinct("pattern").alias("patterns"))
+
+
 @query("query_value_counts", rf"WITH {URLS}, v AS (SELECT regexp_replace(host, '^[^.]*www[^.]*\.', '') || '|' || lower(dir) AS section, unnest(list_transform(pairs, lambda x: regexp_extract(x, '^[^=]+=(.*)$', 1))) AS value FROM s) SELECT section, value, count(*) AS n FROM v GROUP BY 1, 2")
 def query_value_counts(spark, d):
     return P.value_counts(pages(spark, d))

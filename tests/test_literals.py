@@ -1,6 +1,5 @@
 """Golden rows of functions whose queries run on tables."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from mendweave.functions import text as X
@@ -88,3 +87,18 @@ def test_steps_along_links(spark):
     assert {(r["node"], r["depth"]) for r in G.reach(edges, starts, 2).collect()} == {("a", 0), ("b", 1), ("c", 2), ("d", 2)}
     best = G.best_first(edges, starts, F.ascii("dst"), depth=3, trim=1)
     assert [tuple(r["path"]) for r in best.orderBy("depth").collect()] == [("a",), ("a", "b"), ("a", "b", "c")]
+
+
+def test_archive_links(spark):
+    at = "http://web.archive.org/web/2010id_/http://a.com/d/e.html"
+    want = [(at, "f.html", "http://web.archive.org/web/2010/http://a.com/d/f.html"), (at, "/web/2011/http://b.com/", "http://web.archive.org/web/2011/http://b.com/"), (at, "http://web.archive.org/web/2012/http://c.com/x", "http://web.archive.org/web/2012/http://c.com/x"), ("http://a.com/d/", "x", "http://a.com/d/x")]
+    assert rows(spark, want, "base string, link string, r string", "base", "link", U.archive_join("base", "link")) == set(want)
+    plain = [("https://a.com/x", "http://a.com/x"), ("//a.com", "http://a.com"), ("a.com/x", "http://a.com/x"), ("http://a.com", "http://a.com")]
+    assert rows(spark, plain, "u string, r string", "u", U.plain_scheme("u")) == set(plain)
+
+
+def test_robots_that_failed(spark):
+    rules = spark.createDataFrame([("a.com", "/p/"), ("b.com", "/p/")], "host string, disallow string")
+    urls = spark.createDataFrame([("http://a.com/p/1",), ("http://b.com/p/1",), ("http://c.com/p/1",)], "url string")
+    answers = spark.createDataFrame([("a.com", "404"), ("b.com", "200")], "host string, status string")
+    assert {tuple(r) for r in V.allowed(urls, rules, answers=answers).collect()} == {("http://a.com/p/1", True), ("http://b.com/p/1", False), ("http://c.com/p/1", True)}

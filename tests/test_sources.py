@@ -5,7 +5,6 @@ import os
 import subprocess
 import sys
 
-import pytest
 
 from mendweave.operators import ledger as L
 from mendweave.sources import tables as S
