@@ -27,8 +27,8 @@ def idf(terms: DataFrame, n_docs: int) -> DataFrame:
 def weights(terms: DataFrame, idfs: DataFrame, id_col: str) -> DataFrame:
     """(id, term, w): weights scaled to a length of 1 for each document."""
     raw = terms.join(idfs.select("term", "idf"), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    length = raw.groupBy(F.col(id_col).alias("__id")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__length"))
-    return raw.join(length, F.col(id_col) == F.col("__id")).select(id_col, "term", "idf", (F.col("w") / F.col("__length")).alias("w"))
+    length = raw.groupBy(F.col(id_col).alias("__of")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("__length"))
+    return raw.join(length, F.col(id_col) == F.col("__of")).select(id_col, "term", "idf", (F.col("w") / F.col("__length")).alias("w"))
 
 
 def working_idf(own: DataFrame, corpus_idf: DataFrame, n_corpus: int) -> DataFrame:
