@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PLANS: tuple[str, ...] = ("urls", "html", "texts", "snapshots", "neighbors", "patterns", "ledgers", "graphs", "relational", "finder", "aliases", "links", "redirects", "evidence", "crawl")
+PLANS: tuple[str, ...] = ("urls", "html", "texts", "snapshots", "neighbors", "patterns", "ledgers", "graphs", "relational", "finder", "aliases", "links", "redirects", "evidence", "crawl", "runs")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}

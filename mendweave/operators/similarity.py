@@ -48,6 +48,14 @@ def cosine(queries: DataFrame, docs: DataFrame, id_col: str) -> DataFrame:
     return q.join(d, "term").where("query <> doc").groupBy("query", "doc").agg(F.sum(F.col("qw") * F.col("dw")).alias("cosine"))
 
 
+def pair_cosine(pairs: DataFrame, weighted: DataFrame, id_col: str) -> DataFrame:
+    """(query, doc, cosine) of stated pairs (query, doc); those that share no term have no row."""
+    q = weighted.select(F.col(id_col).alias("query"), "term", F.col("w").alias("qw"))
+    d = weighted.select(F.col(id_col).alias("doc"), "term", F.col("w").alias("dw"))
+    met = pairs.select("query", "doc").distinct().join(q, "query").join(d, ["doc", "term"])
+    return met.groupBy("query", "doc").agg(F.sum(F.col("qw") * F.col("dw")).alias("cosine"))
+
+
 def top_terms(weighted: DataFrame, id_col: str, n: int = 7) -> DataFrame:
     """The n heaviest terms of each document, as one string."""
     rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(F.round("w", 9)), "term"))
@@ -140,6 +148,13 @@ def unique_titles(pages: DataFrame, id_col: str, site: str, title: str, key: str
     return met.select(id_col, ((F.col("__t") != "") & (F.col("n") - F.col("nk") - F.col("nx") + F.col("nb") == 0)).alias("unique"))
 
 
+def title_weights(pages: DataFrame, id_col: str, title: str) -> DataFrame:
+    """(id, term, w) of the titles that are unique on their site; ``pages`` also holds ``unique``."""
+    fair = pages.where(F.col("unique")).select(id_col, F.explode(X.words(title)).alias("term"))
+    terms = fair.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    return weights(terms, idf(terms, pages.count()), id_col).select(id_col, "term", "w")
+
+
 def title_similar(targets: DataFrame, pages: DataFrame, id_col: str, site: str, title: str) -> DataFrame:
     """(query, doc, cosine) of titles within a site where the words of one hold all of the other's.
 
@@ -147,8 +162,7 @@ def title_similar(targets: DataFrame, pages: DataFrame, id_col: str, site: str,
     that are not unique are compared with none.
     """
     fair = pages.where(F.col("unique")).select(F.col(id_col).alias("__id"), F.col(site).alias("__site"), X.words(title).alias("__w"))
-    terms = fair.select("__id", F.explode("__w").alias("term")).groupBy("__id", "term").agg(F.count("*").alias("tf"))
-    w = weights(terms, idf(terms, pages.count()), "__id").select("__id", "term", "w")
+    w = title_weights(pages, id_col, title).withColumnRenamed(id_col, "__id")
     each = w.join(fair.select("__id", "__site", F.size(F.array_distinct("__w")).alias("__n")), "__id")
     q = each.join(targets.select(F.col(id_col).alias("__id")), "__id", "left_semi").select(F.col("__id").alias("query"), "__site", "term", F.col("w").alias("a"), F.col("__n").alias("na"))
     d = each.select(F.col("__id").alias("doc"), "__site", "term", F.col("w").alias("b"), F.col("__n").alias("nb"))
