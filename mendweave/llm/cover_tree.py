@@ -1,15 +1,16 @@
 """Near-duplicate embeddings by dual traversal of cover trees: all pairs at or above a cosine, none below.
 
-Unit vectors link if their distance is ``sqrt(2 - 2 * cosine)`` at most. Equal vectors are merged first. The upper level
-of the tree is a net of pivots: each vector goes to its nearest, and a pivot's vectors form blocks of bounded size,
-each with a tree of nested levels whose radii halve. Pairs of pivots, of blocks and then of nodes are dropped when the
-distance of their centres exceeds both covering radii and the threshold, and taken whole when even the radii
-added to it stay within the threshold, so dense groups are counted without listing their pairs. A task compares two blocks and
-gives the number of links of each vector and a spanning forest of them, not the links.
-
-The pivots come from a bounded sample; they decide how well pairs are pruned, never which links are found. Random vectors of
-many dimensions are all about as far from each other, and no bound on distances prunes those: their blocks are then
-compared by matrix products.
+Unit vectors link if their distance is ``sqrt(2 - 2 * cosine)`` at most. Equal vectors are merged first. The upper levels
+of the tree are tables: each vector goes to its nearest pivot, and a cell of more vectors than a block holds is split by pivots of
+its own, chosen until half its radius covers a sample of it, level after level. Pairs of cells go down the same levels, from pairs
+of parents. The last cells' vectors form blocks of bounded size, each with a tree of nested levels whose radii halve. Pairs of cells,
+of blocks and then of nodes are dropped when the distance of their centres exceeds both covering radii and the threshold, and taken
+whole when even the radii added to it stay within the threshold, so dense groups are counted without listing their pairs. A task
+compares two blocks and gives the number of links of each vector and a spanning forest of them, not the links.
+
+The pivots come from samples of a bounded size, one a cell; they decide how well pairs are pruned, never which links are found.
+Random vectors of many dimensions are all about as far from each other, and no bound on distances prunes those: a cell whose radius
+hardly shrank is split no further, its blocks are random parts of it, and they are compared by matrix products.
 
 Defined results: null, empty and zero vectors, vectors with null or non-finite components and rows with a null id link
 with nothing. Vectors link only with those of their own length. Repeated rows count as vectors of their own. Other
@@ -32,8 +33,14 @@ from .components import components
 COSINE = 0.9
 #: Vectors of a block, about.
 BLOCK = 4096
-#: Pivots at most, and vectors that they are chosen from.
+#: Pivots of the first level at most, and vectors that they are chosen from.
 PIVOTS, SAMPLE = 256, 4096
+#: Parts of a cell that is split, vectors that their pivots are chosen from, about, and vectors of a task that deals a cell's vectors out.
+FAN, CELL_SAMPLE, DEALT = 16, 1024, 1 << 14
+#: A cell is split again if its radius is at most this part of its parent's; levels below the first at most.
+SHRUNK, LEVELS = 0.9, 12
+#: Rows of a table that is broadcast.
+BROADCAST_ROWS = 200_000
 #: Allowance for rounding in bounds: a distance found as the root of 2 - 2 * product is off by up to 3e-8 for near-equal points.
 #: Links themselves, and all that lies within the allowance, are decided by the product in double precision.
 SLACK = 1e-6
@@ -46,12 +53,12 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1))[:, None]
 
 
-def net(points: np.ndarray, most: int) -> np.ndarray:
-    """Indices of at most ``most`` points, each the farthest from those before it."""
+def net(points: np.ndarray, most: int, radius: float = 0.0) -> np.ndarray:
+    """Indices of at most ``most`` points, each the farthest from those before it, until all lie within ``radius`` of one."""
     chosen, far = [0], np.full(len(points), np.inf)
     while len(chosen) < most:
         far = np.minimum(far, 2 - 2 * points @ points[chosen[-1]])
-        if far.max() <= 1e-12:
+        if far.max() <= max(1e-12, radius * radius):
             break
         chosen.append(int(far.argmax()))
     return np.array(chosen)
@@ -250,51 +257,103 @@ def _assign(pivots):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = {k: [] for k in ("ids", "ns", "points", "nodes", "centre", "radius")}
-        for members in batch.column("members"):
-            rows = members.values
-            order = np.argsort(np.asarray(rows.field("rep")), kind="stable")
-            x = _vectors(rows.field("v"))[order]
-            u = unit(x)
-            tree = Tree(u, 0.05)
-            place = order[tree.order]
-            out["ids"].append(np.asarray(rows.field("rep"))[place])
-            out["ns"].append(np.asarray(rows.field("n"))[place])
-            out["points"].append(x[tree.order].tobytes())
-            out["nodes"].append(tree.table().tobytes())
-            mean = u.mean(0)
-            out["centre"].append(mean)
-            out["radius"].append(float(np.sqrt(((u - mean) ** 2).sum(1).max())))
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("block"), batch.column("cell"), pa.array(out["ids"], longs), pa.array(out["ns"], longs), pa.array(out["points"], pa.binary()), pa.array(out["nodes"], pa.binary()), pa.array(out["centre"], pa.list_(pa.float64())), pa.array(out["radius"], pa.float64())],
-            ["block", "cell", "ids", "ns", "points", "nodes", "centre", "radius"],
-        )
+def _chosen(rows: pa.Table) -> pa.Table:
+    """The pivots of one cell, from its sample."""
+    rows = rows.sort_by("rep")
+    x = unit(_vectors(rows["v"].combine_chunks()))
+    points = x[net(x, FAN, rows["radius"][0].as_py() / 2)]
+    return pa.table([pa.array([rows["cell"][0].as_py()] * len(points), pa.int64()), pa.array(range(len(points)), pa.int64()), pa.array(list(points), pa.list_(pa.float64()))], ["cell", "sub", "centre"])
+
+
+def _dealt(rows: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Part of a cell's vectors in the cells of the next level."""
+    if not len(rows):
+        return pa.table([rows[c] for c in ("rep", "n", "v", "cell", "far")], ["rep", "n", "v", "cell", "far"])
+    cell, far = np.asarray(rows["cell"]) * FAN, np.asarray(rows["far"]).copy()
+    if len(pivots):
+        pivots = pivots.sort_by("sub")
+        x, points = unit(_vectors(rows["v"].combine_chunks())), _vectors(pivots["centre"].combine_chunks())
+        for lo in range(0, len(x), TILE):
+            dot = x[lo : lo + TILE] @ points.T
+            best = dot.argmax(1)
+            cell[lo : lo + TILE] += best
+            far[lo : lo + TILE] = np.sqrt(np.maximum(0, 2 - 2 * dot[np.arange(len(dot)), best]))
+    return pa.table([rows["rep"], rows["n"], rows["v"], pa.array(cell), pa.array(far)], ["rep", "n", "v", "cell", "far"])
+
+
+def _block(rows: pa.Table) -> pa.Table:
+    """One block: its vectors in the order of its tree, and the tree."""
+    rows = rows.sort_by("rep")
+    x = _vectors(rows["v"].combine_chunks())
+    u = unit(x)
+    tree = Tree(u, 0.05)
+    mean = u.mean(0)
+    longs = pa.list_(pa.int64())
+    ids, ns = (pa.array([np.asarray(rows[c])[tree.order]], longs) for c in ("rep", "n"))
+    radius = float(np.sqrt(((u - mean) ** 2).sum(1).max()))
+    payload = [ids, ns, pa.array([x[tree.order].tobytes()], pa.binary()), pa.array([tree.table().tobytes()], pa.binary()), pa.array([mean], pa.list_(pa.float64())), pa.array([radius])]
+    return pa.table([rows["block"].slice(0, 1), rows["cell"].slice(0, 1), *payload], ["block", "cell", "ids", "ns", "points", "nodes", "centre", "radius"])
 
 
 def _compare(cosine: float, kind: type):
-    def side(batch: pa.RecordBatch, k: int, s: str):
-        ids, ns = (np.asarray(batch.column(f"{s}{c}")[k].values) for c in ("ids", "ns"))
-        x = unit(np.frombuffer(batch.column(f"{s}points")[k].as_py(), kind).reshape(len(ids), -1))
-        return ids, ns, x, Tree.load(np.frombuffer(batch.column(f"{s}nodes")[k].as_py(), np.float64).reshape(-1, 6))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                ids_a, n_a, x, a = side(batch, k, "a_")
-                ids_b, n_b, y, b = side(batch, k, "b_")
-                same = batch.column("a")[k].as_py() == batch.column("b")[k].as_py()
-                count_a, count_b, label = linked(x, a, n_a, y, b, n_b, same, cosine)
-                ids, counts = (ids_a, count_a) if same else (np.concatenate((ids_a, ids_b)), np.concatenate((count_a, count_b)))
-                keep = np.flatnonzero(counts > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(counts[keep]), pa.array(ids[label[keep]])], ["rep", "links", "with"])
+    def side(pair: pa.Table, s: str):
+        ids, ns = (np.asarray(pair[f"{s}{c}"].combine_chunks().flatten()) for c in ("ids", "ns"))
+        x = unit(np.frombuffer(pair[f"{s}points"][0].as_py(), kind).reshape(len(ids), -1))
+        return ids, ns, x, Tree.load(np.frombuffer(pair[f"{s}nodes"][0].as_py(), np.float64).reshape(-1, 6))
+
+    def run(pair: pa.Table) -> pa.Table:
+        ids_a, n_a, x, a = side(pair, "a_")
+        ids_b, n_b, y, b = side(pair, "b_")
+        same = pair["a"][0].as_py() == pair["b"][0].as_py()
+        count_a, count_b, label = linked(x, a, n_a, y, b, n_b, same, cosine)
+        ids, counts = (ids_a, count_a) if same else (np.concatenate((ids_a, ids_b)), np.concatenate((count_a, count_b)))
+        keep = np.flatnonzero(counts > 0)
+        return pa.table([pa.array(ids[keep]), pa.array(counts[keep]), pa.array(ids[label[keep]])], ["rep", "links", "with"])
 
     return run
 
 
-def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _apart(a: str, b: str):
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x))
+
+
+def _finer(placed: DataFrame, cells: DataFrame, pairs: DataFrame, block: int, limit: float, kind: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """The next level: vectors, cells and near pairs of cells; None if no cell is to be split.
+
+    ``placed``: (rep, n, v, cell, far); ``cells``: (cell, centre, radius, n, before), before the parent's radius; ``pairs``: (cell, other).
+    """
+    wanted = cells.where((F.col("n") > block) & (F.col("radius") > limit / 4) & (F.col("radius") <= SHRUNK * F.col("before")))
+    wanted = saved(wanted.select("cell", "n", "radius", F.ceil(F.col("n") / DEALT).alias("parts")))
+    if wanted.isEmpty():
+        return None
+    split = _small(wanted)
+    own = placed.join(split.withColumnRenamed("n", "size"), "cell")
+    picked = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30)) < F.lit(CELL_SAMPLE * float(1 << 30)) / F.col("size")  # a bounded part of each cell
+    pivots = saved(own.where(picked).select("cell", "rep", "v", "radius").groupBy("cell").applyInArrow(_chosen, "cell bigint, sub bigint, centre array<double>"))
+    dealt = own.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(2)), "parts")).select("rep", "n", "v", "cell", "far", "part")
+    copies = pivots.join(wanted.select("cell", "parts"), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("cell", "sub", "centre", "part")
+    moved = dealt.groupBy("cell", "part").cogroup(copies.groupBy("cell", "part")).applyInArrow(_dealt, f"rep bigint, n bigint, v {kind}, cell bigint, far double")
+    rest = placed.join(split, "cell", "left_anti").select("rep", "n", "v", (F.col("cell") * FAN).alias("cell"), "far")
+    down = saved(moved.unionByName(rest))
+    centres = pivots.select((F.col("cell") * FAN + F.col("sub")).alias("cell"), F.col("cell").alias("parent"), "centre")
+    stats = down.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    new = centres.join(cells.select(F.col("cell").alias("parent"), F.col("radius").alias("before")), "parent").join(stats, "cell")
+    kept = cells.join(pivots.select("cell").distinct(), "cell", "left_anti")
+    # a cell that is not split now is not split later: nothing is at most a part of a radius of 0
+    kept = kept.select((F.col("cell") * FAN).alias("cell"), F.col("cell").alias("parent"), "centre", F.lit(0.0).alias("before"), "n", "radius")
+    below = saved(new.select("cell", "parent", "centre", "before", "n", "radius").unionByName(kept))
+    a = below.select(F.col("parent").alias("cell"), F.col("cell").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"))
+    b = below.select(F.col("parent").alias("other"), F.col("cell").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"))
+    met = pairs.join(a, "cell").join(b, "other").where((F.col("cell") != F.col("other")) | (F.col("a") <= F.col("b")))
+    near = met.where(_apart("ca", "cb") <= F.col("ra") + F.col("rb") + limit + SLACK)
+    return down, below.drop("parent"), saved(near.select(F.col("a").alias("cell"), F.col("b").alias("other")))
+
+
+def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, block: int = BLOCK, most: int = PIVOTS) -> DataFrame:
     """id, n_links and component_id of each row of ``vectors``."""
     spark = vectors.sparkSession
     share_path(spark)
@@ -312,40 +371,37 @@ def link(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     for dim, n in sorted(dims.items()):
         sample = classes.where(F.size("v") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toArrow()
         points = unit(_vectors(sample["v"].combine_chunks()))
-        points = points[net(points, max(1, min(PIVOTS, n // (2 * block))))]
+        points = points[net(points, max(1, min(most, n // (2 * block))))]
         centres[dim] = (first, points)
         first += len(points)
     pivots = spark.sparkContext.broadcast(centres)
     placed = saved(classes.mapInArrow(_assign(pivots), f"rep bigint, n bigint, v {kind}, cell bigint, far double"))
-    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # a row a pivot
-    parts = spark.createDataFrame([(c, -(-r["n"] // block)) for c, r in cells.items()], "cell bigint, parts bigint")
-    keyed = placed.join(F.broadcast(parts), "cell").withColumn("block", F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("rep"), F.col("parts")))
-    grouped = keyed.groupBy("block", "cell").agg(F.collect_list(F.struct("rep", "n", "v")).alias("members"))  # a block has a bounded size
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(size)
-    spark.conf.set(size, "2")  # rows that hold whole blocks; both steps run before it is set back
-    try:
-        blocks = saved(grouped.mapInArrow(_blocks, "block bigint, cell bigint, ids array<bigint>, ns array<bigint>, points binary, nodes binary, centre array<double>, radius double"))
-        limit = math.sqrt(2 - 2 * cosine)
-        near = []
-        for first, points in centres.values():
-            gap = np.sqrt(np.maximum(0, 2 - 2 * points @ points.T))
-            for i in range(len(points)):
-                for j in range(i, len(points)):
-                    if first + i in cells and first + j in cells and gap[i, j] <= cells[first + i]["far"] + cells[first + j]["far"] + limit + SLACK:
-                        near.append((first + i, first + j))
-        pairs = spark.createDataFrame(near, "cell bigint, other bigint")  # pairs of pivots
-        left = blocks.select("cell", F.col("block").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"))
-        right = blocks.select(F.col("cell").alias("other"), F.col("block").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"))
-        apart = F.sqrt(F.aggregate(F.zip_with("ca", "cb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, x: s + x))
-        met = left.join(F.broadcast(pairs), "cell").join(right, "other").where((F.col("cell") != F.col("other")) | (F.col("a") <= F.col("b")))
-        met = met.where(apart <= F.col("ra") + F.col("rb") + limit + SLACK).select("a", "b")
-        payload = ("ids", "ns", "points", "nodes")
-        full = met.join(blocks.select(F.col("block").alias("a"), *(F.col(c).alias(f"a_{c}") for c in payload)), "a")
-        full = full.join(blocks.select(F.col("block").alias("b"), *(F.col(c).alias(f"b_{c}") for c in payload)), "b")
-        found = saved(full.repartition(F.xxhash64("a", "b")).mapInArrow(_compare(cosine, np.float32 if kind == "array<float>" else np.float64), "rep bigint, links bigint, with bigint"))
-    finally:
-        spark.conf.set(size, before)
+    known = {r["cell"]: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # a row a pivot
+    limit, whole, near = math.sqrt(2 - 2 * cosine), [], []
+    for first, points in centres.values():
+        gap = np.sqrt(np.maximum(0, 2 - 2 * points @ points.T))
+        here = [i for i in range(len(points)) if first + i in known]
+        whole += [(first + i, points[i].tolist(), known[first + i]["far"], known[first + i]["n"], 1e9) for i in here]
+        near += [(first + i, first + j) for i in here for j in here if i <= j and gap[i, j] <= known[first + i]["far"] + known[first + j]["far"] + limit + SLACK]
+    cells = spark.createDataFrame(whole, "cell bigint, centre array<double>, radius double, n bigint, before double")
+    pairs = spark.createDataFrame(near, "cell bigint, other bigint")  # of pivots
+    for _ in range(LEVELS):
+        level = _finer(placed, cells, pairs, block, limit, kind)
+        if level is None:
+            break
+        placed, cells, pairs = level
+    parts = _small(cells.select("cell", F.ceil(F.col("n") / block).alias("parts")))
+    keyed = placed.join(parts, "cell").withColumn("block", F.concat_ws("-", "cell", F.pmod(F.xxhash64("rep"), F.col("parts"))))
+    cut = keyed.select("block", "cell", "rep", "n", "v").groupBy("block").applyInArrow(_block, "block string, cell bigint, ids array<bigint>, ns array<bigint>, points binary, nodes binary, centre array<double>, radius double")  # of bounded size
+    blocks = saved(cut)
+    left = blocks.select("cell", F.col("block").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"))
+    right = blocks.select(F.col("cell").alias("other"), F.col("block").alias("b"), F.col("centre").alias("cb"), F.col("radius").alias("rb"))
+    met = left.join(_small(pairs), "cell").join(right, "other").where((F.col("cell") != F.col("other")) | (F.col("a") <= F.col("b")))
+    met = met.where(_apart("ca", "cb") <= F.col("ra") + F.col("rb") + limit + SLACK).select("a", "b")
+    payload = ("ids", "ns", "points", "nodes")
+    full = met.join(blocks.select(F.col("block").alias("a"), *(F.col(c).alias(f"a_{c}") for c in payload)), "a")
+    full = full.join(blocks.select(F.col("block").alias("b"), *(F.col(c).alias(f"b_{c}") for c in payload)), "b")
+    found = saved(full.groupBy("a", "b").applyInArrow(_compare(cosine, np.float32 if kind == "array<float>" else np.float64), "rep bigint, links bigint, with bigint"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("rep").alias("u"), F.col("with").alias("v")))
     named = classes.join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")

@@ -285,6 +285,12 @@ def test_cover_tree_blocks(spark):
     got = cover_tree.link(frame, block=16).toPandas().set_index("vec_id").sort_index()
     double = cover_tree.link(frame.selectExpr("vec_id", "cast(embedding AS array<double>) AS embedding"), block=16).toPandas().set_index("vec_id").sort_index()
     assert (got.n_links == double.n_links).all()
+    # cells are split again and again, and other sessions' settings stay
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for most in (1, 2):
+        deep = cover_tree.link(frame, block=4, most=most).toPandas().set_index("vec_id").sort_index()
+        assert (deep.n_links == got.n_links).all() and (deep.component_id == got.component_id).all()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == size
     u = cover_tree.unit(rows)
     near = u @ u.T >= 0.9
     assert (got.n_links == near.sum(1) - 1).all()
