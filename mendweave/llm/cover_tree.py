@@ -2,15 +2,15 @@
 
 Unit vectors link if their distance is ``sqrt(2 - 2 * cosine)`` at most. Equal vectors are merged first. The upper levels
 of the tree are tables: each vector goes to its nearest pivot, and a cell of more vectors than a block holds is split by pivots of
-its own, chosen until half its radius covers a sample of it, level after level. Pairs of cells go down the same levels, from pairs
+its own, chosen until half its radius covers a sample of it, level after level, as long as radii shrink. Pairs of cells go down the same levels, from pairs
 of parents. The last cells' vectors form blocks of bounded size, each with a tree of nested levels whose radii halve. Pairs of cells,
 of blocks and then of nodes are dropped when the distance of their centres exceeds both covering radii and the threshold, and taken
 whole when even the radii added to it stay within the threshold, so dense groups are counted without listing their pairs. A task
 compares two blocks and gives the number of links of each vector and a spanning forest of them, not the links.
 
 The pivots come from samples of a bounded size, one a cell; they decide how well pairs are pruned, never which links are found.
-Random vectors of many dimensions are all about as far from each other, and no bound on distances prunes those: a cell whose radius
-hardly shrank is split no further, its blocks are random parts of it, and they are compared by matrix products.
+Random vectors of many dimensions are all about as far from each other, and no bound on distances prunes those: a cell whose sample
+shows that radii would hardly shrink is not split, its blocks are random parts of it, and they are compared by matrix products.
 
 Defined results: null, empty and zero vectors, vectors with null or non-finite components and rows with a null id link
 with nothing. Vectors link only with those of their own length. Repeated rows count as vectors of their own. Other
@@ -37,7 +37,7 @@ BLOCK = 4096
 PIVOTS, SAMPLE = 256, 4096
 #: Parts of a cell that is split, vectors that their pivots are chosen from, about, and vectors of a task that deals a cell's vectors out.
 FAN, CELL_SAMPLE, DEALT = 16, 1024, 1 << 14
-#: A cell is split again if its radius is at most this part of its parent's; levels below the first at most.
+#: A cell is split if its parts' radii are at most this part of its own, and its own of its parent's; levels below the first at most.
 SHRUNK, LEVELS = 0.9, 12
 #: Rows of a table that is broadcast.
 BROADCAST_ROWS = 200_000
@@ -257,12 +257,20 @@ def _assign(pivots):
     return run
 
 
-def _chosen(rows: pa.Table) -> pa.Table:
-    """The pivots of one cell, from its sample."""
-    rows = rows.sort_by("rep")
-    x = unit(_vectors(rows["v"].combine_chunks()))
-    points = x[net(x, FAN, rows["radius"][0].as_py() / 2)]
-    return pa.table([pa.array([rows["cell"][0].as_py()] * len(points), pa.int64()), pa.array(range(len(points)), pa.int64()), pa.array(list(points), pa.list_(pa.float64()))], ["cell", "sub", "centre"])
+def _chosen(block: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """The pivots of one cell, from its sample; none if the radii would hardly shrink, as bounds would not prune more."""
+        rows = rows.sort_by("rep")
+        x, radius = unit(_vectors(rows["v"].combine_chunks())), rows["radius"][0].as_py()
+        points = x[net(x, max(2, min(FAN, 2 * rows["size"][0].as_py() // block)), radius / 2)]
+        dot = x @ points.T
+        best, far = dot.argmax(1), np.zeros(len(points))
+        np.maximum.at(far, best, np.sqrt(np.maximum(0, 2 - 2 * dot.max(1))))
+        if len(points) < 2 or far[best].mean() > SHRUNK * radius:
+            points = points[:0]
+        return pa.table([pa.array([rows["cell"][0].as_py()] * len(points), pa.int64()), pa.array(range(len(points)), pa.int64()), pa.array(list(points), pa.list_(pa.float64()))], ["cell", "sub", "centre"])
+
+    return run
 
 
 def _dealt(rows: pa.Table, pivots: pa.Table) -> pa.Table:
@@ -327,15 +335,18 @@ def _finer(placed: DataFrame, cells: DataFrame, pairs: DataFrame, block: int, li
     ``placed``: (rep, n, v, cell, far); ``cells``: (cell, centre, radius, n, before), before the parent's radius; ``pairs``: (cell, other).
     """
     wanted = cells.where((F.col("n") > block) & (F.col("radius") > limit / 4) & (F.col("radius") <= SHRUNK * F.col("before")))
-    wanted = saved(wanted.select("cell", "n", "radius", F.ceil(F.col("n") / DEALT).alias("parts")))
+    wanted = saved(wanted.select("cell", F.col("n").alias("size"), "radius", F.ceil(F.col("n") / DEALT).alias("parts")))
     if wanted.isEmpty():
         return None
-    split = _small(wanted)
-    own = placed.join(split.withColumnRenamed("n", "size"), "cell")
     picked = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 30)) < F.lit(CELL_SAMPLE * float(1 << 30)) / F.col("size")  # a bounded part of each cell
-    pivots = saved(own.where(picked).select("cell", "rep", "v", "radius").groupBy("cell").applyInArrow(_chosen, "cell bigint, sub bigint, centre array<double>"))
-    dealt = own.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(2)), "parts")).select("rep", "n", "v", "cell", "far", "part")
-    copies = pivots.join(wanted.select("cell", "parts"), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("cell", "sub", "centre", "part")
+    sample = placed.join(_small(wanted), "cell").where(picked).select("cell", "rep", "v", "radius", "size")
+    pivots = saved(sample.groupBy("cell").applyInArrow(_chosen(block), "cell bigint, sub bigint, centre array<double>"))
+    if pivots.isEmpty():
+        return None
+    wanted = saved(wanted.join(pivots.select("cell").distinct(), "cell", "left_semi").select("cell", "parts"))
+    split = _small(wanted)
+    dealt = placed.join(split, "cell").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(2)), "parts")).select("rep", "n", "v", "cell", "far", "part")
+    copies = pivots.join(wanted, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).select("cell", "sub", "centre", "part")
     moved = dealt.groupBy("cell", "part").cogroup(copies.groupBy("cell", "part")).applyInArrow(_dealt, f"rep bigint, n bigint, v {kind}, cell bigint, far double")
     rest = placed.join(split, "cell", "left_anti").select("rep", "n", "v", (F.col("cell") * FAN).alias("cell"), "far")
     down = saved(moved.unionByName(rest))
