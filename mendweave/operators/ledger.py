@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Seconds, some 3,170 years.
+MOST_AGE = 10**11 - 1
+
 
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """Rows of both; where a key is in both, the new row's values that are not null win."""
@@ -32,8 +35,9 @@ def pending(work: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
 
 
 def ttl(fetched: str, header: Column, least_days: int = 30) -> Column:
-    """When a cached page expires: after the header's ``max-age``, but not before ``least_days``."""
-    age = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(header, r"max-age=([0-9]{1,9})", 1), F.lit("")), F.lit("999999999")).cast("bigint"), F.lit(0))
+    """When a cached page expires: after the header's ``max-age``, but not before ``least_days``. Ages over MOST_AGE are that."""
+    digits = F.nullif(F.regexp_extract(header, r"max-age=0*([0-9]+)", 1), F.lit(""))
+    age = F.coalesce(F.when(F.length(digits) > 11, MOST_AGE).otherwise(digits.try_cast("bigint")), F.lit(0))
     return F.col(fetched) + F.make_dt_interval(secs=F.greatest(age, F.lit(least_days * 86400)).cast("decimal(18,6)"))
 
 
