@@ -21,8 +21,9 @@ def status(url, final_url, code, error) -> Column:
     return F.struct(F.when(failed, kind).otherwise(F.col(code).cast("string")).alias("status"), F.when(failed, F.col(error)).otherwise(F.coalesce(detail, F.lit("unknown redirection"))).alias("detail"))
 
 
-def verdicts(pages: DataFrame, probes: DataFrame) -> DataFrame:
-    """(url, broken, reason): broken is ``true``, ``false`` or ``N/A``.
+def verdicts(pages: DataFrame, probes: DataFrame, key: str = "url") -> DataFrame:
+    """(url, broken, reason): broken is ``true``, ``false`` or ``N/A``. With another ``key`` of both, by which pages of one URL are
+    told apart, it comes first.
 
     ``pages``: url, allowed, status, html (whether it is), final_url, canonical. ``probes``: url, status, final_url, n_redirects,
     same_redirects, words, text, jaccard, one row for each perturbed sibling. The first rule that fits decides; the siblings
@@ -37,9 +38,9 @@ def verdicts(pages: DataFrame, probes: DataFrame) -> DataFrame:
         .when(F.col("jaccard") >= ALIKE, F.struct(F.lit(True).alias("b"), F.lit("Similar content").alias("r")))
         .otherwise(F.struct(F.lit(False).alias("b"), F.lit("Content differs").alias("r")))
     )
-    own = probes.select(F.col("url").alias("p_url"), F.col("status").alias("p_status"), F.col("final_url").alias("p_final"), "n_redirects", "same_redirects", "words", "text", "jaccard")
-    met = pages.join(own, pages["url"] == own["p_url"], "left")
-    votes = met.withColumn("v", F.when(F.col("p_url").isNotNull(), vote)).groupBy(*pages.columns).agg(F.count("v").alias("n"), F.bool_and("v.b").alias("all_"), F.array_join(F.array_sort(F.collect_set("v.r")), "; ").alias("rs"))
+    own = probes.select(F.col(key).alias("p_key"), F.col("status").alias("p_status"), F.col("final_url").alias("p_final"), "n_redirects", "same_redirects", "words", "text", "jaccard")
+    met = pages.join(own, pages[key] == own["p_key"], "left")
+    votes = met.withColumn("v", F.when(F.col("p_key").isNotNull(), vote)).groupBy(*pages.columns).agg(F.count("v").alias("n"), F.bool_and("v.b").alias("all_"), F.array_join(F.array_sort(F.collect_set("v.r")), "; ").alias("rs"))
     broken = (
         F.when(~F.col("allowed"), "N/A").when(hard, "true").when(~F.col("html"), "N/A").when(U.is_home("url"), "false")
         .when(U.is_home("final_url"), "true").when(F.col("canonical").isNotNull() & (U.match_key("canonical") == U.match_key("url")), "false")
@@ -50,7 +51,7 @@ def verdicts(pages: DataFrame, probes: DataFrame) -> DataFrame:
         .when(U.is_home("final_url"), "Redirected to homepage").when(F.col("canonical").isNotNull() & (U.match_key("canonical") == U.match_key("url")), "Canonical")
         .when(F.col("n") == 0, "No probe").otherwise(F.col("rs"))
     )
-    return votes.select("url", broken.alias("broken"), reason.alias("reason"))
+    return votes.select(*dict.fromkeys([key, "url"]), broken.alias("broken"), reason.alias("reason"))
 
 
 def real_hops(hops) -> Column:
