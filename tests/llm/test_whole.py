@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from mendweave.llm import near_copies, url_model
+from mendweave.llm import context_tree, near_copies, url_model
 
 
 def brute_groups(ids, sets, least):
@@ -234,3 +236,24 @@ def test_simhash_components_of_documents(spark):
             label[i] = label[j] = low
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op9_simhash(spark, SMALL).collect()}
     assert got == {i: (f"{docs[i]:016x}", label[i]) for i in docs}
+
+
+def test_context_tree_keeps_rare_contexts(spark):
+    """Over several buckets and blocks, the score is that of a tree of all contexts, built at once."""
+    rng, depth = random.Random(8), context_tree.DEPTH
+    texts = ["".join(rng.choice("abcde é\n") for _ in range(rng.choice([0, 1, 5, 900]))) for _ in range(40)] + [None, "A"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    learn = F.col("doc_id") % 3 != 0
+    got = {r["doc_id"]: r["score"] for r in context_tree.scored(frame, learn, F.lit(True), ["doc_id"], buckets=5).collect()}
+    apart = {r["doc_id"]: r["score"] for r in context_tree.score_texts(frame, frame.where(learn), ["doc_id"], buckets=2).collect()}
+
+    def keys(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return context_tree.grams(data, np.array([0, len(data)]), 0, 1, depth)[0]
+
+    all_keys = np.concatenate([keys(t) for i, t in enumerate(texts) if i % 3])
+    model = context_tree.build(context_tree.depths(*np.unique(all_keys, return_counts=True), 0, depth))
+    assert len(model[depth]["ctx"]) > 2000  # most of them occur once
+    for i, t in enumerate(texts):
+        want = context_tree.log_probabilities(keys(t), model).sum()
+        assert abs(got[i] - want) < 1e-9 * max(1, abs(want)) and abs(apart[i] - want) < 1e-9 * max(1, abs(want))
