@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from mendweave.operators import copies
 from mendweave.operators import pairs as P
 from mendweave.operators import similarity as S
 
@@ -42,3 +43,29 @@ def test_containing(spark):
     got = {tuple(r) for r in S.containing(rows, "id IN (0, 3, 4)", "id", "w").collect()}
     assert got == {(0, 1, 1), (0, 2, 2), (0, 5, 2)}
     assert S.containing(rows, "id = 2", "id", "w").select(F.sum("k")).first()[0] == 5
+
+
+def test_near_duplicates_of_large_groups(spark):
+    """Links of each text by brute force: a group of more near copies than a cell holds, a passage that many texts share, copies,
+    texts of few words and of none. No pair's row holds shingles."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, common = [word() for _ in range(60)], [word() for _ in range(12)]
+    texts = []
+    for _ in range(copies.PART + 44):
+        own = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            own[rng.randrange(60)] = word()
+        texts.append(" ".join(own))
+    texts += [" ".join([word() for _ in range(10)] + common) for _ in range(40)] + ["one two", "One  two", "", None, "one two three"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in S.near_duplicates(frame, "doc_id", "text").collect()}
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    known = {}
+    for i, w in enumerate(words):
+        known.setdefault(tuple(w) if texts[i] is not None else None, i)
+    for i, w in enumerate(words):
+        k = known[tuple(w) if texts[i] is not None else None]
+        links = sum(len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j]) - 1e-9 for j in known.values() if j != k and sets[j] and sets[k])
+        assert got[i] == (k, links), (i, got[i], k, links)
