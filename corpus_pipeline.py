@@ -11,8 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendweave.llm import decontaminate, language_mix, line_chunks, near_copies, packing
-from mendweave.llm.common import read, shared_dir, sheltered
+from mendweave.llm import decontaminate, language_mix, line_chunks, near_copies, packing, simhash
+from mendweave.llm.common import read, saved, shared_dir, sheltered
+from mendweave.llm.components import components
 
 #: A document stays if its main language makes up this much of it; a text without letters has no language.
 LEAST_SHARE = 0.3
@@ -35,12 +36,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates, alike in at least 0.8 of their five-word shingles: that with the smallest id,
-    one without an id only if none has one. Which row stays does not depend on ids being there or being distinct."""
+    """One row of each group of near-duplicates: that with the smallest id, one without an id only if none has one. Which row stays
+    does not depend on ids being there or being distinct.
+
+    Texts link whose SimHash fingerprints lie within two bits, as in op9. What that leaves out, texts alike in at least 0.8 of their
+    five-word shingles with fingerprints further apart, is linked by an exact join; groups are what both reach together."""
     inner, back = sheltered(docs, "doc_id", "text")
     # a row is told by two hashes, 128 bits, of what it is chosen by
     keyed = inner.withColumns({"__row": F.xxhash64("text", F.col("doc_id").isNull(), "doc_id"), "__row2": F.xxhash64(F.lit(1), "doc_id", "text")})
-    found = near_copies.group(keyed, ["__row", "__row2"])
+    prints = simhash.group(keyed, ["__row", "__row2"]).select("doc_id", "__row", "__row2", F.xxhash64(F.lit(0), "group_id").alias("u")).distinct()
+    sets = near_copies.group(keyed, ["__row", "__row2"]).select("__row", "__row2", F.xxhash64(F.lit(1), "group_id").alias("v")).distinct()
+    met = saved(prints.join(sets, ["__row", "__row2"]))
+    # only groups of either kind that hold several of the other merge anything
+    pairs = met.select("u", "v").distinct()
+    several = [pairs.join(pairs.groupBy(x).agg(F.count("*").alias("n")).where("n > 1").select(x), x, "left_semi").select("u", "v") for x in "uv"]
+    roots = components(several[0].union(several[1])).withColumnRenamed("node", "u")
+    found = met.join(roots, "u", "left").withColumn("group_id", F.coalesce("root", "u"))
     first = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row", "__row2")).alias("x")).select("x.__row", "x.__row2")
     # both by the same key, so that the texts are shuffled once
     return back(keyed.join(first, ["__row", "__row2"], "left_semi").dropDuplicates(["__row", "__row2"]))

@@ -153,15 +153,16 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def group(docs: DataFrame, carry: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs``' id and ``carry`` columns, fp, and component_id: the smallest id reachable by links."""
-    carry = carried([id_col, *(carry or [])], "fp", "component_id")
+    """``docs``' id and ``carry`` columns, fp, component_id: the smallest id reachable by links, and group_id, a number for each group
+    whatever its ids."""
+    carry = carried([id_col, *(carry or [])], "fp", "component_id", "group_id")
     prints = saved(fingerprints(docs, carry, text_col, shingle))
     own = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
     roots = components(links(own.select("fp")))
     rooted = own.join(roots, own["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(*carry, "fp", "component_id")
+    named = rooted.join(smallest, "root").select("fp", "component_id", F.col("root").alias("group_id"))
+    return prints.join(named, "fp").select(*carry, "fp", "component_id", "group_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mendweave.llm import context_tree, near_copies, url_model
+import corpus_pipeline
+from mendweave.llm import context_tree, near_copies, simhash, url_model
 
 
 def brute_groups(ids, sets, least):
@@ -257,3 +258,28 @@ def test_context_tree_keeps_rare_contexts(spark):
     for i, t in enumerate(texts):
         want = context_tree.log_probabilities(keys(t), model).sum()
         assert abs(got[i] - want) < 1e-9 * max(1, abs(want)) and abs(apart[i] - want) < 1e-9 * max(1, abs(want))
+
+
+def test_pipeline_links_by_simhash_and_by_sets(spark):
+    """Fingerprints within two bits link texts whose sets are less alike than 0.8; sets that are, link others; chains of both are one group."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    apart = lambda x, y: (simhash.fingerprint(" ".join(x).encode()) ^ simhash.fingerprint(" ".join(y).encode())).bit_count()
+    share = lambda x, y: (lambda a, b: len(a & b) / len(a | b))(*({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (x, y)))
+    base = [word() for _ in range(300)]
+
+    def changed(places, fits):
+        while True:
+            own = list(base)
+            for k in places:
+                own[k] = word()
+            if fits(own):
+                return own
+
+    by_print = changed(range(20, 300, 35), lambda x: apart(base, x) <= 2)
+    by_set = changed(range(10, 300, 50), lambda x: apart(base, x) > 2 and apart(by_print, x) > 2)
+    assert share(base, by_print) < 0.8 <= share(base, by_set) and share(by_print, by_set) < 0.8
+    other = [word() for _ in range(300)]
+    rows = [(5, " ".join(by_print)), (6, " ".join(base)), (7, " ".join(by_set)), (8, " ".join(other)), (None, " ".join(other))]
+    got = corpus_pipeline.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [5, 8]
