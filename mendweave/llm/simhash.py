@@ -139,7 +139,7 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Edges (u, v) that connect all fingerprints of ``distinct`` (fp) which lie within two bits of each other."""
     share_path(distinct.sparkSession)
-    held = distinct.mapInArrow(_replicate, "anchor bigint, fp bigint")
+    held = distinct.mapInArrow(tidied(_replicate), "anchor bigint, fp bigint")
     counts = held.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     met = saved(held.join(counts, "anchor"))
     few = met.where(F.col("n") <= crowd)
