@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from mendweave import catalog
 from mendweave.functions import text as X
 from mendweave.operators import cosines
 from mendweave.operators import similarity as S
+from tests.conftest import SMALL
 
 
 def texts(spark, n=60):
@@ -36,3 +38,10 @@ def test_terms_are_not_rows(spark):
     assert own.rows.count() <= own.parts and own.rows.agg(F.sum(F.length("data"))).first()[0] < 60_000
     found = cosines.best(own, 1)
     assert found.groupBy("query").count().agg(F.max("count")).first()[0] <= cosines.TASKS * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["cand_separable", "cand_match_order"])
+def test_no_row_for_each_term(spark, monkeypatch, name):
+    """What a query needs of documents' terms it gets without a table of them."""
+    monkeypatch.setattr(S, "weights", None)
+    assert catalog.queries()[name](spark, SMALL).count() >= 0
