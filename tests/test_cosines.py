@@ -40,7 +40,7 @@ def test_terms_are_not_rows(spark):
     assert found.groupBy("query").count().agg(F.max("count")).first()[0] <= cosines.TASKS * spark.sparkContext.defaultParallelism
 
 
-@pytest.mark.parametrize("name", ["cand_separable", "cand_match_order"])
+@pytest.mark.parametrize("name", ["cand_separable", "cand_match_order", "text_cosine_pairs"])
 def test_no_row_for_each_term(spark, monkeypatch, name):
     """What a query needs of documents' terms it gets without a table of them."""
     monkeypatch.setattr(S, "weights", None)
