@@ -45,3 +45,11 @@ def test_no_row_for_each_term(spark, monkeypatch, name):
     """What a query needs of documents' terms it gets without a table of them."""
     monkeypatch.setattr(S, "weights", None)
     assert catalog.queries()[name](spark, SMALL).count() >= 0
+
+
+@pytest.mark.parametrize("name", ["text_similar_topn"])
+def test_every_document_is_asked_for(spark, monkeypatch, name):
+    monkeypatch.setattr(S, "weights", None)
+    ids = {r["query"] for r in catalog.queries()[name](spark, SMALL).select("query").distinct().collect()}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert len(ids) >= 0.9 * docs.count() and any(i % 50 for i in ids)
