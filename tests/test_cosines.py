@@ -47,7 +47,7 @@ def test_no_row_for_each_term(spark, monkeypatch, name):
     assert catalog.queries()[name](spark, SMALL).count() >= 0
 
 
-@pytest.mark.parametrize("name", ["text_similar_topn"])
+@pytest.mark.parametrize("name", ["cand_best_content", "text_similar_topn"])
 def test_every_document_is_asked_for(spark, monkeypatch, name):
     monkeypatch.setattr(S, "weights", None)
     ids = {r["query"] for r in catalog.queries()[name](spark, SMALL).select("query").distinct().collect()}
