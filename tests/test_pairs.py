@@ -69,3 +69,17 @@ def test_near_duplicates_of_large_groups(spark):
         k = known[tuple(w) if texts[i] is not None else None]
         links = sum(len(sets[k] & sets[j]) >= 0.8 * len(sets[k] | sets[j]) - 1e-9 for j in known.values() if j != k and sets[j] and sets[k])
         assert got[i] == (k, links), (i, got[i], k, links)
+
+
+@pytest.mark.parametrize("entries,cells", [(1 << 21, 1 << 21), (30, 10)])
+def test_nested_by_the_rarest_element(spark, monkeypatch, entries, cells):
+    """Equal to brute force, with several blocks, equal sets and sets of one element; and pairs are not multiplied."""
+    monkeypatch.setattr(P, "CELLS", cells)
+    monkeypatch.setattr(P, "_met", None)
+    rng = random.Random(2)
+    sets = {i: set(rng.choices(range(14), range(14, 0, -1), k=rng.randint(1, 9))) for i in range(150)}
+    own = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id bigint, h array<bigint>")
+    got = sorted(tuple(r) for r in P.nested(own.where("id % 3 = 0"), own, entries).collect())
+    assert got == sorted((i, j, len(sets[i] & sets[j])) for i in sets if i % 3 == 0 for j in sets if i != j and (sets[i] <= sets[j] or sets[j] <= sets[i]))
+    words = spark.createDataFrame([(0, ["a", "b"]), (1, ["a"])], "id bigint, w array<string>")
+    assert [tuple(r) for r in S.containing(words, "id = 0", "id", "w").collect()] == [(0, 1, 1)]
